@@ -127,14 +127,14 @@ def _solve(nodes: DataFrame, block_rows: int, level: int) -> DataFrame:
         placed = cut(nodes.join(only, "id", "left").withColumn("pid", F.when(move, home("parent")).otherwise(home("id"))).drop("only"), f"blocks{level}")
     asked = placed.groupBy("pid").applyInPandas(_requests, "pid int, id long")
     if blocks == 1:
-        answers = spark.createDataFrame([], "pid int, id long, path string, depth long")
+        answers = spark.createDataFrame([], "at int, id long, path string, depth long")
     else:
         asked = cut(asked, f"asked{level}")
-        entries = asked.select("id").distinct().join(placed.select("id", "pid"), "id")
-        quotient = placed.groupBy("pid").cogroup(entries.groupBy("pid")).applyInPandas(_fragments, "id long, parent long, label string, hops long")
+        entries = asked.select("id").distinct().join(placed.select("id", "pid"), "id").select("id", F.col("pid").alias("at"))
+        quotient = placed.groupBy("pid").cogroup(entries.groupBy("at")).applyInPandas(_fragments, "id long, parent long, label string, hops long")
         solved = _solve(quotient, block_rows, level + 1)
-        answers = asked.join(solved, "id").select("pid", "id", "path", "depth")
-    return placed.groupBy("pid").cogroup(answers.groupBy("pid")).applyInPandas(_expand, "id long, path string, depth long")
+        answers = asked.join(solved, "id").select(F.col("pid").alias("at"), "id", "path", "depth")
+    return placed.groupBy("pid").cogroup(answers.groupBy("at")).applyInPandas(_expand, "id long, path string, depth long")
 
 
 def hierarchy(rows: DataFrame, id_col: str, parent_col: str, order_col: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
