@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import mixing, tokens
+from hitweave.llm import mixing, tokens, topn
 from hitweave.session import load
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    hits, params = load(spark, sf, "hits", "filter_params")
+    return topn.top_rows(hits, params, ("label", "read"), "hit", "score", "hit_row")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(load(spark, sf, "documents"), "doc_id", "text")
 
@@ -28,5 +33,13 @@ def p8_usage(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.usage(p8_mixture(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_mixture, p8_shares, p8_usage)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p6_found, p7_ids, p8_mixture, p8_shares, p8_usage)}
+SQL: dict[str, str] = {
+    "p6_found": """WITH r AS (SELECT hit_row, label, read, hit, score, max(score) OVER (PARTITION BY label, read, hit) AS top,
+  row_number() OVER (PARTITION BY label, read, hit ORDER BY score DESC, hit_row) AS nth_row, greatest(max(score) OVER (PARTITION BY label, read), 0) AS best
+  FROM hits WHERE score IS NOT NULL),
+s AS (SELECT *, dense_rank() OVER (PARTITION BY label, read ORDER BY top DESC, hit) AS nth_item FROM r)
+SELECT param_id, hit_row FROM s, filter_params p
+WHERE score >= CASE WHEN p.top_pct >= 0 THEN greatest(best - p.top_pct * best / 100, p.bits) ELSE p.bits END
+  AND (hits_per_read = 0 OR nth_item <= hits_per_read) AND (hsps_per_hit = 0 OR nth_row <= hsps_per_hit)""",
+}
