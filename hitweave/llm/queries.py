@@ -3,11 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hitweave.llm import mixing, tokens, topn
+from hitweave.llm import mixing, terms, tokens, topn
 from hitweave.session import load
 
 
+#: From how many records on a term is no rare one; above which share of the records of its field it is a common one.
+MIN_RECORDS, MAX_SHARE = 3, {"hit": 0.05, "c0": 0.5}
+
+
+def _all_terms(spark: SparkSession, sf: str) -> DataFrame:
+    reads, counts = load(spark, sf, "read_assignments", "taxcounts")
+    hit = terms.changes(reads, "hit", "read", terms.clean_term(F.col("hit")))
+    return hit.unionByName(terms.changes(counts, "c0", "sample", F.col("c0")))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    store = terms.TermCounts(spark)
+    store.apply(_all_terms(spark, sf))
+    return store.marked(MIN_RECORDS, MAX_SHARE).where("mark is not null").select("field", "term")
+
+
+def p1_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and records of every term, with its mark."""
+    store = terms.TermCounts(spark)
+    store.apply(_all_terms(spark, sf))
+    return store.marked(MIN_RECORDS, MAX_SHARE)
+
+
+def p1_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same counts by three batches: all rows with their values as delivered, then what cleaning changes in them (the
+    old value removed, the clean one added), then all rows of taxcounts added twice and removed once."""
+    reads, counts = load(spark, sf, "read_assignments", "taxcounts")
+    raw, clean = F.nullif(F.col("hit"), F.lit("")), terms.clean_term(F.col("hit"))
+    dirty = reads.where(~raw.eqNullSafe(clean))
+    c0 = F.col("c0")
+    store = terms.TermCounts(spark)
+    store.apply(terms.changes(reads, "hit", "read", raw).unionByName(terms.changes(counts, "c0", "sample", c0, 2)))
+    store.apply(terms.changes(dirty, "hit", "read", raw, -1).unionByName(terms.changes(dirty, "hit", "read", clean)))
+    store.apply(terms.changes(counts, "c0", "sample", c0, -1))
+    store.compact()
+    return store.marked(MIN_RECORDS, MAX_SHARE)
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     hits, params = load(spark, sf, "hits", "filter_params")
     return topn.top_rows(hits, params, ("label", "read"), "hit", "score", "hit_row")
@@ -33,8 +72,19 @@ def p8_usage(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.usage(p8_mixture(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_ids, p8_mixture, p8_shares, p8_usage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_after_changes, p6_found, p7_ids, p8_mixture, p8_shares, p8_usage)}
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TERMS = f"""WITH x AS (
+  SELECT 'hit' AS field, read AS record, nullif(lower(regexp_replace(hit, '^{_WHITE}+|{_WHITE}+$', '', 'g')), '') AS term FROM read_assignments
+  UNION ALL SELECT 'c0', sample, CAST(c0 AS VARCHAR) FROM taxcounts),
+t AS (SELECT field, term, count(*) AS n_rows, count(DISTINCT coalesce(record, chr(0))) AS n_records FROM x WHERE term IS NOT NULL GROUP BY ALL),
+n AS (SELECT field, count(DISTINCT coalesce(record, chr(0))) AS total FROM x WHERE term IS NOT NULL GROUP BY ALL),
+m AS (SELECT t.*, n_records < 3 AS rare, n_records > CASE field WHEN 'hit' THEN 0.05 ELSE 0.5 END * total AS common FROM t JOIN n USING (field)) """
+_MARKED = _TERMS + "SELECT field, term, n_rows, n_records, CASE WHEN rare AND common THEN 'both' WHEN rare THEN 'rare' WHEN common THEN 'common' END AS mark FROM m"
 SQL: dict[str, str] = {
+    "p1_found": _TERMS + "SELECT field, term FROM m WHERE rare OR common",
+    "p1_terms": _MARKED,
+    "p1_after_changes": _MARKED,
     "p6_found": """WITH r AS (SELECT hit_row, label, read, hit, score, max(score) OVER (PARTITION BY label, read, hit) AS top,
   row_number() OVER (PARTITION BY label, read, hit ORDER BY score DESC, hit_row) AS nth_row, greatest(max(score) OVER (PARTITION BY label, read), 0) AS best
   FROM hits WHERE score IS NOT NULL),
