@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from hitweave.session import new_path
 
-#: The characters that Unicode calls white space, as a character class.
-WHITE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+#: The characters that Unicode calls white space, and the separators that Python's strip() also takes for it.
+WHITE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 PAIR = ["field", "record", "term"]
 _PAIRS = "field string, record string, term string, d long, bucket int"
 _TERMS = "field string, term string, n_rows long, n_records long, bucket int"
