@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitweave.llm import mixing, terms, tokens, topn
+from hitweave.llm import linking, mixing, terms, tokens, topn
 from hitweave.session import load
 
 
@@ -47,6 +47,17 @@ def p1_after_changes(spark: SparkSession, sf: str) -> DataFrame:
     return store.marked(MIN_RECORDS, MAX_SHARE)
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    hits, names = load(spark, sf, "hits", "taxon_names")
+    return linking.link(hits, "hit_row", "hit_desc", names).select("hit_row", "taxid")
+
+
+def p2_unlinked(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows whose description names no listed organism, with the description."""
+    hits = load(spark, sf, "hits")
+    return linking.unlinked(hits.select("hit_row", "hit_desc"), p2_found(spark, sf), "hit_row")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     hits, params = load(spark, sf, "hits", "filter_params")
     return topn.top_rows(hits, params, ("label", "read"), "hit", "score", "hit_row")
@@ -72,7 +83,7 @@ def p8_usage(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.usage(p8_mixture(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_after_changes, p6_found, p7_ids, p8_mixture, p8_shares, p8_usage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_after_changes, p2_found, p2_unlinked, p6_found, p7_ids, p8_mixture, p8_shares, p8_usage)}
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _TERMS = f"""WITH x AS (
   SELECT 'hit' AS field, read AS record, nullif(lower(regexp_replace(hit, '^{_WHITE}+|{_WHITE}+$', '', 'g')), '') AS term FROM read_assignments
