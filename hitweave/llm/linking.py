@@ -272,7 +272,9 @@ def link(rows: DataFrame, key_col: str, text_col: str, names: DataFrame, taxid_c
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([m for f in found for m in f], pa.string())], ["text", "mention"])
 
     found = cut(texts.select("text").mapInArrow(spread, "text string, mention string"), "mentions")
-    distinct = found.select("mention").distinct()
+    # a number of partitions of its own: the rows are small, but each is scored against all names
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = found.select("mention").distinct().repartition(parts, "mention")
     if len(head) <= most_names:
         scored = _by_broadcast(distinct, [(r.t, r.n) for r in head], rules)
     else:
