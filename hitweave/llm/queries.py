@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitweave.llm import linking, mixing, terms, tokens, topn
+from hitweave.llm import linking, mixing, subjects, terms, tokens, topn
 from hitweave.session import load
 
 
@@ -83,7 +83,19 @@ def p8_usage(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.usage(p8_mixture(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_after_changes, p2_found, p2_unlinked, p6_found, p7_ids, p8_mixture, p8_shares, p8_usage)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels, listed = load(spark, sf, "documents", "subject_labels", "subjects")
+    found = subjects.assign(docs, labels, listed)
+    return found.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """The make-up of the archive by subject; known subjects come before those found."""
+    docs, labels, listed = load(spark, sf, "documents", "subject_labels", "subjects")
+    return subjects.composition(p9_found(spark, sf).unionByName(labels.select("doc_id", "subject")), docs, listed)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_after_changes, p2_found, p2_unlinked, p6_found, p7_ids, p8_mixture, p8_shares, p8_usage, p9_found, p9_composition)}
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _TERMS = f"""WITH x AS (
   SELECT 'hit' AS field, read AS record, nullif(lower(regexp_replace(hit, '^{_WHITE}+|{_WHITE}+$', '', 'g')), '') AS term FROM read_assignments
