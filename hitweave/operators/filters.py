@@ -11,11 +11,11 @@ from __future__ import annotations
 import bisect
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitweave.functions.names import free_name
+from hitweave.operators.folds import fold
 
 GROUP, ORDER = ("label", "read"), "pos"
 
@@ -107,28 +107,26 @@ def limit_hsps(hits: DataFrame, n: int, group=GROUP, order: list[Column] | None
     return hits.withColumn(rank, F.row_number().over(Window.partitionBy(*group, "hit").orderBy(*(order or [F.col(ORDER)])))).where(F.col(rank) <= n).drop(rank)
 
 
-def _greedy(starts, stops, hits, buffer: int, most_hits: int, most_rows: int) -> list[bool]:
-    """Keep a row if it overlaps no kept one by more than buffer, and the limits allow it. The kept regions lie in order,
-    so that each row is held against its neighbours only; with a buffer kept regions may themselves overlap, and more
-    neighbours are looked at."""
+def _greedy(rows, buffer: int, most_hits: int, most_rows: int):
+    """Of rows (start, stop, hit, id) the ids of those that overlap no kept one by more than buffer, within the limits. The
+    kept regions lie in order, so that each row is held against its neighbours only; with a buffer kept regions may
+    themselves overlap, and more neighbours are looked at."""
     regions: list[tuple[int, int]] = []
-    longest, per_hit, out = 0, {}, []
-    for s, e, h in zip(starts, stops, hits):
+    longest, per_hit = 0, {}
+    for s, e, h, i in rows:
         s, e = (s, e) if s <= e else (e, s)
         n = per_hit.get(h, 0)
         ok = not (most_hits and not n and len(per_hit) >= most_hits) and not (most_rows and n >= most_rows)
-        if ok:
-            i = bisect.bisect_left(regions, (s - longest - buffer, -1))
-            while ok and i < len(regions) and regions[i][0] < e + buffer + 1:
-                a, b = regions[i]
-                ok = s + buffer >= b or e - buffer <= a
-                i += 1
+        at = bisect.bisect_left(regions, (s - longest - buffer, -1)) if ok else 0
+        while ok and at < len(regions) and regions[at][0] < e + buffer + 1:
+            a, b = regions[at]
+            ok = s + buffer >= b or e - buffer <= a
+            at += 1
         if ok:
             bisect.insort(regions, (s, e))
             longest = max(longest, e - s)
             per_hit[h] = n + 1
-        out.append(ok)
-    return out
+            yield (i,)
 
 
 def nonoverlapping(hits: DataFrame, buffer: int, group=GROUP, sort: str | None = None, order: str = ORDER, most_hits: int = 0, most_rows: int = 0) -> DataFrame:
@@ -138,15 +136,9 @@ def nonoverlapping(hits: DataFrame, buffer: int, group=GROUP, sort: str | None =
     decision needs go there. Rows without coordinates are dropped."""
     keys = [F.col(g).alias(f"g{i}") for i, g in enumerate(group)]
     sort_key = {"evalue": F.col("evalue"), "pctid": -F.col("pctid"), "score": -F.col("score"), None: F.lit(0.0)}[sort]
-    tie = F.col("hit") if sort else F.lit("")
-    small = hits.where("qstart is not null and qend is not null").select(*keys, sort_key.cast("double").alias("k"), tie.alias("t"), F.col(order).alias("p"), F.col("hit").alias("h"), "qstart", "qend")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k", "t", "p"], kind="stable", na_position="last")
-        ok = _greedy(pdf["qstart"].tolist(), pdf["qend"].tolist(), pdf["h"].tolist(), buffer, most_hits, most_rows)
-        return pdf.loc[ok, ["p"]]
-
-    kept = small.groupBy(*[f"g{i}" for i in range(len(group))]).applyInPandas(choose, f"p {hits.schema[order].dataType.simpleString()}")
+    small = hits.where("qstart is not null and qend is not null").select(*keys, F.coalesce(sort_key.cast("double"), F.lit(float("inf"))).alias("k"), (F.col("hit") if sort else F.lit("")).alias("t"), F.col(order).alias("p"), F.col("hit").alias("h"), "qstart", "qend")
+    n = len(group)
+    kept = fold(small, n, ["k", "t", "p"], lambda _, rows: _greedy(((r[n + 4], r[n + 5], r[n + 3], r[n + 2]) for r in rows), buffer, most_hits, most_rows), f"p {hits.schema[order].dataType.simpleString()}")
     return hits.join(kept.select(F.col("p").alias(order)), order, "left_semi")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.operators.filters import GROUP
+from hitweave.operators.folds import fold
 
 #: Width of the bins by which intervals meet.
 BIN = 1024
@@ -46,29 +46,35 @@ def merge_hsps(hits: DataFrame, buffer: int = 0, group=GROUP, order: str = "pos"
     cols = [*keys, order, "mlen", "score", "pctid", "qstart", "qend", "hstart", "hend"]
     x = hits.select(*cols).where("qstart is not null and qend is not null and hstart is not null and hend is not null")
 
-    def taken(rows: list[tuple[int, int]]) -> list[bool]:
-        kept: list[tuple[int, int]] = []
-        out = []
-        for s, e in rows:
-            ok = all(s + buffer >= b or e - buffer <= a for a, b in kept)
-            if ok:
-                kept.append((s, e))
-            out.append(ok)
-        return out
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf = pdf[taken(list(zip(pdf["hstart"], pdf["hend"])))]
-        pdf = pdf[taken([(min(s, e), max(s, e)) for s, e in zip(pdf["qstart"], pdf["qend"])])]
-        length = pdf["mlen"].sum()
-        known = pdf["pctid"].notna() & pdf["mlen"].notna()
-        weight = pdf["mlen"][known].sum()
-        row = {**{k: pdf[k].iloc[0] for k in keys}, "n": len(pdf), "mlen": length, "score": pdf["score"].sum(min_count=1), "pctid": (pdf["pctid"] * pdf["mlen"])[known].sum() / weight if weight else None}
-        row |= {"qstart": pdf[["qstart", "qend"]].min().min(), "qend": pdf[["qstart", "qend"]].max().max(), "hstart": pdf[["hstart", "hend"]].min().min(), "hend": pdf[["hstart", "hend"]].max().max()}
-        return pd.DataFrame([row])
+    n = len(keys)
+
+    def apart(s: int, e: int, kept: list[tuple[int, int]]) -> bool:
+        return all(s + buffer >= b or e - buffer <= a for a, b in kept)
+
+    def merge(key: tuple, rows):
+        on_hit: list[tuple[int, int]] = []
+        on_query: list[tuple[int, int]] = []
+        count = length = weight = 0
+        score = identity = None
+        box: list[int] = []
+        for _, mlen, s, pctid, qs, qe, hs, he in (r[n:] for r in rows):
+            if not apart(hs, he, on_hit):
+                continue
+            on_hit.append((hs, he))
+            q = (min(qs, qe), max(qs, qe))
+            if not apart(*q, on_query):
+                continue
+            on_query.append(q)
+            count, length = count + 1, length + (mlen or 0)
+            score = s if score is None else score + (s or 0.0)
+            if pctid is not None and mlen:
+                identity, weight = (identity or 0.0) + pctid * mlen, weight + mlen
+            h = (min(hs, he), max(hs, he))
+            box = [min(box[0], q[0]), max(box[1], q[1]), min(box[2], h[0]), max(box[3], h[1])] if box else [*q, *h]
+        yield (*key, count, length, score, identity / weight if weight else None, *box)
 
     kinds = ", ".join(f"`{k}` {hits.schema[k].dataType.simpleString()}" for k in keys)
-    return x.groupBy(*keys).applyInPandas(merge, f"{kinds}, n int, mlen long, score double, pctid double, qstart int, qend int, hstart int, hend int")
+    return fold(x, n, [order], merge, f"{kinds}, n int, mlen long, score double, pctid double, qstart int, qend int, hstart int, hend int")
 
 
 def uncovered(spans: Column, length: Column, least: int = 1) -> Column:

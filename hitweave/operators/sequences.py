@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitweave.operators.folds import fold
+from hitweave.operators.taxonomy import numbered
+
 _BASES = "TCAG"
 #: Amino acids of the standard code, codons in the order TTT, TTC, TTA, TTG, TCT ... GGG.
 _AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -50,8 +52,6 @@ def extract_regions(seqs: DataFrame, regions: DataFrame, least: int = 0) -> Data
 
 def fragments_by_count(records: DataFrame, size: int, order: str) -> DataFrame:
     """records with the number of their fragment of size records, from 0, in order."""
-    from hitweave.operators.taxonomy import numbered
-
     return numbered(records, order).withColumn("fragment", F.floor((F.col("n") - 1) / size).cast("int")).drop("n")
 
 
@@ -60,18 +60,17 @@ def fragments_by_size(records: DataFrame, chunk: float, file: str, order: str, s
     ends depends on all before it, so a file is one task's work, but only its sizes go there."""
     small = records.select(F.col(file).alias("f"), F.col(order).alias("o"), size.cast("double").alias("s"))
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o", kind="stable")
-        at, total, out = 0, 0.0, []
-        for s in pdf["s"].fillna(0):
+    def number(key: tuple, rows):
+        at, total = 0, 0.0
+        for _, o, s in rows:
+            s = s or 0.0
             if total > 0 and total + s > chunk:
                 at, total = at + 1, 0.0
             total += s
-            out.append(at)
-        return pdf.assign(fragment=out)[["f", "o", "fragment"]]
+            yield (*key, o, at)
 
     kinds = f"f {records.schema[file].dataType.simpleString()}, o {records.schema[order].dataType.simpleString()}, fragment int"
-    return small.groupBy("f").applyInPandas(number, kinds).select(F.col("f").alias(file), F.col("o").alias(order), "fragment")
+    return fold(small, 1, ["o"], number, kinds).select(F.col("f").alias(file), F.col("o").alias(order), "fragment")
 
 
 def chunk_size(total: float, records: int, splits: int) -> int:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +52,30 @@ def release(spark: SparkSession) -> None:
         _made.remove((s, path))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that it need not be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="hitweave-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "hitweave.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def load(spark: SparkSession, sf_dir: str, *names: str):
     """The named tables of a folder of Parquet tables."""
+    ship(spark)
     dfs = [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
     return dfs[0] if len(dfs) == 1 else dfs
