@@ -28,10 +28,9 @@ def score_bin(score: Column, per_octave: int = 64) -> Column:
 def histogram_floor(rows: DataFrame, keys: list[str], score: str, n: int) -> DataFrame:
     """For each key the highest bin such that at least n rows lie in it or above, or the lowest bin that occurs:
     (keys, floor). The histogram is counted before the shuffle; a key has some thousands of bins, however many rows."""
-    bins = rows.groupBy(*keys, score_bin(F.col(score)).alias("bin")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("bin"))
-    above = F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return bins.withColumn("above", above).where(F.col("above") - F.col("k") < n).groupBy(*keys).agg(F.min("bin").alias("floor"))
+    bins = rows.groupBy(*keys, score_bin(F.col(score)).alias("bin_")).agg(F.count("*").alias("n_"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("bin_")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return bins.withColumn("above_", F.sum("n_").over(w)).where(F.col("above_") - F.col("n_") < n).groupBy(*keys).agg(F.min("bin_").alias("floor"))
 
 
 def _same(a: DataFrame, b: DataFrame, cols: list[tuple[str, str]]) -> Column:
