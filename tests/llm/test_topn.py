@@ -51,7 +51,8 @@ def test_equals_brute_force(spark, hot):
 def test_bins_and_floor(spark):
     from pyspark.sql import functions as F
 
-    v = sorted(random.Random(3).uniform(-500, 5000) for _ in range(500))
+    rng = random.Random(3)
+    v = sorted(rng.uniform(-500, 5000) for _ in range(500))
     df = spark.createDataFrame([("k", x) for x in v], "k string, s double")
     b = [r.b for r in df.orderBy("s").select(score_bin(F.col("s")).alias("b")).collect()]
     assert b == sorted(b)
