@@ -439,11 +439,15 @@ def x_crosstab_total(spark, sf):
     return counts.crosstab(*_sides(spark, sf), total_reads=1_000_000).withColumn("weighted", F.col("weighted").cast("long"))
 
 
-@query(f"WITH {_V}, c AS (SELECT CASE WHEN regexp_full_match(value, 'k[0-9]{{5}}') THEN 'KO' ELSE 'taxon' END AS value, label, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL) FROM c PIVOT (sum(n) FOR label IN ('cast00x00', 'cast00x01', 'cast00x02', 'cast00x03') GROUP BY value)")
+_FOUR = [f"cast00x0{i}" for i in range(4)]
+_WIDE = ", ".join(f"coalesce(CAST(sum(n) FILTER (WHERE label = '{x}') AS BIGINT), 0) AS {x}" for x in _FOUR)
+
+
+@query(f"WITH {_V}, c AS (SELECT CASE WHEN regexp_full_match(value, 'k[0-9]{{5}}') THEN 'KO' ELSE 'taxon' END AS value, label, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL) SELECT value, {_WIDE} FROM c GROUP BY value")
 def x_pivot(spark, sf):
     """Wide table of four samples (the columns are the feature)."""
     v = _values(spark, sf).where("value is not null").withColumn("value", F.when(F.col("value").rlike("^k[0-9]{5}$"), "KO").otherwise("taxon"))
-    return counts.wide(counts.count_values(v), [f"cast00x0{i}" for i in range(4)])
+    return counts.wide(counts.count_values(v), _FOUR)
 
 
 # merging, assembly ---------------------------------------------------------------------------------------------------
