@@ -178,3 +178,20 @@ def transmogrify(lineage: Column, rank: str, listed: list[str]) -> Column:
         return F.when(acc.isNull() | on, x["name"]).when(F.array_contains(names, acc), acc).when(rank_index(x["rank"]) == target, x["name"]).otherwise(acc)
 
     return F.aggregate(lineage, F.lit(None).cast("string"), step)
+
+
+def redistribute(counts: DataFrame, lines: DataFrame) -> DataFrame:
+    """Counts (taxid, n) of inner nodes handed down the tree, in parts: (taxid, n), of nodes below which nothing is counted.
+
+    What a node has, with what came from above, goes to those of its children under which something is counted, by their
+    sums. Along the path to a node this is one fold; totals are kept. Taxa without a lineage are left out."""
+    own = counts.groupBy("taxid").agg(F.sum("n").cast("double").alias("own"))
+    up = own.join(lines.select("taxid", "lineage"), "taxid").select("own", F.col("taxid").alias("leaf"), F.posexplode("lineage.taxid").alias("d", "taxid"))
+    sums = up.groupBy("taxid").agg(F.sum("own").alias("s"))
+    about = sums.join(lines.select("taxid", F.try_element_at(F.col("lineage.taxid"), F.lit(-2)).alias("up")), "taxid").join(own, "taxid", "left").na.fill(0.0, ["own"])
+    below = about.where("up is not null").groupBy("up").agg(F.sum("s").alias("below")).withColumnRenamed("up", "parent")
+    rated = about.join(below, F.col("up") == F.col("parent"), "left").select(F.col("taxid").alias("a"), F.col("own").alias("a_own"), F.coalesce(F.try_divide("s", "below"), F.lit(1.0)).alias("rate"))
+    ends = about.select("taxid").join(below, F.col("taxid") == F.col("parent"), "left_anti")
+    path = ends.join(lines.select("taxid", "lineage"), "taxid").select("taxid", F.posexplode("lineage.taxid").alias("d", "a")).join(rated, "a")
+    steps = path.groupBy("taxid").agg(F.sort_array(F.collect_list(F.struct("d", "a_own", "rate"))).alias("p"))
+    return steps.select("taxid", F.aggregate("p", F.lit(0.0), lambda t, x: t * x["rate"] + x["a_own"]).alias("n"))

@@ -166,3 +166,58 @@ def genbank_taxa(spark: SparkSession, paths) -> DataFrame:
     x = x.where("a is not null or t is not null")
     w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return x.withColumn("acc", F.last("a", True).over(w)).where("t is not null and acc is not null").select("acc", F.col("t").alias("taxid")).distinct()
+
+
+def match_files(spark: SparkSession, pattern: str, constraints: dict[str, str] | None = None) -> DataFrame:
+    """(file, name...) of the files that a path with named wildcards, like "in/{sample}.{ext}", matches. A wildcard doesn't
+    cross a slash; one that comes again must have the same value; constraints: regular expressions for values."""
+    import re
+
+    constraints = constraints or {}
+    names: list[str] = []
+    form = ""
+    for part in re.split(r"(\{\w+\})", pattern):
+        if part[:1] == "{" and part[1:-1] in names:
+            form += rf"\{names.index(part[1:-1]) + 1}"
+        elif part[:1] == "{":
+            names.append(part[1:-1])
+            form += f"({constraints.get(part[1:-1], '[^/]+')})"
+        else:
+            form += re.escape(part)
+    files = spark.read.format("binaryFile").load(re.sub(r"\{\w+\}", "*", pattern)).select(F.regexp_replace("path", "^file:/*", "/").alias("file"))
+    return files.where(F.col("file").rlike(f"{form}$")).select("file", *[F.regexp_extract("file", f"{form}$", i).alias(n) for i, n in enumerate(names, 1)])
+
+
+def read_subsystem_links(spark: SparkSession, paths, skip: int = 2) -> DataFrame:
+    """(key, value) of accessions and their subsystems, all of each."""
+    c = F.split("line", "\t")
+    return _skip(read_lines(spark, paths), skip).where(F.size(c) >= 2).select(F.trim(c[0]).alias("key"), F.trim(c[1]).alias("value")).distinct()
+
+
+def read_category_lines(spark: SparkSession, paths) -> DataFrame:
+    """(gene, groups, description) of lines like "[JK] COG0001 about it": letters of groups in brackets."""
+    form = r"^\[([A-Z]+)\]\s+(\S+)\s+(.*)$"
+    x = read_lines(spark, paths).where(F.col("line").rlike(form))
+    return x.select(F.regexp_extract("line", form, 2).alias("gene"), F.split(F.regexp_extract("line", form, 1), "").alias("groups"), F.trim(F.regexp_extract("line", form, 3)).alias("description"))
+
+
+def read_ranked_list(spark: SparkSession, paths, most: int = 12) -> DataFrame:
+    """(id, name, lineage) of a list whose headers tell their depth by the number of # signs; other lines are leaves of
+    an id and a name under the headers above them."""
+    x = read_lines(spark, paths).where("trim(line) <> ''").withColumn("d", F.length(F.regexp_extract("line", r"^(#*)", 1))).withColumn("t", F.trim(F.regexp_replace("line", r"^#+", "")))
+    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for k in range(1, most + 1):  # a header ends those of its depth and below
+        x = x.withColumn(f"h{k}", F.last(F.when((F.col("d") > 0) & (F.col("d") <= k), F.struct(F.when(F.col("d") == k, F.col("t")).alias("n"))), True).over(w)["n"])
+    above = F.filter(F.array(*[F.col(f"h{k}") for k in range(1, most + 1)]), lambda y: y.isNotNull())
+    c = F.split("line", "\t")
+    return x.where("d = 0").select(F.trim(c[0]).alias("id"), F.trim(F.element_at(c, -1)).alias("name"), above.alias("lineage"))
+
+
+def lengths_from_caf(spark: SparkSession, paths) -> DataFrame:
+    """(contig, length) of an assembly file: lengths of the DNA blocks of sequences that are contigs."""
+    x = read_lines(spark, paths).withColumn("name", F.nullif(F.regexp_extract("line", r"^(?:DNA|Sequence|BaseQuality) ?: ?(\S+)", 1), F.lit("")))
+    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("block", F.last(F.when(F.col("name").isNotNull(), F.struct(F.split("line", r" ?:")[0].alias("kind"), "name")), True).over(w))
+    contigs = x.where("block.kind = 'Sequence' and trim(line) = 'Is_contig'").select("file", F.col("block.name").alias("contig")).distinct()
+    size = x.where("block.kind = 'DNA' and name is null").groupBy("file", F.col("block.name").alias("contig")).agg(F.sum(F.length(F.regexp_replace("line", r"[\s-]", ""))).alias("length"))
+    return size.join(contigs, ["file", "contig"]).select("contig", "length")
