@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,10 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "hits").withColumn("pos", F.col("hit_row"))
 
 
+def _above(hits: DataFrame, least: int | None) -> DataFrame:
+    return hits if least is None else hits.where(F.col("score") >= least)
+
+
 def _rows(df: DataFrame) -> DataFrame:
     return df.select("hit_row")
 
@@ -208,8 +213,8 @@ def c_portion(spark, sf):
     return counts.count_values(_values(spark, sf), "portion").withColumn("n", F.round("n", 6))
 
 
-def _weights(spark, sf) -> DataFrame:
-    return load(spark, sf, "hits").where("score >= 100").groupBy("read").agg(F.countDistinct("hit").alias("weight")).unionByName(load(spark, sf, "read_assignments").groupBy("read").agg(F.count("*").alias("weight")))
+def _weights(spark, sf, least: int | None = 100) -> DataFrame:
+    return _above(load(spark, sf, "hits"), least).groupBy("read").agg(F.countDistinct("hit").alias("weight")).unionByName(load(spark, sf, "read_assignments").groupBy("read").agg(F.count("*").alias("weight")))
 
 
 _W = "w AS (SELECT read, max(weight) AS weight FROM (SELECT read, count(DISTINCT hit) AS weight FROM hits WHERE score >= 100 GROUP BY read UNION ALL SELECT read, count(*) FROM read_assignments GROUP BY read) GROUP BY read)"
@@ -264,8 +269,8 @@ def j_screen_drop(spark, sf):
 _SPANS = "x AS (SELECT hit_row, label || '/' || read AS k, least(qstart, qend) AS s, greatest(qstart, qend) AS e, hit_desc LIKE 'ribosome%' AND score >= 250 AS rna FROM hits WHERE qstart IS NOT NULL AND qend IS NOT NULL)"
 
 
-def _spans(spark, sf) -> tuple[DataFrame, DataFrame]:
-    x = _hits(spark, sf).where("qstart is not null and qend is not null").select("hit_row", F.concat_ws("/", "label", "read").alias("k"), F.least("qstart", "qend").alias("start"), F.greatest("qstart", "qend").alias("stop"), (F.col("hit_desc").startswith("ribosome") & (F.col("score") >= 250)).alias("rna"))
+def _spans(spark, sf, least: int | None = 250) -> tuple[DataFrame, DataFrame]:
+    x = _hits(spark, sf).where("qstart is not null and qend is not null").select("hit_row", F.concat_ws("/", "label", "read").alias("k"), F.least("qstart", "qend").alias("start"), F.greatest("qstart", "qend").alias("stop"), (F.col("hit_desc").startswith("ribosome") & (F.lit(True) if least is None else F.col("score") >= least)).alias("rna"))
     return x, x.where("rna")
 
 
@@ -384,8 +389,8 @@ _BY_HIT = "h AS (SELECT label, read, hit AS org, hit, hit_row FROM hits WHERE sc
 _BY_ORG = "h AS (SELECT label, read, nullif(lower(regexp_extract(hit_desc, '\\[([^\\[\\]]+)\\]', 1)), '') AS org, hit, hit_row FROM hits WHERE score >= 100), "
 
 
-def _orgs(spark, sf) -> DataFrame:
-    return _hits(spark, sf).where("score >= 100").withColumn("org", F.nullif(F.lower(F.regexp_extract("hit_desc", translate.PATTERNS["organism"], 1)), F.lit("")))
+def _orgs(spark, sf, least: int | None = 100) -> DataFrame:
+    return _above(_hits(spark, sf), least).withColumn("org", F.nullif(F.lower(F.regexp_extract("hit_desc", translate.PATTERNS["organism"], 1)), F.lit("")))
 
 
 @query("WITH " + _BY_HIT + _CAND + _TOP)
@@ -587,10 +592,10 @@ def p_translate_packed(spark, sf):
     return translate.translate_packed(genes, "row_id", items, _links(spark, sf), "none").withColumn("values", F.array_join("values", ";"))
 
 
-def _identify(every: bool):
+def _identify(every: bool, least: int | None = 100):
     def f(spark, sf):
         lines = _lines(spark, sf)
-        hits = translate.lookup(_orgs(spark, sf), "org", _name_map(spark, sf), "taxid")
+        hits = translate.lookup(_orgs(spark, sf, least), "org", _name_map(spark, sf), "taxid")
         target = lines.where("rank = 'phylum'").agg(F.min("taxid")).collect()[0][0]
         outer = lines.where(F.col("taxid") == target).select(F.col("lineage")[0]["taxid"]).collect()[0][0]
         return _rows(identify.identify(hits, lines, target, outer, 10, every))
@@ -636,3 +641,71 @@ def g_merge_tax(spark, sf):
 def z_islands(spark, sf):
     """Runs of a read in the file order of its sample."""
     return sequences.islands(_hits(spark, sf), "read", "hit_row", "label").select("hit_row", "island")
+
+
+# all rows of hits, beside the queries above whose SQL takes only rows of a least score ---------------------------------
+
+def whole(f):
+    """Register a function under its name; its SQL is that of the query without _whole, less the least score."""
+    SQL[f.__name__] = re.sub(r"(?: WHERE| AND) score >= [0-9]+", "", SQL[f.__name__.removesuffix("_whole")])
+    QUERIES[f.__name__] = f
+    return f
+
+
+@whole
+def f_nonoverlap_whole(spark, sf):
+    return _rows(filter_hits(_hits(spark, sf), FilterParams(nonoverlapping=0, sort="score")))
+
+
+@whole
+def f_nonoverlap_buffer_whole(spark, sf):
+    return _rows(filter_hits(_hits(spark, sf), FilterParams(nonoverlapping=50, sort="score")))
+
+
+@whole
+def c_weighted_whole(spark, sf):
+    return counts.count_values(_values(spark, sf), weights=_weights(spark, sf, None))
+
+
+@whole
+def j_overlap_anti_whole(spark, sf):
+    a, b = _spans(spark, sf, None)
+    return _rows(intervals.overlap_join(a, b, "k", "left_anti"))
+
+
+@whole
+def j_overlap_pairs_whole(spark, sf):
+    a, b = _spans(spark, sf, None)
+    return intervals.overlap_join(a, b, "k").select("hit_row", "b_hit_row")
+
+
+@whole
+def x_tophit_whole(spark, sf):
+    return tophit.top_hit(_hits(spark, sf), "hit")
+
+
+@whole
+def x_toporg_whole(spark, sf):
+    return tophit.top_hit(_orgs(spark, sf, None), "org")
+
+
+@whole
+def x_tophit_prop_whole(spark, sf):
+    return tophit.top_hit_proportional(_orgs(spark, sf, None), "org")
+
+
+@whole
+def x_given_counts_whole(spark, sf):
+    given = load(spark, sf, "hits").groupBy(F.col("hit").alias("org")).agg(F.count("*").alias("n"))
+    return tophit.top_hit(_hits(spark, sf), "hit", counts=given)
+
+
+@whole
+def x_crosstab_weighted_whole(spark, sf):
+    return counts.crosstab(*_sides(spark, sf), weights=_weights(spark, sf, None))
+
+
+for _n, _e in (("i_identify_all", True), ("i_identify_any", False)):
+    _f = _identify(_e, None)
+    _f.__name__ = f"{_n}_whole"
+    whole(_f)
