@@ -45,6 +45,21 @@ def _columns(pdf: pd.DataFrame):
     return pdf["id"].to_numpy(dtype=np.int64), parents, has
 
 
+def _opened(ids: np.ndarray, parents: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """has, but without the parent of the smallest node of each ring in the block: the ring's paths begin there."""
+    local, top, _, cyclic = _resolve(ids, parents, has)
+    has, seen = has.copy(), set()
+    for t in np.unique(top[cyclic]).tolist():
+        if t in seen:
+            continue
+        ring = [t]
+        while (j := int(local[ring[-1]])) != t:
+            ring.append(j)
+        seen.update(ring)
+        has[min(ring, key=lambda i: ids[i])] = False
+    return has
+
+
 def _requests(pdf: pd.DataFrame) -> pd.DataFrame:
     """The parents outside of the block that its chains end at, each once."""
     ids, parents, has = _columns(pdf)
@@ -53,12 +68,13 @@ def _requests(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pid": np.full(len(asked), pdf["pid"].iloc[0] if len(pdf) else 0, dtype=np.int32), "id": asked})
 
 
-def _fragments(nodes: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+def _fragments(nodes: pd.DataFrame, entries: pd.DataFrame, opened: bool) -> pd.DataFrame:
     """For the nodes that other blocks ask for: the exit of their chain and the fragment of path down from it. A chain
     that never leaves a cycle becomes a node that is its own parent."""
     out: list[tuple] = []
     if len(nodes) and len(entries):
         ids, parents, has = _columns(nodes)
+        has = _opened(ids, parents, has) if opened else has
         local, top, _, cyclic = _resolve(ids, parents, has)
         labels, hops = nodes["label"].to_numpy(object), nodes["hops"].to_numpy(np.int64)
         at = dict(zip(ids.tolist(), range(len(ids))))
@@ -80,12 +96,13 @@ def _fragments(nodes: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({"id": "int64", "parent": "Int64", "hops": "int64", "label": object})
 
 
-def _expand(nodes: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+def _expand(nodes: pd.DataFrame, answers: pd.DataFrame, opened: bool) -> pd.DataFrame:
     """Paths of all nodes of a block, from the paths of the outside parents. An outside parent without an answer is no
     node: the node below it is a root."""
     if not len(nodes):
         return pd.DataFrame({"id": pd.Series(dtype="int64"), "path": pd.Series(dtype=object), "depth": pd.Series(dtype="int64")})
     ids, parents, has = _columns(nodes)
+    has = _opened(ids, parents, has) if opened else has
     local, _, dist, cyclic = _resolve(ids, parents, has)
     labels, hops = nodes["label"].to_numpy(object), nodes["hops"].to_numpy(np.int64)
     known = {i: (p, d) for i, p, d in zip(answers["id"], answers["path"], answers["depth"])}
@@ -107,8 +124,9 @@ def _expand(nodes: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "path": pd.Series(path, dtype=object), "depth": depth})
 
 
-def _solve(nodes: DataFrame, block_rows: int, level: int) -> DataFrame:
-    """nodes (id, parent, label, hops) with unique ids -> (id, path, depth); path null: the parents never end."""
+def _solve(nodes: DataFrame, block_rows: int, level: int, opened: bool = False) -> DataFrame:
+    """nodes (id, parent, label, hops) with unique ids -> (id, path, depth); path null: the parents never end. opened:
+    each ring is opened at one of its nodes, and no path is null."""
     spark = nodes.sparkSession
     nodes = cut(nodes, f"forest{level}")
     blocks = max(1, math.ceil(nodes.count() / block_rows))
@@ -131,10 +149,17 @@ def _solve(nodes: DataFrame, block_rows: int, level: int) -> DataFrame:
     else:
         asked = cut(asked, f"asked{level}")
         entries = asked.select("id").distinct().join(placed.select("id", "pid"), "id").select("id", F.col("pid").alias("at"))
-        quotient = placed.groupBy("pid").cogroup(entries.groupBy("at")).applyInPandas(_fragments, "id long, parent long, label string, hops long")
-        solved = _solve(quotient, block_rows, level + 1)
+        quotient = placed.groupBy("pid").cogroup(entries.groupBy("at")).applyInPandas(lambda a, b: _fragments(a, b, opened), "id long, parent long, label string, hops long")
+        solved = _solve(quotient, block_rows, level + 1, opened)
         answers = asked.join(solved, "id").select(F.col("pid").alias("at"), "id", "path", "depth")
-    return placed.groupBy("pid").cogroup(answers.groupBy("at")).applyInPandas(_expand, "id long, path string, depth long")
+    return placed.groupBy("pid").cogroup(answers.groupBy("at")).applyInPandas(lambda a, b: _expand(a, b, opened), "id long, path string, depth long")
+
+
+def _nodes(rows: DataFrame, id_col: str, parent_col: str, order_col: str | None) -> DataFrame:
+    order = F.col(order_col) if order_col else F.lit(0)
+    picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("parent"), order.alias("o"))
+    last = picked.where("id is not null").groupBy("id").agg(F.max(F.struct("o", "parent")).alias("m"))
+    return last.select("id", F.expr("nullif(m.parent, id)").alias("parent"), F.col("id").cast("string").alias("label"), F.lit(1).cast("long").alias("hops"))
 
 
 def hierarchy(rows: DataFrame, id_col: str, parent_col: str, order_col: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -149,11 +174,7 @@ def hierarchy(rows: DataFrame, id_col: str, parent_col: str, order_col: str | No
     id itself or no id of the table makes a root. Columns beside the three named ones are ignored, whatever they are
     called. An empty table gives an empty result.
     """
-    order = F.col(order_col) if order_col else F.lit(0)
-    picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("parent"), order.alias("o"))
-    last = picked.where("id is not null").groupBy("id").agg(F.max(F.struct("o", "parent")).alias("m"))
-    nodes = last.select("id", F.expr("nullif(m.parent, id)").alias("parent"), F.col("id").cast("string").alias("label"), F.lit(1).cast("long").alias("hops"))
-    solved = _solve(nodes, block_rows, 0)
+    solved = _solve(_nodes(rows, id_col, parent_col, order_col), block_rows, 0)
     return solved.select("id", "path", F.when(F.col("path").isNotNull(), F.col("depth")).alias("depth"), F.substring_index("path", SEP, 1).cast("long").alias("root"))
 
 
@@ -168,3 +189,36 @@ def subtree_sizes(paths: DataFrame) -> DataFrame:
     """Number of descendants of each node with a path: (id, n_descendants)."""
     counted = descendants(paths).groupBy("id").agg(F.count("*").alias("n"))
     return paths.where("path is not null").select("id").join(counted, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_descendants"))
+
+
+def opened_hierarchy(rows: DataFrame, id_col: str, parent_col: str, order_col: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """hierarchy() in which nodes on or below a cycle have paths too: (id, path, depth, root, last).
+
+    Each cycle is opened above one of its nodes, the root of these paths; last is the parent of that node, where the cycle
+    ends. In trees last is null."""
+    nodes = _nodes(rows, id_col, parent_col, order_col)
+    solved = _solve(nodes, block_rows, 0, True).select("id", "path", F.substring_index("path", SEP, 1).alias("root"))
+    # a ring of several blocks is opened above a fragment; nodes asked for within it have gone round, to their root again
+    rest = F.expr(f"substring_index(concat('{SEP}', path, '{SEP}'), concat('{SEP}', root, '{SEP}'), -1)")
+    solved = solved.withColumn("path", F.rtrim(F.concat("root", F.lit(SEP), rest), F.lit(SEP)))
+    solved = cut(solved.select("id", "path", F.size(F.split("path", SEP)).cast("long").alias("depth"), F.col("root").cast("long").alias("root")), "opened")
+    tops = solved.where("id = root").select("id").join(nodes.select("id", "parent"), "id").select(F.col("id").alias("root"), F.col("parent").alias("last"))
+    tops = tops.join(solved.select(F.col("id").alias("last")), "last", "left_semi")
+    return solved.join(tops, "root", "left").select("id", "path", "depth", "root", "last")
+
+
+def all_descendants(paths: DataFrame) -> DataFrame:
+    """All pairs of a node and another node below it, from opened_hierarchy()'s result: (id, descendant, distance). The
+    nodes of a cycle are below each other, and what hangs off a cycle is below all of its nodes; the distance is the
+    shortest."""
+    rings = paths.where("id = last").select("root", F.split("path", SEP).alias("ring"), F.col("depth").alias("size"))
+    x = paths.where("last is not null").select(F.col("id").alias("descendant"), F.split("path", SEP).alias("mine"), "depth", "root").join(rings, "root")
+    off = F.expr("filter(transform(ring, (x, i) -> struct(i as pos, x as a)), s -> s.pos >= size(mine) or get(mine, s.pos) <> s.a)")
+    round_ = x.select("descendant", "depth", "size", F.explode(off).alias("s"))
+    return descendants(paths).unionByName(round_.select(F.col("s.a").cast("long").alias("id"), "descendant", (F.col("depth") + F.col("size") - 1 - F.col("s.pos")).alias("distance")))
+
+
+def all_subtree_sizes(paths: DataFrame) -> DataFrame:
+    """Number of descendants of each node, from opened_hierarchy()'s result: (id, n_descendants)."""
+    counted = all_descendants(paths).groupBy("id").agg(F.count("*").alias("n"))
+    return paths.select("id").join(counted, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_descendants"))
