@@ -455,6 +455,13 @@ def x_pivot(spark, sf):
     return counts.wide(counts.count_values(v), _FOUR)
 
 
+@query(f"PIVOT (WITH {_V} SELECT CASE WHEN regexp_full_match(value, 'k[0-9]{{5}}') THEN 'KO' ELSE 'taxon' END AS value, label FROM v WHERE value IS NOT NULL) ON label USING CAST(count(*) AS BIGINT) GROUP BY value")
+def x_pivot_whole(spark, sf):
+    """Wide table of all samples that occur."""
+    v = _values(spark, sf).where("value is not null").withColumn("value", F.when(F.col("value").rlike("^k[0-9]{5}$"), "KO").otherwise("taxon"))
+    return counts.wide(counts.count_values(v))
+
+
 # merging, assembly ---------------------------------------------------------------------------------------------------
 
 @query()

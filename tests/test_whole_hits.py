@@ -47,3 +47,13 @@ def test_overlaps(spark, rows, folder):
 @pytest.mark.parametrize("name", ["x_tophit_whole", "x_toporg_whole", "x_tophit_prop_whole", "x_given_counts_whole"])
 def test_every_read_has_a_top_hit(spark, rows, folder, name):
     assert sorted(r.read for r in QUERIES[name](spark, folder).collect()) == sorted({r[2] for r in rows})
+
+
+def test_pivot_of_all_labels(spark, tmp_path):
+    rows = [(i, f"cast00x{i % 12:02}", f"r{i}", "K00001" if i % 5 else "Bos") for i in range(60)]
+    spark.createDataFrame(rows, "assign_id long, label string, read string, hit string").write.parquet(f"{tmp_path}/read_assignments.parquet")
+    got = {r.value: r.asDict() for r in QUERIES["x_pivot_whole"](spark, str(tmp_path)).collect()}
+    labels = {r[1] for r in rows}
+    assert set(got["KO"]) == labels | {"value"}
+    for x in labels:
+        assert [got[v][x] for v in ("KO", "taxon")] == [sum(r[1] == x and (r[3] == "K00001") == k for r in rows) for k in (True, False)]
