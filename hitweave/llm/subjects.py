@@ -115,9 +115,10 @@ def _vocabulary(words: DataFrame, s: Settings) -> list[tuple[str, float]]:
     groups = {g: k for g, k in sizes.items() if g and k >= s.group_share * n} or sizes
     if not groups:
         return []
+    rest = n - sum(groups.values())  # documents of small groups and of none, as one group for terms of no other
     size = F.create_map(*[x for g, k in groups.items() for x in (F.lit(g), F.lit(k))])
     df = words.select("id", "g", "terms").mapInArrow(count, "term string, g string, n long").groupBy("term", "g").agg(F.sum("n").alias("n"))
-    rated = df.groupBy("term").agg(F.sum("n").alias("docs"), F.max(F.try_divide(F.col("n"), size[F.col("g")])).alias("rate"))
+    rated = df.groupBy("term").agg(F.sum("n").alias("docs"), F.coalesce(F.max(F.try_divide(F.col("n"), size[F.col("g")])), F.try_divide(F.sum("n"), F.lit(rest))).alias("rate"))
     least = max(LEAST_DOCS, LEAST_SHARE * n)
     kept = rated.where((F.col("docs") >= least) & (F.col("rate") <= s.most_rate)).select("term", F.log(1 / F.greatest("rate", F.lit(1e-4))).alias("w"))
     rows = kept.limit(MOST_TERMS + 1).collect()
@@ -251,8 +252,7 @@ def _gather(z: np.ndarray, same: float) -> tuple[np.ndarray, np.ndarray]:
             n[j] += 1
         else:
             sums, n = np.vstack([sums, x]), np.append(n, 1)
-    keep = n >= 1 + len(z) // 200
-    return (sums[keep], n[keep]) if keep.any() else (sums, n)
+    return sums, n
 
 
 def _scores(z: np.ndarray, c: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
