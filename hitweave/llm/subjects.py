@@ -3,7 +3,7 @@
   1. The sender's own words (mail.own_words) become terms, single words and pairs within a sentence. Counts of
      documents by term and group (a language, say) cover the whole collection. A term weighs by its rarity within the
      group where it is most common, so that the everyday words of a small language aren't taken for subject words; terms
-     of very many or very few documents are left out, which bounds the vocabulary whatever the size of the collection.
+     of very many documents weigh little, those of very few are left out, which bounds the vocabulary whatever the size of the collection.
   2. Subspace iteration finds the leading singular directions of the document-term matrix: each pass multiplies the
      matrix by a small dense one, task by task, and sums blocks of rows in a shuffle. Documents are embedded in these.
   3. Documents with one known subject are the seeds. Those of a subject are gathered into a few centroids, as it may be
@@ -45,7 +45,7 @@ class Settings:
     dims: int = 64
     passes: int = 3
     refinements: int = 5
-    #: share of the documents of a group above which a term is an everyday word there
+    #: share of the documents of a group above which a term loses weight
     most_rate: float = 0.12
     #: share of all documents from which on a group counts as one
     group_share: float = 0.02
@@ -120,7 +120,10 @@ def _vocabulary(words: DataFrame, s: Settings) -> list[tuple[str, float]]:
     df = words.select("id", "g", "terms").mapInArrow(count, "term string, g string, n long").groupBy("term", "g").agg(F.sum("n").alias("n"))
     rated = df.groupBy("term").agg(F.sum("n").alias("docs"), F.coalesce(F.max(F.try_divide(F.col("n"), size[F.col("g")])), F.try_divide(F.sum("n"), F.lit(rest))).alias("rate"))
     least = max(LEAST_DOCS, LEAST_SHARE * n)
-    kept = rated.where((F.col("docs") >= least) & (F.col("rate") <= s.most_rate)).select("term", F.log(1 / F.greatest("rate", F.lit(1e-4))).alias("w"))
+    # above most_rate the weight is lowered by the rate: small for everyday words, some for those of a hot subject
+    rarity = F.log(1 / F.greatest("rate", F.lit(1e-4)))
+    weight = rarity * F.least(F.lit(1.0), s.most_rate / F.col("rate"))
+    kept = rated.where((F.col("docs") >= least) & (F.col("rate") < 1)).select("term", weight.alias("w"))
     rows = kept.limit(MOST_TERMS + 1).collect()
     if len(rows) > MOST_TERMS:
         raise ValueError("documents of too many distinct terms")

@@ -19,3 +19,9 @@ def test_small_centroids_stay():
     z = np.vstack([np.tile([1.0, 0.0, 0.0], (400, 1)), [[0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]])
     sums, n = _gather(z, 0.5)
     assert len(sums) == 3 and sorted(n) == [1, 1, 400]
+
+
+def test_common_terms_keep_a_small_weight(spark):
+    rows = [(i, " . ".join(["hello", "compiler" if i % 4 == 0 else "quiet", f"rare{'abcdefghijklmnopqrst'[i % 20]}"]), "en") for i in range(200)]
+    w = vocabulary(spark, rows)
+    assert 0 < w["compiler"] < w["rarea"] and "hello" not in w
