@@ -99,7 +99,7 @@ def _texts(text: str, depth: int = 0) -> list[str]:
         return []
     charset = re.search(r"charset\s*=\s*\"?([\w-]+)", kind)
     body = _decode(body, head.get("content-transfer-encoding", ""), charset[1] if charset else "").replace("\r\n", "\n").replace("\r", "\n")
-    if kind.startswith("text/html") or re.search(r"(?i)<(?:html|body|div|p|br)\b", body[:2000]):
+    if kind.startswith("text/html") or re.search(r"(?i)<(?:html|body|div|p|br)\b", body):
         body = _from_html(body)
     return [body]
 
