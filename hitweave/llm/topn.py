@@ -1,11 +1,16 @@
 """The best rows of every group, exact, with a fixed order among ties.
 
-Rows of ordinary groups are ranked by windows after one shuffle by group. Groups of more rows than ``hot`` (there can be
-no more than rows / hot of them) never meet in one task: their rows are first reduced to one per item, whose best scores
-make a histogram for each group. It gives a floor at or above which at least N items lie; items below it can't be among
-the first N and are dropped, the few others are ranked exactly. In the same way a histogram of the rows of an item that
-is itself hot gives a floor for the first rows of the item. Rows below a floor are not lost where a set of limits doesn't
-ask for a rank at all.
+  1. Rows are reduced, before any shuffle, to one per item of a group: its best score and its number of rows. The best
+     scores of the items make a histogram for every group. It gives a floor at or above which at least N items lie: those
+     below can't be among the first N.
+  2. Items that no set of limits can want, by the floor of their group or by the scores it asks for, are dropped. Of the
+     rest the first N are ranked exactly, with the tie keys.
+  3. Rows meet their items, and those of dropped items end there. Items with more than N rows have a histogram of their
+     rows in turn; rows below its floor have no rank. The others are ranked exactly.
+
+Nothing depends on the size of a group. A group or item of a third of all rows meets its floor in a join of which Spark
+splits the hot side, as no other step asks for the join's order; ranks are cut to N in every task before the shuffle, so
+that rows of equal scores, which no floor can part, don't meet in one task either.
 """
 
 from __future__ import annotations
@@ -15,9 +20,9 @@ from pyspark.sql import functions as F
 
 from hitweave.session import cut
 
-#: A group or item of more rows is hot; the bound on their number lets their floors be broadcast.
-HOT_ROWS, HOT_SHARE = 50_000, 1000
+#: Most sets of limits; they are the only thing that is collected or broadcast.
 MOST_PARAMS = 1000
+_GROUP, _ITEM = ["g0", "g1"], ["g0", "g1", "item"]
 
 
 def score_bin(score: Column, per_octave: int = 64) -> Column:
@@ -26,55 +31,34 @@ def score_bin(score: Column, per_octave: int = 64) -> Column:
 
 
 def histogram_floor(rows: DataFrame, keys: list[str], score: str, n: int) -> DataFrame:
-    """For each key the highest bin such that at least n rows lie in it or above, or the lowest bin that occurs:
-    (keys, floor). The histogram is counted before the shuffle; a key has some thousands of bins, however many rows."""
-    bins = rows.groupBy(*keys, score_bin(F.col(score)).alias("bin_")).agg(F.count("*").alias("n_"))
+    """For each key the highest bin such that at least n rows lie in it or above, or the lowest bin that occurs, and the
+    highest score: (keys, floor, best). The histogram is counted before the shuffle; a key has some thousands of bins,
+    however many rows."""
+    bins = rows.groupBy(*keys, score_bin(F.col(score)).alias("bin_")).agg(F.count("*").alias("n_"), F.max(score).alias("top_"))
     w = Window.partitionBy(*keys).orderBy(F.desc("bin_")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return bins.withColumn("above_", F.sum("n_").over(w)).where(F.col("above_") - F.col("n_") < n).groupBy(*keys).agg(F.min("bin_").alias("floor"))
-
-
-def _same(a: DataFrame, b: DataFrame, cols: list[tuple[str, str]]) -> Column:
-    """Equality of keys in which null equals null."""
-    cond = F.lit(True)
-    for x, y in cols:
-        cond = cond & a[x].eqNullSafe(b[y])
-    return cond
-
-
-def _ranked_cold(rows: DataFrame) -> DataFrame:
-    item = Window.partitionBy("g0", "g1", "item")
-    order = item.orderBy(F.desc("score"), "row")
-    ranked = rows.withColumn("best_of_item", F.max("score").over(item)).withColumn("nth_row", F.row_number().over(order))
-    group = Window.partitionBy("g0", "g1")
-    return ranked.withColumn("nth_item", F.dense_rank().over(group.orderBy(F.desc("best_of_item"), "item"))).withColumn("best", F.max("score").over(group)).drop("best_of_item")
-
-
-def _ranked_hot(rows: DataFrame, hot: DataFrame, most_items: int, most_rows: int, item_rows: int) -> DataFrame:
-    """nth_item and nth_row of the rows of hot groups; null where it is above most_items or most_rows."""
-    items = cut(rows.groupBy("g0", "g1", "item").agg(F.max("score").alias("top"), F.count("*").alias("n")), "items")
-    floors = histogram_floor(items, ["g0", "g1"], "top", most_items).select(F.col("g0").alias("h0"), F.col("g1").alias("h1"), "floor")
-    floors = F.broadcast(floors)  # one row for each hot group
-    survivors = items.join(floors, _same(items, floors, [("g0", "h0"), ("g1", "h1")])).where(score_bin(F.col("top")) >= F.col("floor"))
-    nth = F.row_number().over(Window.partitionBy("g0", "g1").orderBy(F.desc("top"), "item"))
-    first = survivors.withColumn("nth_item", nth).where(F.col("nth_item") <= most_items).select(F.col("g0").alias("i0"), F.col("g1").alias("i1"), F.col("item").alias("i2"), "nth_item")
-    first = F.broadcast(cut(first, "firstitems"))  # at most most_items rows for each hot group
-    out = rows.join(first, _same(rows, first, [("g0", "i0"), ("g1", "i1"), ("item", "i2")]), "left").drop("i0", "i1", "i2")
-    best = F.broadcast(hot.select(F.col("g0").alias("b0"), F.col("g1").alias("b1"), "best"))
-    out = out.join(best, _same(out, best, [("g0", "b0"), ("g1", "b1")])).drop("b0", "b1")
-    large = F.broadcast(items.where(F.col("n") > item_rows).select(F.col("g0").alias("l0"), F.col("g1").alias("l1"), F.col("item").alias("l2")))
-    of_large = rows.join(large, _same(rows, large, [("g0", "l0"), ("g1", "l1"), ("item", "l2")])).select("g0", "g1", "item", "score")
-    low = histogram_floor(of_large, ["g0", "g1", "item"], "score", most_rows).select(F.col("g0").alias("f0"), F.col("g1").alias("f1"), F.col("item").alias("f2"), F.col("floor").alias("row_floor"))
-    low = F.broadcast(cut(low, "rowfloors"))
-    out = out.join(low, _same(out, low, [("g0", "f0"), ("g1", "f1"), ("item", "f2")]), "left").drop("f0", "f1", "f2")
-    out = out.withColumn("ranks", F.col("row_floor").isNull() | (score_bin(F.col("score")) >= F.col("row_floor"))).drop("row_floor")
-    # rows below the floor of their item go to keys of their own, any number of them, so that no task gets them all
-    spread = F.when(F.col("ranks"), F.lit(0)).otherwise(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) + 1)
-    w = Window.partitionBy("g0", "g1", "item", "spread").orderBy(F.desc("score"), "row")
-    out = out.withColumn("spread", spread).withColumn("nth_row", F.when(F.col("ranks"), F.row_number().over(w)))
-    return out.drop("spread", "ranks")
-
-
-def top_rows(rows: DataFrame, params: DataFrame, group_cols: tuple[str, str], item_col: str, score_col: str, row_col: str, hot_rows: int | None = None) -> DataFrame:
+    return bins.withColumn("above_", F.sum("n_").over(w)).where(F.col("above_") - F.col("n_") < n).groupBy(*keys).agg(F.min("bin_").alias("floor"), F.max("top_").alias("best"))
+
+
+def _meet(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys in which null equals null; b's keys are left out."""
+    named = b.select(*[F.col(k).alias(f"b_{k}") if k in keys else F.col(k) for k in b.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"b_{k}"))
+    return a.join(named, same, how).drop(*[f"b_{k}" for k in keys])
+
+
+def _least(cuts: list[Column]) -> Column:
+    """The lowest of the scores that sets of limits ask for; none of them: a score that no row has."""
+    return F.least(*cuts) if len(cuts) > 1 else cuts[0] if cuts else F.lit(float("inf"))
+
+
+def _cut_at(pct: Column, bits: Column) -> Column:
+    best = F.greatest(F.col("best"), F.lit(0.0))
+    return F.when(pct >= 0, F.greatest(best - pct * best / 100, bits)).otherwise(bits)
+
+
+def top_rows(rows: DataFrame, params: DataFrame, group_cols: tuple[str, str], item_col: str, score_col: str, row_col: str) -> DataFrame:
     """The rows kept under each row of params: (param_id, row_col).
 
     params: (param_id, hits_per_read, hsps_per_hit, top_pct, bits), MOST_PARAMS rows at most. A group is ordered by score
@@ -85,25 +69,48 @@ def top_rows(rows: DataFrame, params: DataFrame, group_cols: tuple[str, str], it
 
     A null or NaN score is never kept. Null group columns make groups of their own. Repeated rows count each; rows that
     are equal in all of these columns are interchangeable. Columns beside the named ones are ignored. Empty tables give
-    an empty result. hot_rows: from how many rows on a group is treated as a hot one; by default the larger of HOT_ROWS
-    and a HOT_SHARE-th of all rows, so that there are no more than HOT_SHARE hot groups.
+    an empty result.
     """
-    x = rows.select(F.col(group_cols[0]).alias("g0"), F.col(group_cols[1]).alias("g1"), F.col(item_col).alias("item"), F.col(score_col).cast("double").alias("score"), F.col(row_col).alias("row"))
-    x = x.where("score is not null and not isnan(score)")
     p = params.select("param_id", F.coalesce("hits_per_read", F.lit(0)).alias("n_items"), F.coalesce("hsps_per_hit", F.lit(0)).alias("n_rows"), F.coalesce("top_pct", F.lit(-1.0)).alias("pct"), F.coalesce("bits", F.lit(0.0)).alias("bits"))
     limits = p.limit(MOST_PARAMS + 1).collect()
     if len(limits) > MOST_PARAMS:
         raise ValueError(f"more than {MOST_PARAMS} sets of limits")
-    most_items, most_rows = max([1, *(r.n_items for r in limits)]), max([1, *(r.n_rows for r in limits)])
-    hot_at = max(HOT_ROWS, rows.count() // HOT_SHARE) if hot_rows is None else hot_rows
-    hot = cut(x.groupBy("g0", "g1").agg(F.count("*").alias("n"), F.max("score").alias("best")).where(F.col("n") > hot_at), "hotgroups")
-    keys = F.broadcast(hot.select(F.col("g0").alias("h0"), F.col("g1").alias("h1")))
-    is_hot = _same(x, keys, [("g0", "h0"), ("g1", "h1")])
-    cold_rows, hot_only = x.join(keys, is_hot, "left_anti"), x.join(keys, is_hot, "left_semi")
-    ranked = _ranked_cold(cold_rows)
-    if hot.limit(1).count():
-        ranked = ranked.unionByName(_ranked_hot(hot_only, hot, most_items, most_rows, hot_at))
-    best = F.greatest("best", F.lit(0.0))
-    cut_at = F.when(F.col("pct") >= 0, F.greatest(best - F.col("pct") * best / 100, F.col("bits"))).otherwise(F.col("bits"))
-    kept = ranked.join(F.broadcast(p), (F.col("score") >= cut_at) & ((F.col("n_items") == 0) | (F.col("nth_item") <= F.col("n_items"))) & ((F.col("n_rows") == 0) | (F.col("nth_row") <= F.col("n_rows"))))
-    return kept.select("param_id", F.col("row").alias(row_col))
+    # no row below the lowest bits is ever kept
+    x = rows.select(F.col(group_cols[0]).alias("g0"), F.col(group_cols[1]).alias("g1"), F.col(item_col).alias("item"), F.col(score_col).cast("double").alias("score"), F.col(row_col).alias("row"))
+    x = x.where("score is not null and not isnan(score)").where(F.col("score") >= min((r.bits for r in limits), default=0.0))
+    by_items = sorted({(r.pct, r.bits) for r in limits if r.n_items})
+    by_rows = sorted({r.n_rows for r in limits if r.n_rows})
+    any_item = _least([_cut_at(F.lit(a), F.lit(b)) for a, b in sorted({(r.pct, r.bits) for r in limits if not r.n_items})])
+    first_items = _least([_cut_at(F.lit(a), F.lit(b)) for a, b in by_items])
+    most_items = max([1, *(r.n_items for r in limits)])
+
+    items = x.groupBy(*_ITEM).agg(F.max("score").alias("top"), F.count("*").alias("n"))
+    floors = histogram_floor(items, _GROUP, "top", most_items)
+    among = (F.col("top") >= first_items) & (score_bin(F.col("top")) >= F.col("floor"))
+    wanted = _meet(items, floors, _GROUP).withColumn("among", among).where(F.col("among") | (F.col("top") >= any_item))
+    wanted = cut(wanted.drop("floor"), "items")
+    place = F.row_number().over(Window.partitionBy(*_GROUP).orderBy(F.desc("top"), "item"))
+    first = wanted.where("among").withColumn("nth_item", place).where(F.col("nth_item") <= most_items)
+    if not by_items:
+        wanted = wanted.withColumn("nth_item", F.lit(None).cast("int"))
+    else:
+        wanted = first if all(r.n_items for r in limits) else _meet(wanted, first.select(*_ITEM, "nth_item"), _ITEM, "left")
+    wanted = wanted.select(*_ITEM, "n", "best", "nth_item")
+    asked = (F.col("score") >= any_item) | ((F.col("score") >= first_items) & F.col("nth_item").isNotNull())
+    kept = cut(_meet(x, wanted, _ITEM).where(asked), "rows")
+
+    def under(df: DataFrame, which: DataFrame, ranked: bool) -> DataFrame:
+        ok = (F.col("score") >= _cut_at(F.col("pct"), F.col("bits"))) & ((F.col("n_items") == 0) | (F.col("nth_item") <= F.col("n_items")))
+        ok = ok & (F.col("nth_row") <= F.col("n_rows")) if ranked else ok
+        return df.join(F.broadcast(which), ok).select("param_id", F.col("row").alias(row_col))
+
+    out = under(kept, p.where("n_rows = 0"), False)
+    if not by_rows:
+        return out
+    # an item of no more rows than the lowest limit keeps them all; one of no more than the highest needs no floor
+    out = out.unionByName(under(kept.where(F.col("n") <= by_rows[0]), p.where("n_rows > 0"), False))
+    many = kept.where(F.col("n") > by_rows[0])
+    low = histogram_floor(many.where(F.col("n") > by_rows[-1]), _ITEM, "score", by_rows[-1]).drop("best")
+    high = _meet(many, low, _ITEM, "left").where(F.col("floor").isNull() | (score_bin(F.col("score")) >= F.col("floor")))
+    nth = F.row_number().over(Window.partitionBy(*_ITEM).orderBy(F.desc("score"), "row"))
+    return out.unionByName(under(high.withColumn("nth_row", nth).where(F.col("nth_row") <= by_rows[-1]), p.where("n_rows > 0"), True))
