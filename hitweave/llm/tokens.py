@@ -22,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitweave.session import cut as write_out
+
 #: Fixed value: the pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
-CHUNK = 1 << 18
-#: Characters before the end of a segment in which a boundary of words is looked for.
+#: Characters of a segment: texts of more are encoded as trees, about a sixth of an archive of mails.
+CHUNK = 3 << 10
+#: Characters before the end of a segment in which a boundary of words is looked for, nearest first.
 REACH = 4096
+NEAR = 64
 LEAF = 4096
 
 
@@ -88,9 +92,7 @@ class Encoder:
         while len(text) - at > chunk:
             stop = at + chunk
             low = max(at + 1, stop - REACH)
-            cut, inside = None, False
-            for m in self.edges.finditer(text, low, stop):
-                cut = m.start()
+            cut, inside = self.edge(text, low, stop), False
             if cut is None:  # no boundary: the longest run of the stretch is cut in its middle
                 run = max(self.runs.finditer(text, low, stop), key=lambda m: m.end() - m.start())
                 cut, inside = (run.start() + run.end()) // 2, True
@@ -100,18 +102,34 @@ class Encoder:
             at, glued = cut, inside
         yield text[at:], glued
 
+    def edge(self, text: str, low: int, stop: int) -> int | None:
+        """The last place between low and stop at which any text has a boundary of words."""
+        reach = NEAR
+        while True:
+            at = max(low, stop - reach)
+            last = None
+            for m in self.edges.finditer(text, at, stop):
+                last = m.start()
+            if last is not None or at == low:
+                return last
+            reach *= 4
+
     def part(self, text: str) -> tuple[list[int], int, int]:
         """Ids of a segment, how many of them its first word has, and its last."""
-        words = [m.span() for m in self.words.finditer(text)]
-        if not words:
+        m = self.words.match(text)
+        if not m:
             return [], 0, 0
-        if len(words) == 1:
+        e = m.end()
+        if e == len(text):
             ids = self.word(text.encode())
             return ids, len(ids), len(ids)
-        (_, e), (s, _) = words[0], words[-1]
-        first, last = self.word(text[:e].encode()), self.word(text[s:].encode())
-        between = [i for a, b in words[1:-1] for i in self.word(text[a:b].encode())]
-        return first + between + last, len(first), len(last)
+        first = self.word(text[:e].encode())
+        # only the words from the last certain boundary on are looked at one by one, to find the last of them
+        q = self.edge(text, e + 1, len(text))
+        q = e if q is None else q
+        middle = self.enc.encode_ordinary(text[e:q])
+        tail = [self.word(w[0].encode()) for w in self.words.finditer(text, q)]
+        return first + middle + [i for w in tail for i in w], len(first), len(tail[-1])
 
     def merge(self, a: tuple[list[int], int, int], b: tuple[list[int], int, int], glued: bool) -> tuple[list[int], int, int]:
         """Two neighbouring parts as one."""
@@ -195,16 +213,19 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str | None = None,
             cols = [*batch.columns[:-1], _lists([np.array(d[0], dtype=np.int32) for d in done]), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "ids", "f", "l"])
 
+    names = [f"k{i}" for i in range(len(fields))]
+
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg")
         ids = encoder(path).tree([(list(map(int, i)), f, n) for i, f, n in zip(pdf["ids"], pdf["f"], pdf["l"])], list(pdf["glued"]))
-        return pd.DataFrame({"row": [pdf["row"].iloc[0]], "ids": [ids]})
+        out = pdf[names].iloc[:1].copy()
+        out["ids"] = [ids]
+        return out
 
-    rows = picked.where(long).withColumn("row", F.monotonically_increasing_id())
-    segments = rows.select(*[f"k{i}" for i in range(len(fields))], "row", "t").mapInArrow(cut, f"{kinds}, row long, seg int, glued boolean, t string")
+    # the rows' numbers are written down before they are used, so that a task that is run again finds the same
+    rows = write_out(picked.where(long).withColumn("row", F.monotonically_increasing_id()), "longtexts")
+    segments = rows.select(*names, "row", "t").mapInArrow(cut, f"{kinds}, row long, seg int, glued boolean, t string")
     encoded = segments.repartition("row", "seg").mapInArrow(parts, f"{kinds}, row long, seg int, glued boolean, ids array<int>, f int, l int")
-    joined = encoded.select("row", "seg", "glued", "ids", "f", "l").groupBy("row").applyInPandas(whole, "row long, ids array<int>")
-    heads = rows.drop("t")
-    long_docs = heads.join(joined, "row").drop("row")
+    long_docs = encoded.groupBy("row").applyInPandas(whole, f"{kinds}, ids array<int>")
     out = short.unionByName(long_docs)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(fields)], "ids")
