@@ -13,23 +13,25 @@ from hitweave.session import load
 MIN_RECORDS, MAX_SHARE = 3, {"hit": 0.05, "c0": 0.5}
 
 
-def _all_terms(spark: SparkSession, sf: str) -> DataFrame:
+def _terms(spark: SparkSession, sf: str) -> terms.TermCounts:
+    """The counts by two batches: all rows with their values as delivered, then, of the rows that cleaning changes, the old
+    value removed and the clean one added."""
     reads, counts = load(spark, sf, "read_assignments", "taxcounts")
-    hit = terms.changes(reads, "hit", "read", terms.clean_term(F.col("hit")))
-    return hit.unionByName(terms.changes(counts, "c0", "sample", F.col("c0")))
+    raw, clean = F.nullif(F.col("hit"), F.lit("")), terms.clean_term(F.col("hit"))
+    dirty = reads.where(~raw.eqNullSafe(clean))
+    store = terms.TermCounts(spark)
+    store.apply(terms.changes(reads, "hit", "read", raw).unionByName(terms.changes(counts, "c0", "sample", F.col("c0"))))
+    store.apply(terms.changes(dirty, "hit", "read", raw, -1).unionByName(terms.changes(dirty, "hit", "read", clean)))
+    return store
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    store = terms.TermCounts(spark)
-    store.apply(_all_terms(spark, sf))
-    return store.marked(MIN_RECORDS, MAX_SHARE).where("mark is not null").select("field", "term")
+    return _terms(spark, sf).marked(MIN_RECORDS, MAX_SHARE).where("mark is not null").select("field", "term")
 
 
 def p1_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Rows and records of every term, with its mark."""
-    store = terms.TermCounts(spark)
-    store.apply(_all_terms(spark, sf))
-    return store.marked(MIN_RECORDS, MAX_SHARE)
+    return _terms(spark, sf).marked(MIN_RECORDS, MAX_SHARE)
 
 
 def p1_after_changes(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,23 +1,31 @@
 """Counts of every distinct term, kept up to date by signed changes.
 
 A change is a row (field, record, term, delta): +1 for a row that was added, -1 for one that was deleted, both for one
-whose term changed. Changes are summed before the shuffle to one row for each (record, term) pair; only pairs that a batch
-touches are looked up in the state, to see which records gain or lose a term altogether. From that come the changes of
-rows and records of each term. Both levels are written as runs into a table partitioned by hash; the current counts are
-the sums over the runs, and compact() makes them one run again. A term of a third of all rows is no hot key: its pairs
-are spread by record, and its changes are summed in every task before they meet.
+whose term changed. Changes are summed before the shuffle to one row for each (record, term) pair. The state of pairs is
+partitioned by hash of the record, and only the buckets that a batch touches are read, to see which records gain or lose a
+term altogether. From that come the changes of rows and records of each term. Both levels are written as a run of their
+own; a manifest that is written last makes the run part of the state, so that a batch that fails leaves nothing behind.
+The current counts are the sums over the runs, which compact() makes one again. A term of a third of all rows is no hot
+key: its pairs are spread by record, and its changes are summed in every task before they meet.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitweave.session import new_path
+from hitweave.session import cut, new_path
 
+#: Pairs of a bucket when a store is begun, and bounds on the number of buckets, which is one of folders.
+BUCKET_PAIRS, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 16, 1 << 14
+#: Runs from which on apply() makes them one.
+MOST_RUNS = 12
 #: The characters that Unicode calls white space, and the separators that Python's strip() also takes for it.
 WHITE = r"[\p{IsWhite_Space}\x1c-\x1f]"
-PAIR = ["field", "record", "term"]
+RECORD, PAIR = ["field", "record"], ["field", "record", "term"]
 _PAIRS = "field string, record string, term string, d long, bucket int"
 _TERMS = "field string, term string, n_rows long, n_records long, bucket int"
 
@@ -33,76 +41,116 @@ def changes(rows: DataFrame, field: str, record: str, term: Column, delta: int =
 
 
 class TermCounts:
-    """Persistent counts in a folder that all executors share. One writer at a time."""
+    """Persistent counts in a folder that all executors share. One writer at a time. buckets: of a new store; by default
+    as many as its first batch asks for."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets
         self.path = path or new_path(spark, "terms")
-        self.runs = self._find()
+        self.runs: list[str] = []
+        self.version = 0
+        self._load()
 
-    def _find(self) -> list[str]:
-        """The complete runs: those whose terms, written last, are whole."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/terms/_SUCCESS"))]
-        full = max((n for n in done if n.endswith("full")), default="")
-        return sorted(n for n in done if n >= full)
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _next(self, kind: str) -> str:
-        last = int(self.runs[-1].split("-")[1]) if self.runs else 0
-        return f"run-{last + 1:06d}-{kind}"
+    def _load(self) -> None:
+        """The state that the last manifest names."""
+        fs, root = self._file("")
+        if not fs.exists(root):
+            return
+        names = [x.getPath().getName() for x in fs.listStatus(root)]
+        versions = sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+        if not versions:
+            return
+        self.version = versions[-1]
+        fs, at = self._file(f"manifest-{self.version:08d}.json")
+        stream = fs.open(at)
+        state = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+        self.runs, self.buckets = state["runs"], state["buckets"]
+
+    def _publish(self, runs: list[str]) -> None:
+        """Make runs the state: a manifest is whole when it gets its name."""
+        fs, draft = self._file(f"draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(json.dumps({"runs": runs, "buckets": self.buckets}).encode())
+        out.close()
+        _, name = self._file(f"manifest-{self.version + 1:08d}.json")
+        if not fs.rename(draft, name):
+            raise RuntimeError("another writer has changed the counts")
+        self.version += 1
+        self.runs = runs
+
+    def _remove(self, runs: list[str]) -> None:
+        for r in runs:
+            fs, at = self._file(r)
+            fs.delete(at, True)
 
     def _read(self, level: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{r}/{level}" for r in self.runs]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        out = self.spark.read.schema(schema).parquet(paths[0])
-        for p in paths[1:]:
-            out = out.unionByName(self.spark.read.schema(schema).parquet(p))
-        return out
+        out = None
+        for r in self.runs:
+            one = self.spark.read.schema(schema).parquet(f"{self.path}/{r}/{level}")
+            out = one if out is None else out.unionByName(one)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     def _write(self, df: DataFrame, run: str, level: str, keys: list[str]) -> None:
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        df.withColumn("bucket", bucket).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{run}/{level}")
+        """Every task writes into one bucket; a bucket has as many tasks as the session has for it."""
+        share = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        place = F.col("bucket") * share + F.pmod(F.xxhash64(F.lit("place"), *df.columns), F.lit(share)).cast("int")
+        x = df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
+        x.repartitionById(self.buckets * share, place).write.partitionBy("bucket").parquet(f"{self.path}/{run}/{level}")
 
     def apply(self, batch: DataFrame) -> None:
         """Merge a batch of changes (field, record, term, delta). A batch that removes rows that were never added makes
         the job fail, and leaves the counts as they were."""
-        run = self._next("delta")
         summed = batch.groupBy(*PAIR).agg(F.sum("delta").alias("d")).where("d <> 0")
-        self._write(summed, run, "pairs", PAIR)
-        delta = self.spark.read.schema(_PAIRS).parquet(f"{self.path}/{run}/pairs").drop("bucket")
-        pairs = self._transitions(delta, PAIR)
-        # a record as such is the pair without a term: its transitions count the records that hold any term
-        records = self._transitions(delta.groupBy("field", "record").agg(F.sum("d").alias("d"), F.lit(None).cast("string").alias("term")), ["field", "record"])
-        moved = pairs.unionByName(records).groupBy("field", "term").agg(F.sum("d").alias("n_rows"), F.sum("r").alias("n_records"))
-        self._write(moved, run, "terms", ["field", "term"])
-        self.runs.append(run)
-
-    def _transitions(self, delta: DataFrame, keys: list[str]) -> DataFrame:
-        """r: +1 where the count rises from 0, -1 where it falls to 0."""
+        if self.buckets is None:
+            summed = cut(summed, "firstbatch")
+            self.buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (summed.count() // BUCKET_PAIRS).bit_length()))
+        run = f"run-{uuid.uuid4().hex}"
+        try:
+            self._write(summed, run, "pairs", RECORD)
+            delta = self.spark.read.schema(_PAIRS).parquet(f"{self.path}/{run}/pairs")
+            self._write(self._moved(delta), run, "terms", ["field", "term"])
+        except Exception:
+            self._remove([run])
+            raise
+        self._publish([*self.runs, run])
+        if len(self.runs) >= MOST_RUNS:
+            self.compact()
+
+    def _moved(self, delta: DataFrame) -> DataFrame:
+        """Changes of rows and records of each term: (field, term, n_rows, n_records). A record as such is the pair without
+        a term: its transitions count the records that hold any term."""
+        both = delta.select(*PAIR, F.lit(0).cast("long").alias("old"), "d")
         if self.runs:
-            mine = delta.select(*[F.col(k).alias(f"k_{k}") for k in keys])
-            same = F.lit(True)
-            for k in keys:
-                same = same & F.col(k).eqNullSafe(F.col(f"k_{k}"))
-            old = self._read("pairs", _PAIRS).join(mine, same, "left_semi").groupBy(*keys).agg(F.sum("d").alias("old")).select(*[F.col(k).alias(f"k_{k}") for k in keys], "old")
-            both = delta.join(old, same, "left").withColumn("old", F.coalesce("old", F.lit(0)))
-        else:
-            both = delta.withColumn("old", F.lit(0))
+            touched = [r.bucket for r in delta.select("bucket").distinct().collect()]  # as many as buckets at most
+            state = self._read("pairs", _PAIRS)
+            state = state if len(touched) == self.buckets else state.where(F.col("bucket").isin(touched))
+            both = both.unionByName(state.select(*PAIR, F.col("d").alias("old"), F.lit(0).cast("long").alias("d")))
+        pairs = both.groupBy(*PAIR).agg(F.sum("old").alias("old"), F.sum("d").alias("d"))
+        records = pairs.groupBy(*RECORD).agg(F.sum("old").alias("old"), F.sum("d").alias("d")).withColumn("term", F.lit(None).cast("string"))
         new = F.col("old") + F.col("d")
         checked = F.when(new < 0, F.raise_error(F.lit("rows are removed that were never added")).cast("long")).otherwise(F.signum(new).cast("long"))
-        return both.select("field", "record", "term", "d", (checked - F.signum("old").cast("long")).alias("r"))
+        r = checked - F.signum("old").cast("long")
+        moved = pairs.unionByName(records).where("d <> 0").select("field", "term", "d", r.alias("r"))
+        return moved.groupBy("field", "term").agg(F.sum("d").alias("n_rows"), F.sum("r").alias("n_records"))
 
     def compact(self) -> None:
-        """One run instead of many, with the same counts."""
-        run = self._next("full")
-        self._write(self._read("pairs", _PAIRS).groupBy(*PAIR).agg(F.sum("d").alias("d")).where("d <> 0"), run, "pairs", PAIR)
-        self._write(self._sums(), run, "terms", ["field", "term"])
-        self.runs = [run]
+        """One run instead of many, with the same counts; the old ones are deleted."""
+        run, old = f"run-{uuid.uuid4().hex}", self.runs
+        if not old:
+            return
+        try:
+            self._write(self._read("pairs", _PAIRS).groupBy(*PAIR).agg(F.sum("d").alias("d")).where("d <> 0"), run, "pairs", RECORD)
+            self._write(self._sums(), run, "terms", ["field", "term"])
+        except Exception:
+            self._remove([run])
+            raise
+        self._publish([run])
+        self._remove(old)
 
     def _sums(self) -> DataFrame:
         return self._read("terms", _TERMS).groupBy("field", "term").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records")).where("n_rows <> 0")

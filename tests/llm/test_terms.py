@@ -47,6 +47,29 @@ def test_removing_what_was_not_added_fails_and_changes_nothing(spark, tmp_path):
         store.apply(frame(spark, [("f", "r", "a", -3)]))
     again = terms.TermCounts(spark, str(tmp_path / "s"), 2)
     assert [(r.term, r.n_rows) for r in again.counts().collect()] == [("a", 2)]
+    store.apply(frame(spark, [("f", "r2", "a", 1)]))  # the store that has refused a batch takes the next
+    again = terms.TermCounts(spark, str(tmp_path / "s"))
+    again.apply(frame(spark, [("f", "r3", "b", 1)]))
+    assert sorted((r.term, r.n_rows, r.n_records) for r in again.counts().collect()) == [("a", 3, 2), ("b", 1, 1)]
+
+
+def test_runs_are_merged_and_old_ones_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(terms, "MOST_RUNS", 3)
+    store = terms.TermCounts(spark, str(tmp_path / "s"), 4)
+    for i in range(4):
+        store.apply(frame(spark, [("f", f"r{i}", "a", 1), ("f", "r0", "b", 1)]))
+    assert len(store.runs) == 2 and len(list((tmp_path / "s").glob("run-*"))) == 2
+    assert sorted((r.term, r.n_rows, r.n_records) for r in store.counts().collect()) == [("a", 4, 4), ("b", 4, 1)]
+
+
+def test_one_row_reads_one_bucket(spark, tmp_path):
+    store = terms.TermCounts(spark, str(tmp_path / "s"), 8)
+    store.apply(frame(spark, [("f", f"r{i}", "a", 1) for i in range(200)]))
+    delta = frame(spark, [("f", "r7", "a", 1)]).selectExpr("field", "record", "term", "delta as d", f"cast(pmod(xxhash64(field, record), {store.buckets}) as int) as bucket")
+    files = store._moved(delta).inputFiles()
+    assert 0 < len(store._read("pairs", terms._PAIRS).inputFiles()) and all("bucket=" in f for f in files)
+    plan = store._moved(delta)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
 
 
 def test_marks(spark):
