@@ -1,11 +1,14 @@
 """Parent-child rows to full paths, by repeated contraction of partition-local chains.
 
-The forest is cut into blocks of bounded size. Within a block every chain of parents is contracted to its exit: a root, a
-cycle, or a parent in another block. Only nodes that other blocks ask for stay on as the nodes of a smaller quotient
-forest, whose labels are whole path fragments; it is solved by the same routine, and its paths are handed back to the
-blocks that asked, once per block and parent. A node that is its parent's only child is moved to the parent's block for
-about a quarter of such pairs, by coins, so that long chains shrink by a constant factor at every level whatever the ids
-are. Nothing is grouped by parent with its rows, so a parent of a third of all nodes makes no large task.
+The forest is cut into blocks of bounded size, at first by ranges of ids, as nodes that are loaded together have ids near
+each other. Within a block every chain of parents is contracted: a node that other blocks ask for keeps the fragment of
+path up to the next such node above, or to the exit of the chain, which is a root, a cycle or a parent in another block.
+Only these nodes make up the smaller quotient forest, whose labels are the fragments; it is solved by the same routine,
+and its paths are handed back to the blocks that asked, once per block and parent. From the first quotient on, blocks are
+by hash, and a node that is its parent's only child is moved to the parent's block for about a quarter of such pairs, by
+coins, so that long chains shrink by a constant factor at every level whatever the ids are. A quotient of no more than a
+block's nodes is solved at once. Nothing is grouped by parent with its rows, so a parent of a third of all nodes makes no
+large task.
 """
 
 from __future__ import annotations
@@ -69,8 +72,8 @@ def _requests(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fragments(nodes: pd.DataFrame, entries: pd.DataFrame, opened: bool) -> pd.DataFrame:
-    """For the nodes that other blocks ask for: the exit of their chain and the fragment of path down from it. A chain
-    that never leaves a cycle becomes a node that is its own parent."""
+    """For the nodes that other blocks ask for: the next of them above, or the exit of their chain, and the fragment of
+    path down from it. A chain that never leaves a cycle becomes a node that is its own parent."""
     out: list[tuple] = []
     if len(nodes) and len(entries):
         ids, parents, has = _columns(nodes)
@@ -78,20 +81,20 @@ def _fragments(nodes: pd.DataFrame, entries: pd.DataFrame, opened: bool) -> pd.D
         local, top, _, cyclic = _resolve(ids, parents, has)
         labels, hops = nodes["label"].to_numpy(object), nodes["hops"].to_numpy(np.int64)
         at = dict(zip(ids.tolist(), range(len(ids))))
-        for e in entries["id"].tolist():
-            i = at[e]
+        asked = [at[e] for e in entries["id"].tolist()]
+        stays = set(asked)
+        for i in asked:
+            e = int(ids[i])
             if cyclic[i]:
                 out.append((e, e, None, 1))
                 continue
-            parts, k, j = [], 0, i
-            while True:
+            parts, k, j = [labels[i]], int(hops[i]), i
+            while local[j] >= 0 and local[j] not in stays:
+                j = local[j]
                 parts.append(labels[j])
                 k += int(hops[j])
-                if local[j] < 0:
-                    break
-                j = local[j]
-            t = top[i]
-            out.append((e, int(parents[t]) if has[t] else None, SEP.join(reversed(parts)), k))
+            above = int(ids[local[j]]) if local[j] >= 0 else int(parents[j]) if has[j] else None
+            out.append((e, above, SEP.join(reversed(parts)), k))
     frame = pd.DataFrame(out, columns=["id", "parent", "label", "hops"])
     return frame.astype({"id": "int64", "parent": "Int64", "hops": "int64", "label": object})
 
@@ -129,25 +132,18 @@ def _solve(nodes: DataFrame, block_rows: int, level: int, opened: bool = False)
     each ring is opened at one of its nodes, and no path is null."""
     spark = nodes.sparkSession
     nodes = cut(nodes, f"forest{level}")
-    blocks = max(1, math.ceil(nodes.count() / block_rows))
-
-    def home(c: str):
-        return F.pmod(F.xxhash64(F.col(c), F.lit(level)), F.lit(blocks)).cast("int")
-
-    def coin(c: str):
-        return F.xxhash64(F.lit("coin"), F.col(c), F.lit(level)) % 2 == 0
-
-    if blocks == 1:
-        placed = nodes.withColumn("pid", F.lit(0))
+    n = nodes.count()
+    if level == 0:
+        # as many blocks as the session has tasks, more if they would be large; ranges are written down, to be final
+        blocks = min(max(1, n), max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / block_rows)))
+        placed = cut(nodes.repartitionByRange(blocks, "id").withColumn("pid", F.spark_partition_id()), "blocks0")
     else:
-        only = nodes.where("parent is not null and parent <> id").groupBy("parent").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("id", F.lit(True).alias("only"))
-        move = F.coalesce("only", F.lit(False)) & coin("id") & ~coin("parent")
-        placed = cut(nodes.join(only, "id", "left").withColumn("pid", F.when(move, home("parent")).otherwise(home("id"))).drop("only"), f"blocks{level}")
-    asked = placed.groupBy("pid").applyInPandas(_requests, "pid int, id long")
+        blocks = max(1, math.ceil(n / block_rows))
+        placed = nodes.withColumn("pid", F.lit(0)) if blocks == 1 else _tossed(nodes, blocks, level)
     if blocks == 1:
         answers = spark.createDataFrame([], "at int, id long, path string, depth long")
     else:
-        asked = cut(asked, f"asked{level}")
+        asked = cut(placed.groupBy("pid").applyInPandas(_requests, "pid int, id long"), f"asked{level}")
         entries = asked.select("id").distinct().join(placed.select("id", "pid"), "id").select("id", F.col("pid").alias("at"))
         quotient = placed.groupBy("pid").cogroup(entries.groupBy("at")).applyInPandas(lambda a, b: _fragments(a, b, opened), "id long, parent long, label string, hops long")
         solved = _solve(quotient, block_rows, level + 1, opened)
@@ -155,6 +151,20 @@ def _solve(nodes: DataFrame, block_rows: int, level: int, opened: bool = False)
     return placed.groupBy("pid").cogroup(answers.groupBy("at")).applyInPandas(lambda a, b: _expand(a, b, opened), "id long, path string, depth long")
 
 
+def _tossed(nodes: DataFrame, blocks: int, level: int) -> DataFrame:
+    """nodes with their block pid: by hash of the id, or of the parent for some only children."""
+
+    def home(c: str):
+        return F.pmod(F.xxhash64(F.col(c), F.lit(level)), F.lit(blocks)).cast("int")
+
+    def coin(c: str):
+        return F.xxhash64(F.lit("coin"), F.col(c), F.lit(level)) % 2 == 0
+
+    only = nodes.where("parent is not null and parent <> id").groupBy("parent").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("id", F.lit(True).alias("only"))
+    move = F.coalesce("only", F.lit(False)) & coin("id") & ~coin("parent")
+    return cut(nodes.join(only, "id", "left").withColumn("pid", F.when(move, home("parent")).otherwise(home("id"))).drop("only"), f"blocks{level}")
+
+
 def _nodes(rows: DataFrame, id_col: str, parent_col: str, order_col: str | None) -> DataFrame:
     order = F.col(order_col) if order_col else F.lit(0)
     picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("parent"), order.alias("o"))
