@@ -7,7 +7,8 @@ and counts are the offsets of the list array. No cell is looked at in Python by
 How a cell is read
   * A delimiter counts outside of quotes and not behind a backslash. White space counts as one only beside an id or a
     quoted value.
-  * A delimiter between words whose next word starts in lower case belongs to a name ("Relay, drift type").
+  * A soft delimiter between words whose next word starts in lower case belongs to a name ("Relay, drift type"), if the
+    value it lies in, back to the last other delimiter, starts otherwise; values that all start in lower case are apart.
   * Quotes with an odd count in the cell are characters without meaning that are only trimmed off.
   * A cell that is quoted as a whole and holds an id is a list: its quotes are taken off and it is read again.
   * Values lose white space, quotes around them, backslashes and the doubling of quotes; a cell loses its brackets.
@@ -178,9 +179,15 @@ class _Scan:
                 word_before = self._at(self.word & ~self.id_end, self.prev)
                 soft |= hit & word_after & word_before
             delim |= _cover(hit, len(d.encode()))
-        delim &= ~soft
         beside = self._at(self.id_end | self.quote, self.prev) | self._at(self.id_start | self.quote, self.next)
-        delim |= self.ws & free & beside
+        hard = (delim & ~soft) | (self.ws & free & beside)
+        if soft.any():
+            # where the value around a soft delimiter starts: behind the last hard one, or at the start of the cell
+            i = np.arange(len(b))
+            behind = np.concatenate([[0], np.maximum.accumulate(np.where(hard | self.end, i + 1, 0))[:-1]])
+            first = np.where(self.ws[behind], self.next[behind], behind)
+            soft &= ~self._at(_LOWER[b] & ~self.id_start, first)
+        delim = (delim & ~soft) | hard
         # brackets around a whole cell
         first = self._first_solid()
         last = self._last_solid()
@@ -232,10 +239,7 @@ def split_cells(cells: pa.Array, p: Packing = Packing()) -> pa.ListArray:
     if n == 0:
         return pa.array([], pa.list_(pa.string()))
     scan = _Scan(cells, p)
-    for _ in range(4):  # quotes around quotes
-        w = scan.wrapped()
-        if not w.any():
-            break
+    while (w := scan.wrapped()).any():  # quotes around quotes; each round shortens its cells
         cells = pc.if_else(pa.array(w), _unwrap(cells), cells)
         scan = _Scan(cells, p)
     keep = ~scan.delim

@@ -9,7 +9,8 @@ CASES = {
     "K00001；K00002¦K00003<br>K00004\nK00005": ["K00001", "K00002", "K00003", "K00004", "K00005"], "['K00001', 'K00002']": ["K00001", "K00002"], '["K00001"]': ["K00001"],
     '"K00001;K00002"': ["K00001", "K00002"], "\"'K00001'\"": ["K00001"], '"Moss relay | Haze"; K00001': ["Moss relay | Haze", "K00001"], '"Moss relay ""Y"" form"': ['Moss relay "Y" form'],
     "Ember sensing, relay type;K00001": ["Ember sensing, relay type", "K00001"], "K00001;Ivory export\\;sensing": ["K00001", "Ivory export;sensing"], '"K00001¦K00002"': ["K00001", "K00002"],
-    "K00001+K00002": ["K00001", "K00002"], 'K00001 "K00002" \'K00003\'': ["K00001", "K00002", "K00003"], "K00001;-;NA": ["K00001"], '"K00001': ["K00001"],
+    "K00001+K00002": ["K00001", "K00002"], 'K00001 "K00002" \'K00003\'': ["K00001", "K00002", "K00003"], "K00001;-;NA": ["K00001"], "alpha;beta;gamma": ["alpha", "beta", "gamma"], "red|green": ["red", "green"], "K00001; red, green": ["K00001", "red", "green"], " beta,gamma;Relay, drift type": ["beta", "gamma", "Relay, drift type"],
+    '"K00001': ["K00001"],
 }
 
 
