@@ -95,9 +95,9 @@ class _Folded:
         words, n = [], 0
         if start and (w := _WORD.match(self.core, start)) and _WORD.match(self.core, start - 1):  # glued to its qualifier
             words, n = [w[0]], len(w[0])
-        for w in self.words[bisect.bisect_left(self.starts, start) :]:
-            words.append(w[0])
-            n += len(w[0])
+        for i in range(bisect.bisect_left(self.starts, start), len(self.words)):
+            words.append(self.words[i][0])
+            n += len(words[-1])
             if most is not None and n > most:
                 return Mention(words[0], "", True)
         return Mention(" ".join(words), self.code, self.genus) if words else None
@@ -114,7 +114,7 @@ def mentions(text: str, most: int | None = None) -> list[Mention]:
     m = re.search(r"\bOS=(.*?)(?: [A-Z]{2}=.*)?$", t)
     if m:
         found = [_Folded(m[1]).end(0, most)]
-    elif (m := re.search(r"(?:^|.*\s)\[([^\[\]]+)\]?$", t)) is not None:
+    elif (at := t.rfind("[")) >= 0 and t[at - 1 : at] in ("", " ") and (m := re.fullmatch(r"([^\[\]]+)\]?", t[at + 1 :])):
         found = [_Folded(m[1]).end(0, most)]
     else:
         f = _Folded(t)
