@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +56,12 @@ class Encoder:
         self.edges = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])")
         self.runs = regex.compile(r"\p{L}+|\p{N}+|\s+|[^\s\p{L}\p{N}]+")
 
-    def ids(self, text: str) -> list[int]:
-        return self.enc.encode_ordinary(text)
+    def ids(self, text: str, chunk: int = CHUNK) -> list[int]:
+        """Ids of a text, as a tree of segments if it is long."""
+        if len(text) <= chunk:
+            return self.enc.encode_ordinary(text)
+        parts = list(self.segments(text, chunk))
+        return self.tree([self.part(p) for p, _ in parts], [g for _, g in parts])
 
     def _bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.enc.decode_single_token_bytes, ids))
@@ -215,17 +218,40 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str | None = None,
 
     names = [f"k{i}" for i in range(len(fields))]
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        ids = encoder(path).tree([(list(map(int, i)), f, n) for i, f, n in zip(pdf["ids"], pdf["f"], pdf["l"])], list(pdf["glued"]))
-        out = pdf[names].iloc[:1].copy()
-        out["ids"] = [ids]
-        return out
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted segments to texts; of a text only its segments are in memory."""
+        enc = encoder(path)
+        head, row, mine, glued = None, None, [], []
+
+        def put(heads: list[pa.RecordBatch], texts: list[np.ndarray]) -> pa.RecordBatch:
+            keys = pa.Table.from_batches(heads).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*keys.columns, _lists(texts)], [*names, "ids"])
+
+        for batch in batches:
+            keys = batch.select(names)
+            rows, g, f, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "glued", "f", "l"))
+            lists = batch.column("ids")
+            offsets, values = np.asarray(lists.offsets), np.asarray(lists.values)
+            heads, texts = [], []
+            for i in range(batch.num_rows):
+                if mine and rows[i] != row:
+                    heads.append(keys.slice(i - 1, 1) if i else head)
+                    texts.append(np.array(enc.tree(mine, glued), np.int32))
+                    mine, glued = [], []
+                row = rows[i]
+                mine.append((values[offsets[i] : offsets[i + 1]].tolist(), int(f[i]), int(n[i])))
+                glued.append(bool(g[i]))
+            if batch.num_rows:
+                head = keys.slice(batch.num_rows - 1, 1)
+            if texts:
+                yield put(heads, texts)
+        if mine:
+            yield put([head], [np.array(enc.tree(mine, glued), np.int32)])
 
     # the rows' numbers are written down before they are used, so that a task that is run again finds the same
     rows = write_out(picked.where(long).withColumn("row", F.monotonically_increasing_id()), "longtexts")
     segments = rows.select(*names, "row", "t").mapInArrow(cut, f"{kinds}, row long, seg int, glued boolean, t string")
     encoded = segments.repartition("row", "seg").mapInArrow(parts, f"{kinds}, row long, seg int, glued boolean, ids array<int>, f int, l int")
-    long_docs = encoded.groupBy("row").applyInPandas(whole, f"{kinds}, ids array<int>")
+    long_docs = encoded.repartition("row").sortWithinPartitions("row", "seg").mapInArrow(stitch, f"{kinds}, ids array<int>")
     out = short.unionByName(long_docs)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(fields)], "ids")
