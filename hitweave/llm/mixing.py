@@ -1,14 +1,17 @@
 """Mixtures of sources with target shares of the tokens.
 
-  1. Every task packs the tokens of its documents into blocks of fixed length, source by source, while it encodes them;
-     the blocks are written to the shared folder once. Only the last block of a source in a task is shorter. No shuffle.
-  2. From the blocks and tokens of each source comes how many blocks each has to give. They are dealt to the output
-     shards by multinomial draws that are conditioned on these totals (multivariate hypergeometric), so that the shares
-     of the whole are reached and not only expected.
+  1. The documents are brought into the order of source and id, by ranges, and encoded where they lie; their tokens are
+     written once. The tokens of a source are thought of as one string, cut into blocks of fixed length; only the last
+     block of a source is shorter. What a block holds depends on the documents alone, not on how they are stored.
+  2. From the tokens of each source comes how many blocks each has to give. They are dealt to the output shards by
+     multinomial draws that are conditioned on these totals (multivariate hypergeometric), so that the shares of the whole
+     are reached and not only expected.
   3. Slot k of a source takes block permutation(k mod blocks) of its round k div blocks. The permutation, a Feistel
      network with cycle walking, differs by source and round, and needs no table. A round uses every block once, so that
      no token is drawn more often than max_repeats times.
-  4. Slots and blocks are joined by index. A source of any size is spread over all tasks, as its indices are.
+  4. Permutations can be turned round: each task works out, from the index of a block it holds, the slots that the block
+     fills. So slots and blocks are joined by index without moving any tokens; only blocks that lie across the end of a
+     task's batch are put together in a shuffle.
 """
 
 from __future__ import annotations
@@ -17,12 +20,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitweave.llm.tokens import encode
+from hitweave.llm.tokens import encoder, tokenizer_path
 from hitweave.session import cut
 
 BLOCK_TOKENS = 256
@@ -30,97 +32,83 @@ BLOCK_TOKENS = 256
 SHARD_BLOCKS, MOST_SHARDS = 1024, 4096
 #: Most sources that a target table may have; it is read by the driver.
 MOST_SOURCES = 10_000
-#: Block indices that share a key when indices are turned into places.
-RANGE = 4096
-_BLOCK = "source string, part int, no long, n_tokens int, ids array<int>, docs array<struct<doc_id:bigint,start:int,n:int>>"
+#: Most entries of the plan (shards times sources), which every task gets.
+MOST_PLAN = 1 << 22
+_TOKENS = "source string, d long, part int, at long, n int, ids array<int>"
+_PIECES = "source string, no long, at int, n_tokens int, ids array<int>, docs array<struct<doc_id:bigint,start:int,n:int>>, draws array<struct<repeat:int,shard:int,slot:bigint>>"
 
 
-def _mix(x: np.ndarray, key: int) -> np.ndarray:
+def _mix(x: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A 64-bit hash of x and key (the finaliser of splitmix64)."""
-    x = x.astype(np.uint64) + np.uint64(key & 0xFFFFFFFFFFFFFFFF)
+    x = x + key
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def permute(k: np.ndarray, size: int, key: int) -> np.ndarray:
-    """The images of k under a pseudorandom permutation of range(size)."""
-    half = max(1, ((max(size - 1, 1)).bit_length() + 1) // 2)
-    mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
-    out = k.astype(np.uint64)
+def permute(k: np.ndarray, size, key, back: bool = False) -> np.ndarray:
+    """The images of k under a pseudorandom permutation of range(size), or with back what they are images of. size and
+    key may differ for each k."""
+    out = np.asarray(k).astype(np.uint64)
+    size = np.broadcast_to(np.asarray(size).astype(np.uint64), out.shape)
+    key = np.broadcast_to(np.asarray(key).astype(np.uint64), out.shape)
+    bits = np.frexp(np.maximum(size, 2).astype(np.float64) - 1)[1]
+    half = np.maximum(1, (bits + 1) // 2).astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
-        x = out[todo]
+        x, shift, ks = out[todo], half[todo], key[todo]
+        mask = (np.uint64(1) << shift) - np.uint64(1)
         left, right = x >> shift, x & mask
         for r in range(6):
-            left, right = right, left ^ (_mix(right, key * 1000003 + r * 7919) & mask)
+            turn = ks * np.uint64(1000003) + np.uint64((5 - r if back else r) * 7919)
+            if back:
+                left, right = right ^ (_mix(left, turn) & mask), left
+            else:
+                left, right = right, left ^ (_mix(right, turn) & mask)
         out[todo] = (left << shift) | right
-        todo = todo[out[todo] >= np.uint64(size)]
+        todo = todo[out[todo] >= size[todo]]
     return out.astype(np.int64)
 
 
-class _Packer:
-    """The open blocks of one task."""
-
-    def __init__(self, size: int, part: int):
-        self.size, self.part = size, part
-        self.open: dict[str, list] = {}
-        self.fill: dict[str, int] = {}
-        self.no: dict[str, int] = {}
-        self.done: list[tuple] = []
-
-    def add(self, source: str, doc_id, ids: np.ndarray) -> None:
-        at = 0
-        while at < len(ids):
-            piece = ids[at : at + self.size - self.fill.get(source, 0)]
-            self.open.setdefault(source, []).append((doc_id, at, piece))
-            self.fill[source] = self.fill.get(source, 0) + len(piece)
-            at += len(piece)
-            if self.fill[source] == self.size:
-                self.close(source)
-
-    def close(self, source: str) -> None:
-        pieces = self.open.pop(source)
-        no = self.no[source] = self.no.get(source, -1) + 1
-        self.done.append((source, self.part, no, self.fill.pop(source), np.concatenate([p for _, _, p in pieces]), [{"doc_id": d, "start": s, "n": len(p)} for d, s, p in pieces]))
-
-    def flush(self) -> pa.RecordBatch:
-        rows, self.done = self.done, []
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["source", "part", "no", "n_tokens", "ids", "docs"])
-
-
-def pack_blocks(docs: DataFrame, id_col: str, source_col: str, text_col: str, path: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of block_tokens tokens of one source each, written to the shared folder: (source, part, no, n_tokens, ids,
-    docs), docs naming the documents in the block with their first token and the number of tokens. Null and empty texts
-    have no tokens and so no block."""
-    encoded = encode(docs.select(F.col(id_col).cast("long").alias("d"), F.col(source_col).cast("string").alias("s"), F.col(text_col).alias("x")), "d", "x", path, keep=("s",))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), pa.int32()), values)
+
+
+def encode_in_order(docs: DataFrame, id_col: str, source_col: str, text_col: str, path: str | None = None) -> DataFrame:
+    """Tokens of every document, written to the shared folder: (source, d, part, at, n, ids), at being the tokens of the
+    source before it in its part; parts are ranges of (source, d). Null and empty texts have no tokens."""
+    path = path or tokenizer_path()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = docs.select(F.col(source_col).cast("string").alias("s"), F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
+    # documents of one id are ordered by their texts; rows that are equal in all are the same to us, and may be parted
+    x = x.withColumn("h", F.xxhash64("t")).withColumn("e", F.monotonically_increasing_id() % 997)
+    order = ["s", "d", "h", "t", "e"]
+    x = x.repartitionByRange(parts, "s", "d", "h", "e").sortWithinPartitions(*order).select("s", "d", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = _Packer(block_tokens, TaskContext.get().partitionId())
+        enc, part, before = encoder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            lists = batch.column(2)
-            offsets, values = np.asarray(lists.offsets), np.asarray(lists.values)
-            for i, (d, s) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                packer.add(s, d, values[offsets[i] : offsets[i + 1]])
-                if len(packer.done) >= 1024:
-                    yield packer.flush()
-        for s in list(packer.open):
-            packer.close(s)
-        yield packer.flush()
+            ids = [np.array(enc.ids(t) if t else [], dtype=np.int32) for t in batch.column(2).to_pylist()]
+            n = np.array([len(i) for i in ids], dtype=np.int64)
+            at = np.zeros(len(n), np.int64)
+            for i, s in enumerate(batch.column(0).to_pylist()):
+                at[i] = before.get(s, 0)
+                before[s] = at[i] + n[i]
+            lists = _lists(np.concatenate([[0], np.cumsum(n)]), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(n), part, np.int32)), pa.array(at), pa.array(n, pa.int32()), lists], ["source", "d", "part", "at", "n", "ids"])
 
-    return cut(encoded.mapInArrow(pack, _BLOCK), "blocks")
+    return cut(x.mapInArrow(run, _TOKENS), "tokens")
 
 
-def quotas(sources: list[tuple[str, float, int, int, int]], total_tokens: int | None = None) -> tuple[dict[str, int], float]:
+def quotas(sources: list[tuple[str, float, int, int, int]], total_tokens: int | None = None, exact: bool = False) -> tuple[dict[str, int], float]:
     """From (source, weight, max_repeats, blocks, tokens) to the number of blocks that each source gives, and the total
     of tokens planned.
 
-    Without total_tokens the total is the largest at which every source that has any tokens reaches its weight. With it,
-    a source that can't give its share gives all it may, and the rest is shared by the others in proportion to their
-    weights."""
+    Without total_tokens the total is that of all tokens of these sources, with exact it is the largest at which every
+    source that has any tokens reaches its weight. A source that can't give its share of the total gives all it may, and
+    the rest is shared by the others in proportion to their weights."""
     live = [s for s in sources if s[3] and s[1] > 0 and s[2] > 0]
     most = {s[0]: float(s[4]) * s[2] for s in live}
     weight = {s[0]: s[1] for s in live}
@@ -128,7 +116,10 @@ def quotas(sources: list[tuple[str, float, int, int, int]], total_tokens: int |
     if not live:
         return {}, 0.0
     full = sum(weight.values())
-    total = min(most[s] * full / weight[s] for s in most) if total_tokens is None else float(total_tokens)
+    if exact:
+        total = min(most[s] * full / weight[s] for s in most)
+    else:
+        total = float(sum(s[4] for s in live) if total_tokens is None else total_tokens)
     give: dict[str, float] = {}
     rest, left = dict(weight), total
     while rest:
@@ -149,7 +140,7 @@ def deal(counts: dict[str, int], seed: int) -> list[tuple[int, str, int, int]]:
     """(shard, source, first slot of the source, slots): every shard's number of slots of each source."""
     names, left = list(counts), np.array(list(counts.values()), dtype=np.int64)
     total = int(left.sum())
-    shards = max(1, min(MOST_SHARDS, -(-total // SHARD_BLOCKS)))
+    shards = max(1, min(MOST_SHARDS, MOST_PLAN // max(1, len(names)), -(-total // SHARD_BLOCKS)))
     rng = np.random.default_rng(seed)
     first, out = np.zeros(len(names), dtype=np.int64), []
     for shard in range(shards):
@@ -179,45 +170,109 @@ def _hyper(rng, good: int, bad: int, want: int) -> int:
     return int(min(good, want, max(0, want - bad, round(rng.normal(want * p, sd)))))
 
 
-def mixture(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", path: str | None = None, block_tokens: int = BLOCK_TOKENS, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
-    """The drawn blocks: (shard, slot, source, repeat, part, no, n_tokens, ids, docs), one row per slot.
-
-    targets: (source, weight, max_repeats), one row for each source, weights of any sum. ``repeat`` is the round of the
-    source, from 0, and stays below max_repeats. Documents of a source that targets don't name, or with a null source,
-    take no part; a source without tokens gives none. Empty targets or documents give an empty result. A target table
-    of more than MOST_SOURCES rows is refused. The same input, block length and seed give the same mixture.
+class _Draws:
+    """The slots that blocks fill. A slot's place in its shard is permuted too, so that sources lie mixed."""
+
+    def __init__(self, plan: list[tuple[int, str, int, int]], blocks: dict[str, int], counts: dict[str, int], seed: int):
+        self.blocks, self.counts, self.seed = blocks, counts, seed
+        fill: dict[int, int] = {}
+        rows: dict[str, list] = {}
+        for shard, source, first, n in plan:
+            rows.setdefault(source, []).append((first, shard, fill.get(shard, 0)))
+            fill[shard] = fill.get(shard, 0) + n
+        self.at = {s: np.array(r, np.int64).T for s, r in rows.items()}
+        self.shard_size = np.array([fill[i] for i in range(len(fill))], np.int64)
+
+    def of(self, source: str, no: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the block in no, repeat, shard, slot) of each draw of these blocks."""
+        size, count = self.blocks.get(source, 0), self.counts.get(source, 0)
+        out = []
+        for r in range(-(-count // size) if size else 0):
+            k = r * size + permute(no, size, zlib.crc32(source.encode()) * 65537 + r * 257 + self.seed, back=True)
+            i = np.flatnonzero(k < count)
+            first, shard, start = self.at[source]
+            j = np.searchsorted(first, k[i], "right") - 1
+            within = start[j] + k[i] - first[j]
+            slot = permute(within, self.shard_size[shard[j]], shard[j] * 8191 + self.seed)
+            out.append((i, np.full(len(i), r), shard[j], slot))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+
+
+def _cut_blocks(source: str, total: int, size: int, start: np.ndarray, d: pa.Array, values: np.ndarray, draws: _Draws, whole: bool) -> pa.RecordBatch:
+    """Blocks, or if not whole those that are only begun or ended here, of documents that follow each other."""
+    low, high = int(start[0]), int(start[0]) + len(values)
+    edge = np.unique(np.concatenate([start, np.arange(low // size + 1, (high - 1) // size + 1) * size]))
+    n = np.diff(edge, append=high)
+    doc = np.searchsorted(start, edge, "right") - 1
+    no = edge // size
+    first = np.flatnonzero(np.diff(no, prepend=-1))
+    blocks = no[first]
+    tokens = np.add.reduceat(n, first)
+    full = tokens == np.minimum(size, total - blocks * size)
+    place, repeat, shard, slot = draws.of(source, blocks)
+    order = np.argsort(place, kind="stable")
+    n_draws = np.bincount(place, minlength=len(blocks))
+    drawn = _lists(np.concatenate([[0], np.cumsum(n_draws)]), pa.StructArray.from_arrays([pa.array(repeat[order], pa.int32()), pa.array(shard[order], pa.int32()), pa.array(slot[order], pa.int64())], ["repeat", "shard", "slot"]))
+    docs = pa.StructArray.from_arrays([d.take(pa.array(doc)), pa.array(edge - start[doc], pa.int32()), pa.array(n, pa.int32())], ["doc_id", "start", "n"])
+    keep = pa.array(np.flatnonzero((full == whole) & (n_draws > 0)))
+    cols = [
+        pa.array(np.full(len(blocks), source, object), pa.string()), pa.array(blocks), pa.array(edge[first] - blocks * size, pa.int32()), pa.array(tokens, pa.int32()),
+        _lists(np.append(edge[first], high) - low, pa.array(values, pa.int32())), _lists(np.append(first, len(edge)), docs), drawn,
+    ]
+    return pa.RecordBatch.from_arrays([c.take(keep) for c in cols], ["source", "no", "at", "n_tokens", "ids", "docs", "draws"])
+
+
+def mixture(
+    docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", path: str | None = None, block_tokens: int = BLOCK_TOKENS, total_tokens: int | None = None, exact: bool = False, seed: int = 0
+) -> DataFrame:
+    """The drawn blocks: (shard, slot, source, repeat, no, n_tokens, ids, docs), one row per slot; no is the block of the
+    source, docs names the documents in it with their first token and the number of tokens.
+
+    targets: (source, weight, max_repeats), one row for each source, weights of any sum. As many tokens are drawn as the
+    sources have together, or total_tokens, or with exact as many as leave every weight reached. ``repeat`` is the round
+    of the source, from 0, and stays below max_repeats. Documents of a source that targets don't name, or with a null
+    source, take no part; a source without tokens gives none. Empty targets or documents give an empty result. A target
+    table of more than MOST_SOURCES rows is refused. The same documents, targets, block length and seed give the same
+    mixture, however the documents are stored and partitioned.
     """
-    spark = docs.sparkSession
     want = targets.select(F.col("source").cast("string").alias("source"), F.col("weight").cast("double"), F.col("max_repeats").cast("int")).where("source is not null and weight > 0 and max_repeats > 0").limit(MOST_SOURCES + 1).collect()
     if len(want) > MOST_SOURCES or len({r.source for r in want}) < len(want):
         raise ValueError(f"targets need one row for each source, {MOST_SOURCES} at most")
     named = docs.where(F.col(source_col).isin([r.source for r in want]) if want else F.lit(False))
-    blocks = pack_blocks(named, id_col, source_col, text_col, path, block_tokens)
-    per_part = blocks.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
-    per_part = cut(per_part, "parts")
-    size = {r.source: (r.n, r.tokens) for r in per_part.groupBy("source").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()}
-    counts, _ = quotas([(r.source, r.weight, r.max_repeats, *size.get(r.source, (0, 0))) for r in want], total_tokens)
-    plan = spark.createDataFrame([(*p, size[p[1]][0]) for p in deal(counts, seed)], "shard int, source string, first long, n long, size long")
-
-    @F.pandas_udf("long")
-    def place(source: pd.Series, k: pd.Series, size: pd.Series) -> pd.Series:
-        out = np.zeros(len(k), dtype=np.int64)
-        turn = (k // size).to_numpy()
-        for (s, t), at in pd.Series(np.arange(len(k))).groupby([source.to_numpy(), turn]):
-            i = at.to_numpy()
-            b = int(size.iloc[i[0]])
-            out[i] = permute(k.to_numpy()[i] % b, b, zlib.crc32(s.encode()) * 65537 + int(t) * 257 + seed)
-        return pd.Series(out)
-
-    slots = plan.repartition("shard").select("shard", "source", "size", F.explode(F.expr("sequence(first, first + n - 1)")).alias("k"))
-    slots = slots.withColumn("slot", (F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("source", "k", F.lit(seed)), "source", "k")) - 1).cast("long"))
-    slots = slots.withColumn("idx", place("source", "k", "size")).withColumn("repeat", F.floor(F.col("k") / F.col("size")).cast("int"))
-    # index of a source -> task and number in the task, by ranges
-    w = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = per_part.withColumn("lo", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    spans = spans.withColumn("r", F.explode(F.expr(f"sequence(lo div {RANGE}, (lo + n - 1) div {RANGE})"))).select("source", "part", "lo", "n", "r")
-    placed = slots.withColumn("r", F.expr(f"idx div {RANGE}")).join(spans, ["source", "r"]).where("idx >= lo and idx < lo + n").select("shard", "slot", "source", "repeat", "part", (F.col("idx") - F.col("lo")).alias("no"))
-    return placed.join(blocks, ["source", "part", "no"]).select("shard", "slot", "source", "repeat", "part", "no", "n_tokens", "ids", "docs")
+    tokens = encode_in_order(named, id_col, source_col, text_col, path)
+    # as parts are ranges, no more rows than parts and sources together
+    spans = cut(tokens.groupBy("source", "part").agg(F.sum("n").alias("tokens")), "spans")
+    size = {r.source: r.tokens for r in spans.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect() if r.tokens}
+    blocks = {s: -(-n // block_tokens) for s, n in size.items()}
+    counts, _ = quotas([(r.source, r.weight, r.max_repeats, blocks.get(r.source, 0), size.get(r.source, 0)) for r in want], total_tokens, exact)
+    shared = docs.sparkSession.sparkContext.broadcast(_Draws(deal(counts, seed), blocks, counts, seed))
+    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = spans.select("source", "part", before.alias("base"))
+    x = tokens.where("n > 0").join(F.broadcast(base), ["source", "part"]).select("source", "d", (F.col("base") + F.col("at")).alias("start"), "n", "ids")
+
+    def pieces(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                start, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+                sources = batch.column(0).to_numpy(zero_copy_only=False)
+                lists = batch.column(4)
+                offsets, values = np.asarray(lists.offsets), np.asarray(lists.values)
+                # stretches of documents that follow each other
+                new = np.flatnonzero(np.concatenate([[True], (sources[1:] != sources[:-1]) | (start[1:] != start[:-1] + n[:-1])]))
+                for a, b in zip(new, np.append(new[1:], len(n))):
+                    s = sources[a]
+                    if s in shared.value.counts:
+                        yield _cut_blocks(s, size[s], block_tokens, start[a:b], batch.column(1).slice(a, b - a), values[offsets[a] : offsets[b]], shared.value, whole)
+
+        return x.mapInArrow(run, _PIECES)
+
+    parts = F.sort_array(F.collect_list(F.struct("at", "ids", "docs")))
+    split = pieces(False).groupBy("source", "no").agg(parts.alias("p"), F.sum("n_tokens").cast("int").alias("n_tokens"), F.first("draws").alias("draws"))
+    split = split.select("source", "no", "n_tokens", F.flatten("p.ids").alias("ids"), F.flatten("p.docs").alias("docs"), "draws")
+    out = pieces(True).drop("at").unionByName(split).select("source", "no", "n_tokens", "ids", "docs", F.explode("draws").alias("x"))
+    return out.select("x.shard", "x.slot", "source", "x.repeat", "no", "n_tokens", "ids", "docs")
 
 
 def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
@@ -232,6 +287,6 @@ def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
 def usage(drawn: DataFrame) -> DataFrame:
     """How often each drawn document is used: (doc_id, source, uses, n_tokens), uses being the most draws that any block
     with a part of it has."""
-    x = drawn.select("source", "part", "no", F.explode("docs").alias("d"))
-    per_block = x.groupBy("d.doc_id", "source", "part", "no").agg(F.count("*").alias("uses"), F.sum("d.n").alias("n"))
+    x = drawn.select("source", "no", F.explode("docs").alias("d"))
+    per_block = x.groupBy("d.doc_id", "source", "no").agg(F.count("*").alias("uses"), F.sum("d.n").alias("n"))
     return per_block.groupBy("doc_id", "source").agg(F.max("uses").alias("uses"), F.sum("n").alias("n_tokens"))
