@@ -81,27 +81,31 @@ def _from_html(text: str) -> str:
     return html.unescape(_TAGS.sub("", text))
 
 
-def _texts(text: str, depth: int = 0) -> list[str]:
-    """The readable parts of a message or part of one."""
-    head, body = _head(text)
-    kind = head.get("content-type", "").lower()
-    edge = _BOUNDARY.search(head.get("content-type", ""))
-    mark = edge[1] if edge else None
-    if mark is None and (m := re.match(r"\s*--(\S+)\nContent-", body)):
-        mark = m[1]
-    if mark and f"--{mark}" in body and depth < 8:
-        parts = body.split(f"--{mark}")
-        found = [(p, _head(p.lstrip("\n"))[0]) for p in parts[1:] if p.strip() not in ("", "--")]
-        found = [(p, h) for p, h in found if "attachment" not in h.get("content-disposition", "").lower() and "name=" not in h.get("content-type", "").lower()]
-        plain = [p for p, h in found if not h.get("content-type", "").lower().startswith("text/html")]
-        return [t for p in plain or [p for p, _ in found] for t in _texts(p.lstrip("\n"), depth + 1)]
-    if kind and not kind.startswith("text/") and not kind.startswith("multipart/"):
-        return []
-    charset = re.search(r"charset\s*=\s*\"?([\w-]+)", kind)
-    body = _decode(body, head.get("content-transfer-encoding", ""), charset[1] if charset else "").replace("\r\n", "\n").replace("\r", "\n")
-    if kind.startswith("text/html") or re.search(r"(?i)<(?:html|body|div|p|br)\b", body):
-        body = _from_html(body)
-    return [body]
+def _texts(text: str) -> list[str]:
+    """The readable parts of a message, in order, however deep they lie in parts of parts."""
+    out, todo = [], [text]
+    while todo:
+        head, body = _head(todo.pop())
+        kind = head.get("content-type", "").lower()
+        edge = _BOUNDARY.search(head.get("content-type", ""))
+        mark = edge[1] if edge else None
+        if mark is None and (m := re.match(r"\s*--(\S+)\nContent-", body)):
+            mark = m[1]
+        if mark and f"--{mark}" in body:
+            parts = body.split(f"--{mark}")
+            found = [(p, _head(p.lstrip("\n"))[0]) for p in parts[1:] if p.strip() not in ("", "--")]
+            found = [(p, h) for p, h in found if "attachment" not in h.get("content-disposition", "").lower() and "name=" not in h.get("content-type", "").lower()]
+            plain = [p for p, h in found if not h.get("content-type", "").lower().startswith("text/html")]
+            todo += [p.lstrip("\n") for p in reversed(plain or [p for p, _ in found])]
+            continue
+        if kind and not kind.startswith("text/") and not kind.startswith("multipart/"):
+            continue
+        charset = re.search(r"charset\s*=\s*\"?([\w-]+)", kind)
+        body = _decode(body, head.get("content-transfer-encoding", ""), charset[1] if charset else "").replace("\r\n", "\n").replace("\r", "\n")
+        if kind.startswith("text/html") or re.search(r"(?i)<(?:html|body|div|p|br)\b", body):
+            body = _from_html(body)
+        out.append(body)
+    return out
 
 
 def _repair(m: re.Match) -> str:

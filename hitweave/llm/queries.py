@@ -87,7 +87,7 @@ def p8_usage(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels, listed = load(spark, sf, "documents", "subject_labels", "subjects")
-    found = subjects.assign(docs, labels, listed)
+    found = subjects.assign(docs.withColumn("lang", F.substring("lang", 1, 2)), labels, listed)  # de, de-DE and DE are one
     return found.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "subject")
 
 

@@ -36,8 +36,8 @@ MOST_SEEDS = 20_000
 #: terms in an average document divided by it.
 LEAST_SHARE, LEAST_DOCS = 5e-4, 3
 MOST_TERMS = 2_000_000
-#: Rows of the dense matrix that are summed in one group.
-ROWS = 2048
+#: Rows of the dense matrix that are summed in one group, and what a task holds of it.
+ROWS, TASK_MB = 2048, 128
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ def _lists(parts: list, kind: pa.DataType) -> pa.ListArray:
 
 
 def _words(docs: DataFrame, id_col: str, text_col: str, group_col: str | None, reader: Callable[[str | None], str]) -> DataFrame:
-    group = F.coalesce(F.lower(F.substring(F.col(group_col), 1, 2)), F.lit("")) if group_col else F.lit("")
+    group = F.coalesce(F.lower(F.trim(F.col(group_col).cast("string"))), F.lit("")) if group_col else F.lit("")
     picked = docs.select(F.col(id_col).alias("id"), group.alias("g"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,15 +110,18 @@ def _vocabulary(words: DataFrame, s: Settings) -> list[tuple[str, float]]:
         rows = [(t, g, n) for g, c in total.items() for t, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["term", "g", "n"])
 
-    sizes = {r.g: r.n for r in words.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
     n = words.count()
-    groups = {g: k for g, k in sizes.items() if g and k >= s.group_share * n} or sizes
-    if not groups:
+    # groups of at least the share, so no more than 1 / group_share; the others and the unnamed one are rated as one group
+    large = words.where("g <> ''").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= s.group_share * n)
+    groups = {r.g: r.n for r in large.collect()}
+    if not n:
         return []
-    rest = n - sum(groups.values())  # documents of small groups and of none, as one group for terms of no other
-    size = F.create_map(*[x for g, k in groups.items() for x in (F.lit(g), F.lit(k))])
+    rest = n - sum(groups.values())
+    rates = F.when(F.lit(False), F.lit(0.0))
+    for g, k in groups.items():
+        rates = rates.when(F.col("g") == g, F.col("n") / k)
     df = words.select("id", "g", "terms").mapInArrow(count, "term string, g string, n long").groupBy("term", "g").agg(F.sum("n").alias("n"))
-    rated = df.groupBy("term").agg(F.sum("n").alias("docs"), F.coalesce(F.max(F.try_divide(F.col("n"), size[F.col("g")])), F.try_divide(F.sum("n"), F.lit(rest))).alias("rate"))
+    rated = df.groupBy("term").agg(F.sum("n").alias("docs"), F.coalesce(F.max(rates), F.try_divide(F.sum("n"), F.lit(rest))).alias("rate"))
     least = max(LEAST_DOCS, LEAST_SHARE * n)
     # above most_rate the weight is lowered by the rate: small for everyday words, some for those of a hot subject
     rarity = F.log(1 / F.greatest("rate", F.lit(1e-4)))
@@ -174,51 +177,90 @@ def _times(i: np.ndarray, w: np.ndarray, owner: np.ndarray, n: int, q: np.ndarra
     return out
 
 
-def _sum_blocks(df: DataFrame, shape: tuple[int, int], partial) -> np.ndarray:
-    """Sum over tasks of the dense matrix that partial(batches) gives for each, added up in blocks of rows by a shuffle."""
+class _Sums:
+    """Rows of a large matrix that are added to, kept in blocks of rows of which only those in use exist."""
+
+    def __init__(self, width: int):
+        self.width, self.blocks = width, {}
+
+    def add(self, at: np.ndarray, rows: np.ndarray) -> None:
+        """Add rows at the distinct, rising places at."""
+        block = at // ROWS
+        edge = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(at))
+        for a, b in zip(edge[:-1], edge[1:]):
+            k = int(block[a])
+            if k not in self.blocks:
+                self.blocks[k] = np.zeros((ROWS, self.width), np.float32)
+            self.blocks[k][at[a:b] - k * ROWS] += rows[a:b]
+
+    def flush(self) -> pa.RecordBatch:
+        """(block, places in the block, data) of the rows that aren't all 0."""
+        out = []
+        for k, m in self.blocks.items():
+            at = np.flatnonzero(m.any(1)).astype(np.int32)
+            out.append((k, at.tobytes(), m[at].tobytes()))
+        self.blocks = {}
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["block", "at", "data"])
+
+
+def _sum_rows(df: DataFrame, shape: tuple[int, int], partial) -> np.ndarray:
+    """Sum over tasks of the rows that partial(batch, sums) adds for each batch, added up by blocks in a shuffle. Only rows
+    that a task has touched leave it, and it holds TASK_MB of them at most."""
+    most = max(1, TASK_MB * 2**20 // (ROWS * shape[1] * 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = partial(batches)
-        starts = list(range(0, shape[0], ROWS))
-        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([np.ascontiguousarray(m[a : a + ROWS], np.float32).tobytes() for a in starts], pa.binary())], ["block", "data"])
+        sums = _Sums(shape[1])
+        for batch in batches:
+            partial(batch, sums)
+            if len(sums.blocks) > most:
+                yield sums.flush()
+        yield sums.flush()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(pdf["data"].iloc[0]) // 4, np.float64)
-        for x in pdf["data"]:
-            total += np.frombuffer(x, np.float32)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [total.astype(np.float32).tobytes()]})
+        total = np.zeros((ROWS, shape[1]), np.float64)
+        for at, x in zip(pdf["at"], pdf["data"]):
+            total[np.frombuffer(at, np.int32)] += np.frombuffer(x, np.float32).reshape(-1, shape[1])
+        at = np.flatnonzero(total.any(1)).astype(np.int32)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "at": [at.tobytes()], "data": [total[at].astype(np.float32).tobytes()]})
 
     out = np.zeros(shape, np.float32)
-    for r in df.mapInArrow(run, "block int, data binary").groupBy("block").applyInPandas(add, "block int, data binary").collect():
-        m = np.frombuffer(r.data, np.float32).reshape(-1, shape[1])
-        out[r.block : r.block + len(m)] = m
+    kind = "block int, at binary, data binary"
+    for r in df.mapInArrow(run, kind).groupBy("block").applyInPandas(add, kind).collect():
+        out[r.block * ROWS + np.frombuffer(r.at, np.int32)] = np.frombuffer(r.data, np.float32).reshape(-1, shape[1])
     return out
 
 
+def _orthonormal(y: np.ndarray) -> np.ndarray:
+    """Columns of unit length, at right angles, that span those of y, by way of the small matrix of their products; done
+    twice, as once is not exact. Columns that depend on the others become 0."""
+    for _ in range(2):
+        values, u = np.linalg.eigh(sum(p.astype(np.float64).T @ p for p in np.array_split(y, max(1, len(y) // 65536))))
+        scale = np.where(values > 1e-12 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0)
+        y = y @ (u * scale).astype(np.float32)
+    return y
+
+
 def directions(vectors: DataFrame, n_terms: int, s: Settings) -> np.ndarray:
     """The leading right singular vectors, as columns."""
     sc = vectors.sparkSession.sparkContext
     width = min(s.dims + 8, n_terms)
-    q = np.linalg.qr(np.random.default_rng(s.seed).standard_normal((n_terms, width)))[0].astype(np.float32)
+    q = _orthonormal(np.random.default_rng(s.seed).standard_normal((n_terms, width), np.float32))
     x = vectors.select("id", "idx", "w")
     for p in range(s.passes + 1):
         shared = sc.broadcast(q)
 
-        def gram(batches: Iterator[pa.RecordBatch], shared=shared) -> np.ndarray:
-            q, total = shared.value, np.zeros((n_terms, width), np.float32)
-            for batch in batches:
-                for _, n, i, w, owner in _pieces(batch):
-                    if len(i):
-                        y = _times(i, w, owner, n, q)
-                        order = np.argsort(i, kind="stable")
-                        at = i[order]
-                        first = np.flatnonzero(np.diff(at, prepend=-1))
-                        total[at[first]] += np.add.reduceat(y[owner[order]] * w[order, None], first, axis=0)
-            return total
-
-        g = _sum_blocks(x, (n_terms, width), gram)
+        def gram(batch: pa.RecordBatch, sums: _Sums, shared=shared) -> None:
+            for _, n, i, w, owner in _pieces(batch):
+                if len(i):
+                    y = _times(i, w, owner, n, shared.value)
+                    order = np.argsort(i, kind="stable")
+                    at = i[order]
+                    first = np.flatnonzero(np.diff(at, prepend=-1))
+                    sums.add(at[first], np.add.reduceat(y[owner[order]] * w[order, None], first, axis=0))
+
+        g = _sum_rows(x, (n_terms, width), gram)
         if p < s.passes:
-            q = np.linalg.qr(g)[0].astype(np.float32)
+            q = _orthonormal(g)
     values, v = np.linalg.eigh(q.T.astype(np.float64) @ g)
     return (q @ v[:, np.argsort(-values)[: s.dims]]).astype(np.float32)
 
@@ -320,17 +362,16 @@ def assign(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str
     c = _unit(base).astype(np.float32)
     for _ in range(s.refinements):
 
-        def near(batches: Iterator[pa.RecordBatch], c=c) -> np.ndarray:
+        def near(batch: pa.RecordBatch, sums: _Sums, c=c) -> None:
+            z = _unit(_matrix(batch.column(0), width))
+            cos = z @ c.T
+            best = cos.argmax(1)
             total = np.zeros(c.shape, np.float64)
-            for batch in batches:
-                z = _unit(_matrix(batch.column(0), width))
-                cos = z @ c.T
-                best = cos.argmax(1)
-                ok = cos.max(1) > s.near if len(z) else np.zeros(0, bool)
-                np.add.at(total, best[ok], z[ok])
-            return total
-
-        c = _unit(_sum_blocks(embedded.select("z"), c.shape, near) + 2 * base).astype(np.float32)
+            ok = cos.max(1) > s.near if len(z) else np.zeros(0, bool)
+            np.add.at(total, best[ok], z[ok])
+            sums.add(np.arange(len(c)), total)
+
+        c = _unit(_sum_rows(embedded.select("z"), c.shape, near) + 2 * base).astype(np.float32)
     at = _threshold(_scores(seeds, c, of, len(names)), truth) if len(seeds) else 0.125
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
