@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitweave.operators.places import running
+
 
 def depth_stats(depths: DataFrame, contig: str = "contig", depth: str = "depth") -> DataFrame:
     """(contig, mean, min, max, median) of the depths of each contig; the median is exact, of counts of depths."""
@@ -48,7 +50,7 @@ def contig_table(contigs: DataFrame, read_counts: DataFrame | None = None, depth
     if depths is not None:
         x = x.join(depth_stats(depths), "contig", "left").na.fill(0, ["mean", "min", "max", "median"])
     by_length = contigs.where(F.col("length") >= least).groupBy("length").agg(F.sum("length").alias("bases"))
-    run = by_length.select("length", F.sum("bases").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cumulative"))
+    run = running(by_length, [], [F.desc("length")], F.col("bases"), "cumulative").select("length", "cumulative")
     return x.join(run, "length")
 
 

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitweave.operators.places import running
+
 GROUP = ("label", "read")
 
 
+def read_weights(weights: DataFrame) -> DataFrame:
+    """(read, weight), one row for each read. weights: (read, weight) and, of several files, pos: the last row holds, as a
+    later file overrides an earlier one; without pos the highest weight."""
+    last = F.max_by("weight", "pos") if "pos" in weights.columns else F.max("weight")
+    return weights.groupBy("read").agg(last.alias("weight"))
+
+
 def _weight(values: DataFrame, weights: DataFrame | None) -> DataFrame:
-    """values with a weight w: that of the read where weights (read, weight) has one, else 1."""
+    """values with a weight w: that of the read where weights has one, else 1."""
     if weights is None:
         return values.withColumn("w", F.lit(1))
-    w = weights.groupBy("read").agg(F.max("weight").alias("weight"))
-    return values.join(w, "read", "left").withColumn("w", F.coalesce("weight", F.lit(1))).drop("weight")
+    return values.join(read_weights(weights), "read", "left").withColumn("w", F.coalesce("weight", F.lit(1))).drop("weight")
 
 
 def count_values(values: DataFrame, method: str = "all", weights: DataFrame | None = None, by: tuple[str, ...] = ("label",), group=GROUP, order: str = "pos") -> DataFrame:
@@ -67,10 +75,12 @@ def wide(counts: DataFrame, labels: list[str] | None = None) -> DataFrame:
 def crosstab(left: DataFrame, right: DataFrame, weights: DataFrame | None = None, total_reads: float | None = None, unknown: str = "Unknown") -> DataFrame:
     """Pairs of values that two tables (read, value) give to the same read: (value1, value2, n, weighted). A read of one
     table only has unknown in the other. total_reads sets the number of reads of which neither knows anything."""
-    a, b = left.select("read", F.col("value").alias("value1")), right.select("read", F.col("value").alias("value2"))
-    pairs = a.join(b, "read", "full_outer").na.fill(unknown, ["value1", "value2"])
-    x = _weight(pairs, weights)
-    cells = x.groupBy("value1", "value2").agg(F.count("*").alias("n"), F.sum("w").alias("weighted"))
+    a = left.groupBy("read", F.col("value").alias("value1")).agg(F.count("*").alias("n1"))
+    b = right.groupBy("read", F.col("value").alias("value2")).agg(F.count("*").alias("n2"))
+    # values of a read are counted first, so that rows of a read of very many don't meet one by one
+    pairs = a.join(b, "read", "full_outer").na.fill(unknown, ["value1", "value2"]).na.fill(1, ["n1", "n2"])
+    x = _weight(pairs.withColumn("n", F.col("n1") * F.col("n2")), weights)
+    cells = x.groupBy("value1", "value2").agg(F.sum("n").alias("n"), F.sum(F.col("w") * F.col("n")).alias("weighted"))
     if total_reads is None:
         return cells
     known = pairs.agg(F.countDistinct("read").alias("known"))  # one row
@@ -83,8 +93,7 @@ def n_statistics(lengths: DataFrame, column: str, shares=(50, 75, 90)) -> DataFr
     """For each share the length such that sequences at least as long hold that share of all bases: (share, length).
     Equal lengths are summed first, so that the running sum is over distinct lengths."""
     d = lengths.select(F.col(column).cast("long").alias("length")).where("length is not null").groupBy("length").agg(F.sum("length").alias("b"))
-    run = F.sum("b").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = d.agg(F.sum("b").alias("total"))
-    x = d.withColumn("run", run).crossJoin(F.broadcast(total))
+    total = d.agg(F.sum("b").alias("total"))  # one row
+    x = running(d, [], [F.desc("length")], F.col("b"), "run").crossJoin(F.broadcast(total))
     s = lengths.sparkSession.createDataFrame([(k,) for k in shares], "share int")
     return x.crossJoin(F.broadcast(s)).where(F.col("run") >= F.col("total") * F.col("share") / 100).groupBy("share").agg(F.max("length").alias("length"))

@@ -8,14 +8,15 @@ a rank, and Spark cuts those rows to the limit before the shuffle where the rank
 
 from __future__ import annotations
 
-import bisect
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitweave.functions.names import free_name
+from hitweave.functions.spans import Taken
 from hitweave.operators.folds import fold
+from hitweave.operators.places import running
 
 GROUP, ORDER = ("label", "read"), "pos"
 
@@ -92,13 +93,29 @@ def row_predicate(p: FilterParams, columns: list[str], fmt: str | None = None) -
     return keep
 
 
-def limit_hits(hits: DataFrame, n: int, group=GROUP, order: list[Column] | None = None) -> DataFrame:
-    """Rows of the first n distinct hits of each read."""
-    order = order or [F.col(ORDER)]
-    first, rank = free_name("first_", hits.columns), free_name("rank_", hits.columns)
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    x = hits.withColumn(first, place).withColumn(first, F.min(first).over(Window.partitionBy(*group, "hit")))
-    return x.withColumn(rank, F.dense_rank().over(Window.partitionBy(*group).orderBy(first))).where(F.col(rank) <= n).drop(first, rank)
+def sort_value(sort: str | None) -> Column:
+    """A number that rises in the order of sort; what lacks the value comes last."""
+    by = {"evalue": F.col("evalue"), "pctid": -F.col("pctid"), "score": -F.col("score"), None: F.lit(0.0)}
+    if sort not in by:
+        raise ValueError(f"hits can't be sorted by {sort}")
+    return F.coalesce(by[sort].cast("double"), F.lit(float("inf")))
+
+
+def limit_hits(hits: DataFrame, n: int, group=GROUP, sort: str | None = None, order: str = ORDER) -> DataFrame:
+    """Rows of the first n distinct hits of each read.
+
+    The first row of each hit is found before the shuffle, and tasks keep no more than n hits of a read when these are
+    ranked, so that a read of very many rows or hits is nowhere gathered."""
+    keys = [*group, "hit"]
+    names = [f"first_{i}" for i in range(len(keys))]
+    tie = [F.col("hit")] if sort else []
+    first = hits.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, names)]).agg(F.min(F.struct(sort_value(sort).alias("k"), *[t.alias("t") for t in tie], F.col(order).alias("o"))).alias("first_row"))
+    place = F.row_number().over(Window.partitionBy(*names[:-1]).orderBy("first_row"))
+    kept = first.withColumn("first_place", place).where(F.col("first_place") <= n)
+    same = F.lit(True)
+    for k, a in zip(keys, names):
+        same = same & hits[k].eqNullSafe(kept[a])
+    return hits.join(kept, same, "left_semi")
 
 
 def limit_hsps(hits: DataFrame, n: int, group=GROUP, order: list[Column] | None = None) -> DataFrame:
@@ -108,37 +125,33 @@ def limit_hsps(hits: DataFrame, n: int, group=GROUP, order: list[Column] | None
 
 
 def _greedy(rows, buffer: int, most_hits: int, most_rows: int):
-    """Of rows (start, stop, hit, id) the ids of those that overlap no kept one by more than buffer, within the limits. The
-    kept regions lie in order, so that each row is held against its neighbours only; with a buffer kept regions may
-    themselves overlap, and more neighbours are looked at."""
-    regions: list[tuple[int, int]] = []
-    longest, per_hit = 0, {}
+    """Of rows (start, stop, hit, id) the ids of those that overlap no kept one by more than buffer, within the limits."""
+    taken, per_hit = Taken(), {}
     for s, e, h, i in rows:
-        s, e = (s, e) if s <= e else (e, s)
         n = per_hit.get(h, 0)
-        ok = not (most_hits and not n and len(per_hit) >= most_hits) and not (most_rows and n >= most_rows)
-        at = bisect.bisect_left(regions, (s - longest - buffer, -1)) if ok else 0
-        while ok and at < len(regions) and regions[at][0] < e + buffer + 1:
-            a, b = regions[at]
-            ok = s + buffer >= b or e - buffer <= a
-            at += 1
-        if ok:
-            bisect.insort(regions, (s, e))
-            longest = max(longest, e - s)
-            per_hit[h] = n + 1
-            yield (i,)
+        if (most_hits and not n and len(per_hit) >= most_hits) or (most_rows and n >= most_rows) or taken.meets(s, e, buffer):
+            continue
+        taken.add(s, e)
+        per_hit[h] = n + 1
+        yield (i,)
 
 
 def nonoverlapping(hits: DataFrame, buffer: int, group=GROUP, sort: str | None = None, order: str = ORDER, most_hits: int = 0, most_rows: int = 0) -> DataFrame:
     """Greedy choice of rows whose query regions overlap by no more than buffer, in order; touching ends don't overlap.
 
-    Whether a row stays depends on all rows kept before it, so a read is decided by one task; only the columns that the
-    decision needs go there. Rows without coordinates are dropped."""
+    Whether a row stays depends on all rows kept before it, so a read is decided by one task. What goes there is, of all
+    rows of a read on one and the same region (and, with limits, of one hit), the first, as it keeps the others out. So a
+    read has no more rows there than regions, and of these only the columns that the decision needs. Rows without
+    coordinates are dropped."""
     keys = [F.col(g).alias(f"g{i}") for i, g in enumerate(group)]
-    sort_key = {"evalue": F.col("evalue"), "pctid": -F.col("pctid"), "score": -F.col("score"), None: F.lit(0.0)}[sort]
-    small = hits.where("qstart is not null and qend is not null").select(*keys, F.coalesce(sort_key.cast("double"), F.lit(float("inf"))).alias("k"), (F.col("hit") if sort else F.lit("")).alias("t"), F.col(order).alias("p"), F.col("hit").alias("h"), "qstart", "qend")
+    s, e = F.least("qstart", "qend"), F.greatest("qstart", "qend")
+    small = hits.where("qstart is not null and qend is not null").select(*keys, sort_value(sort).alias("k"), (F.col("hit") if sort else F.lit("")).alias("t"), F.col(order).alias("p"), F.col("hit").alias("h"), s.alias("s"), e.alias("e"))
     n = len(group)
-    kept = fold(small, n, ["k", "t", "p"], lambda _, rows: _greedy(((r[n + 4], r[n + 5], r[n + 3], r[n + 2]) for r in rows), buffer, most_hits, most_rows), f"p {hits.schema[order].dataType.simpleString()}")
+    # a region of no more bases than the buffer keeps nothing out
+    alone = F.when(F.col("e") - F.col("s") <= buffer, F.col("p"))
+    regions = small.groupBy(*[f"g{i}" for i in range(n)], "s", "e", (F.col("h") if most_hits or most_rows else F.lit("")).alias("of"), alone.alias("alone")).agg(F.min(F.struct("k", "t", "p", "h")).alias("m"))
+    regions = regions.select(*[f"g{i}" for i in range(n)], "m.k", "m.t", "m.p", "m.h", "s", "e")
+    kept = fold(regions, n, ["k", "t", "p"], lambda _, rows: _greedy(((r[n + 4], r[n + 5], r[n + 3], r[n + 2]) for r in rows), buffer, most_hits, most_rows), f"p {hits.schema[order].dataType.simpleString()}")
     return hits.join(kept.select(F.col("p").alias(order)), order, "left_semi")
 
 
@@ -162,7 +175,7 @@ def filter_hits(hits: DataFrame, p: FilterParams, group=GROUP, order: str = ORDE
     if p.nonoverlapping >= 0:
         return nonoverlapping(kept, p.nonoverlapping, group, p.sort, order, p.hits_per_read, p.hsps_per_hit)
     if p.hits_per_read:
-        kept = limit_hits(kept, p.hits_per_read, group, by)
+        kept = limit_hits(kept, p.hits_per_read, group, p.sort, order)
     if p.hsps_per_hit:
         kept = limit_hsps(kept, p.hsps_per_hit, group, by)
     return kept
@@ -170,4 +183,4 @@ def filter_hits(hits: DataFrame, p: FilterParams, group=GROUP, order: str = ORDE
 
 def ranked(hits: DataFrame, sort: str, group=GROUP, order: str = ORDER) -> DataFrame:
     """Hits with their place in the read when sorted."""
-    return hits.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*sort_order(sort, order))))
+    return running(hits, list(group), sort_order(sort, order), F.lit(1), "place").withColumn("place", F.col("place").cast("int"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitweave.functions.names import free_name
+from hitweave.functions.spans import Taken
 from hitweave.operators.filters import GROUP
 from hitweave.operators.folds import fold
 
@@ -21,19 +23,27 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, how: str = "inner", buffe
     rows of a that do (left_semi) or don't (left_anti).
 
     Both have columns key, start and stop (start <= stop). Ends that touch, or overlap by no more than buffer, don't
-    count. Intervals meet in bins of the line, so a key of very many intervals is spread over its bins; a pair counts in
-    the first bin that both have. Rows of a need no id: semi and anti keep repeated rows."""
-    row = F.monotonically_increasing_id()
-    left = a.withColumn("a_row", row)
-    x = left.select("a_row", F.col(key).alias("k"), F.col("start").alias("s"), F.col("stop").alias("e"), _bins(F.col("start"), F.col("stop"), width).alias("bin"))
-    y = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn("b_bin", _bins(F.col("b_start"), F.col("b_stop"), width))
-    first = F.greatest(F.floor(F.col("s") / width), F.floor(F.col("b_start") / width)) == F.col("bin")
-    apart = (F.col("s") + buffer >= F.col("b_stop")) | (F.col("e") - buffer <= F.col("b_start"))
-    pairs = x.join(y, (F.col("k") == F.col(f"b_{key}")) & (F.col("bin") == F.col("b_bin"))).where(~apart)
+    count. For pairs, intervals meet in bins of the line, and a pair counts in the first bin that both have. Whether a row
+    overlaps anything is read off the furthest end of all intervals of b that begin before its own end; b is reduced to
+    one row for each start before the shuffle, and a to its distinct ends, so that a key of very many rows, or very many
+    rows of one place, don't meet. Repeated rows count each; null keys and ends overlap nothing."""
     if how == "inner":
-        return left.join(pairs.where(first).drop("k", "s", "e", "bin", "b_bin"), "a_row").drop("a_row")
-    hit = pairs.select("a_row").distinct()
-    return left.join(hit, "a_row", how).drop("a_row")
+        bin_, k = free_name("bin_", a.columns), free_name("key_", a.columns)
+        x = a.withColumn(k, F.col(key)).withColumn(bin_, _bins(F.col("start"), F.col("stop"), width))
+        y = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn("b_bin", _bins(F.col("b_start"), F.col("b_stop"), width))
+        first = F.greatest(F.floor(F.col("start") / width), F.floor(F.col("b_start") / width)) == F.col(bin_)
+        apart = (F.col("start") + buffer >= F.col("b_stop")) | (F.col("stop") - buffer <= F.col("b_start"))
+        return x.join(y, (F.col(k) == F.col(f"b_{key}")) & (F.col(bin_) == F.col("b_bin"))).where(~apart & first).drop(k, bin_, "b_bin")
+    begun = b.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k"), F.col("start").alias("x")).agg(F.max("stop").alias("e"))
+    asked = a.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), (F.col("stop") - buffer).alias("x")).distinct()
+    points = begun.withColumn("kind", F.lit(1)).unionByName(asked.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    # at one place those who ask come first: what begins there is not before their end
+    reach = F.max("e").over(Window.partitionBy("k").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    names = [free_name(n, a.columns) for n in ("reach_k", "reach_x", "reach_e")]
+    top = points.withColumn("reach", reach).where("kind = 0 and reach is not null").select(*[F.col(c).alias(n) for c, n in zip(("k", "x", "reach"), names)])
+    met = (F.col(key) == F.col(names[0])) & (F.col("stop") - buffer == F.col(names[1]))
+    hit = F.coalesce(F.col(names[2]) > F.col("start") + buffer, F.lit(False))
+    return a.join(top, met, "left").where(hit if how == "left_semi" else ~hit).drop(*names)
 
 
 def merge_hsps(hits: DataFrame, buffer: int = 0, group=GROUP, order: str = "pos") -> DataFrame:
@@ -48,23 +58,19 @@ def merge_hsps(hits: DataFrame, buffer: int = 0, group=GROUP, order: str = "pos"
 
     n = len(keys)
 
-    def apart(s: int, e: int, kept: list[tuple[int, int]]) -> bool:
-        return all(s + buffer >= b or e - buffer <= a for a, b in kept)
-
     def merge(key: tuple, rows):
-        on_hit: list[tuple[int, int]] = []
-        on_query: list[tuple[int, int]] = []
+        on_hit, on_query = Taken(), Taken()
         count = length = weight = 0
         score = identity = None
         box: list[int] = []
         for _, mlen, s, pctid, qs, qe, hs, he in (r[n:] for r in rows):
-            if not apart(hs, he, on_hit):
+            if on_hit.meets(hs, he, buffer):
                 continue
-            on_hit.append((hs, he))
+            on_hit.add(hs, he)
             q = (min(qs, qe), max(qs, qe))
-            if not apart(*q, on_query):
+            if on_query.meets(*q, buffer):
                 continue
-            on_query.append(q)
+            on_query.add(*q)
             count, length = count + 1, length + (mlen or 0)
             score = s if score is None else score + (s or 0.0)
             if pctid is not None and mlen:
@@ -77,20 +83,14 @@ def merge_hsps(hits: DataFrame, buffer: int = 0, group=GROUP, order: str = "pos"
     return fold(x, n, [order], merge, f"{kinds}, n int, mlen long, score double, pctid double, qstart int, qend int, hstart int, hend int")
 
 
-def uncovered(spans: Column, length: Column, least: int = 1) -> Column:
-    """The stretches of 1..length that no span covers, of at least least bases. spans: array of structs (s, e) in any
-    order and direction."""
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(F.least(x["s"], x["e"]).alias("s"), F.greatest(x["s"], x["e"]).alias("e"))))
-    item = "array<struct<s:int,e:int>>"
-    start = F.struct(F.lit(1).cast("int").alias("at"), F.array().cast(item).alias("gaps"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.struct(acc["at"].alias("s"), (x["s"] - 1).cast("int").alias("e"))
-        gaps = F.when(x["s"] > acc["at"], F.array_append(acc["gaps"], gap)).otherwise(acc["gaps"])
-        return F.struct(F.greatest(acc["at"], x["e"] + 1).cast("int").alias("at"), gaps.cast(item).alias("gaps"))
-
-    def finish(acc: Column) -> Column:
-        last = F.struct(acc["at"].alias("s"), length.cast("int").alias("e"))
-        return F.when(acc["at"] <= length, F.array_append(acc["gaps"], last)).otherwise(acc["gaps"])
-
-    return F.filter(F.aggregate(ordered, start, step, finish), lambda g: g["e"] - g["s"] + 1 >= least)
+def uncovered(spans: DataFrame, lengths: DataFrame, least: int = 1) -> DataFrame:
+    """The stretches (id, s, e) of 1..n that no span covers, of at least least bases. spans: (id, s, e) in any order and
+    direction, null ends ignored; lengths: (id, n). An id without spans is one stretch. Spans are reduced to the furthest
+    end of each start before the shuffle."""
+    lo, hi = F.least("s", "e"), F.greatest("s", "e")
+    ends = spans.where("s is not null and e is not null").groupBy("id", lo.alias("lo")).agg(F.max(hi).alias("hi"))
+    w = Window.partitionBy("id").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    between = ends.withColumn("before", F.coalesce(F.max("hi").over(w), F.lit(0))).select("id", (F.col("before") + 1).alias("s"), (F.col("lo") - 1).alias("e"))
+    between = between.join(lengths, "id").select("id", "s", F.least("e", "n").alias("e"))
+    last = lengths.join(ends.groupBy("id").agg(F.max("hi").alias("hi")), "id", "left").select("id", (F.coalesce("hi", F.lit(0)) + 1).alias("s"), F.col("n").alias("e"))
+    return between.unionByName(last).where(F.col("e") - F.col("s") + 1 >= F.greatest(F.lit(least), F.lit(1))).select("id", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))

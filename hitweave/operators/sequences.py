@@ -29,11 +29,11 @@ def gc_percent(seq: Column) -> Column:
 def translated(seq: Column) -> Column:
     """Amino acids of the codons from the first base on; X for codons that aren't of plain bases, * for stops. Bases
     after the last whole codon are left out."""
-    table = F.create_map(*[F.lit(x) for kv in CODONS.items() for x in kv])
-    s = F.upper(F.replace(seq, F.lit("U"), F.lit("T")))
-    n = F.floor(F.length(s) / 3).cast("int")
-    codons = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.coalesce(table[F.substring(s, i * 3 + 1, F.lit(3))], F.lit("X")))
-    return F.array_join(codons, "")
+    # bases as digits to the base of 4, so that a codon is the place of its amino acid; a dot stands for any other letter
+    s = F.regexp_replace(F.translate(F.upper(seq), "UTCAG", "00123"), "[^0-3]", ".")
+    codons = F.regexp_extract_all(s, F.lit("..."), 0)
+    acid = lambda c: F.when(F.instr(c, ".") > 0, "X").otherwise(F.substring(F.lit(_AMINO), F.conv(c, 4, 10).cast("int") + 1, F.lit(1)))
+    return F.array_join(F.transform(codons, acid), "")
 
 
 def region(seq: Column, start: Column, stop: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.operators.hierarchy import hierarchy
-from hitweave.schema import RANKS, rank_index
+from hitweave.operators.places import running
+from hitweave.schema import FAMILY_TAXIDS, RANKS, rank_index
 from hitweave.session import cut
 
 
@@ -41,13 +42,18 @@ def _rank(rank: str) -> int:
     return RANKS.index(name)
 
 
-def ancestor_closest_to_rank(lineage: Column, rank: str, use_child: bool = False) -> Column:
+def ancestor_closest_to_rank(lineage: Column, rank: str, use_child: bool = True) -> Column:
     """Taxid of the ancestor nearest to a rank.
 
     Of the lineage from the node up, the first ranked member at or above the rank decides: it is taken if its rank is the
-    wanted one. If no ranked member lies below it, the node itself is taken, or with use_child the member just below it.
-    Else the place between the two ranked members is interpolated by their ranks. No member at or above: the node."""
-    up = F.transform(F.reverse(lineage), lambda x: F.struct(x["taxid"].alias("t"), F.coalesce(rank_index(x["rank"]), F.lit(-1)).alias("r")))
+    wanted one. If no ranked member lies below it, the member just below it is taken, or without use_child the node
+    itself. Else the place between the two ranked members is interpolated by their ranks. No member at or above: the
+    node. Some unranked taxa count as families (FAMILY_TAXIDS)."""
+    def place(x: Column) -> Column:
+        as_family = F.when(x["taxid"].isin(*FAMILY_TAXIDS), F.lit(RANKS.index("family")))
+        return F.coalesce(rank_index(x["rank"]), as_family, F.lit(-1))
+
+    up = F.transform(F.reverse(lineage), lambda x: F.struct(x["taxid"].alias("t"), place(x).alias("r")))
     target = F.lit(_rank(rank))
     at = F.array_position(F.transform(up, lambda x: x["r"] >= target), True).cast("int")  # from 1, 0 for none
     below = F.slice(up, F.lit(1), F.greatest(at - 1, F.lit(0)))
@@ -107,14 +113,9 @@ def merge_trees(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFra
     return first.unionByName(moved), mapped
 
 
-def numbered(rows: DataFrame, column: str, parts: int = 64) -> DataFrame:
-    """rows with n, their place from 1 in the order of a unique column. Ranges are numbered in parallel and shifted by the
-    numbers of rows before them."""
-    x = rows.repartitionByRange(parts, column).withColumn("part", F.spark_partition_id())
-    x = cut(x, "ranges")
-    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = x.groupBy("part").agg(F.count("*").alias("rows")).select("part", before.alias("before"))  # parts rows at most
-    return x.join(F.broadcast(sizes), "part").withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(column))).drop("part", "before")
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """rows with n, their place from 1 in the order of a unique column."""
+    return running(rows, [], [column], F.lit(1), "n")
 
 
 def build_tree(lineage_rows: DataFrame, column: str = "lineage", ranks: tuple[str, ...] | None = None) -> DataFrame:

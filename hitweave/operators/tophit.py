@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitweave.operators.counts import read_weights
+from hitweave.operators.places import running
+
 GROUP = ("label", "read")
 
 
@@ -18,7 +21,7 @@ def clear_counts(cand: DataFrame, group=GROUP, weights: DataFrame | None = None)
     """(org, n): weighted number of reads of a single organism."""
     one = cand.groupBy(*group).agg(F.count("*").alias("k"), F.first("org").alias("org")).where("k = 1")
     if weights is not None:
-        one = one.join(weights.groupBy("read").agg(F.max("weight").alias("weight")), "read", "left")
+        one = one.join(read_weights(weights), "read", "left")
     w = F.coalesce("weight", F.lit(1)) if weights is not None else F.lit(1)
     return one.groupBy("org").agg(F.sum(w).alias("n"))
 
@@ -47,7 +50,7 @@ def top_hit_proportional(hits: DataFrame, org: str = "hit", group=GROUP, order:
     counts = clear_counts(cand, group, weights)
     reads = cand.groupBy(*group).agg(F.array_sort(F.collect_set("org")).alias("orgs"), F.max("pos").alias("pos"))
     clear = reads.where("size(orgs) <= 1").select(*group, F.try_element_at("orgs", F.lit(1)).alias("org"))
-    doubt = reads.where("size(orgs) > 1").withColumn("rn", F.row_number().over(Window.partitionBy("orgs").orderBy(F.desc("pos"))))
+    doubt = running(reads.where("size(orgs) > 1"), ["orgs"], [F.desc("pos")], F.lit(1), "rn")
     sets = doubt.groupBy("orgs").agg(F.count("*").alias("reads")).select("orgs", "reads", F.posexplode("orgs").alias("i", "org"))
     q = _counted(sets, counts)
     by_set = Window.partitionBy("orgs")

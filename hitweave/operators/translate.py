@@ -9,13 +9,11 @@ from hitweave.functions.names import free_name
 
 #: Forms of ids in hit ids and descriptions.
 PATTERNS = {
-    "accession": r"\b([A-Z]{1,6}_?\d{4,}(?:\.\d+)?)\b",
-    "organism": r"\[([^\[\]]+)\]",
+    "accession": r"(?:^|\b[A-Za-z]{2,3}\|{1,2})([-\.0-9a-zA-Z_]+)(?<!\.\d\d)(?<!\.\d\d\d)(?<!\.\d)(?:\.\d+)?(?:\||$)(?=(?:\s|$))",
+    "organism": r"\[([^|\[\]]*(?:\[[^|\[\]]+\])?[^|\[\]]*)\]?\s*(?:(?=[a-z]{2,3}\|)|$)",
     "ko": r"\b(K\d{5})\b",
-    "gi": r"\bgi\|(\d+)",
-    "pfam": r"\b(PF\d+)(?:\.\d+)?",
-    "cog": r"\b(COG\d+)",
-    "tigr": r"\b(TIGR\d+)",
+    "gi": r"^gi\|(\d+)\|.*$",
+    "pfam": r"\b((?:COG|PF|TIGR)\d+)\.\d+\b",
 }
 
 
@@ -25,6 +23,13 @@ def extract(column: Column, style: str) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(column))
 
 
+def read_and_sample(column: Column, sep: str = "_") -> tuple[Column, Column]:
+    """A record id in its two parts around the last sep: the read and what tells its file; the file is null without one."""
+    at = F.instr(F.reverse(column), sep)
+    cut = F.length(column) - at
+    return F.when(at > 0, F.substring(column, F.lit(1), cut)).otherwise(column), F.when(at > 0, F.substring(column, cut + 2, at))
+
+
 def strip_version(column: Column) -> Column:
     return F.regexp_replace(column, r"\.\d+$", "")
 
@@ -102,31 +107,36 @@ def screen(rows: DataFrame, column: str, listed: DataFrame, keep: bool = True, o
     return out
 
 
+#: Names that are listed under others, compared in small letters without blanks.
+OTHER_NAMES = {"asaia lannensis": "asaia lannaensis", "uncultured haptophyte": "haptophyta", "acidisoma sibiricum": "acidisoma sibirica"}
+
+
 def name_cascade(rows: DataFrame, column: str, names: DataFrame, out: str = "taxid") -> DataFrame:
-    """rows with the taxid of a name, tried in steps: as it is, without brackets and what is in them, with "clade" read
-    as "cluster", as the beginning of a listed name (the first listed), with a listed name as its beginning (the longest).
+    """rows with the taxid of a name, tried in steps: as it is, without brackets and what is in them, by OTHER_NAMES, with
+    "clade" read as "cluster", as the beginning of a listed name (the first listed), with a listed name as its beginning
+    (the longest).
 
     names: (name, taxid, pos), pos being the order in the list. Names are compared in small letters without blanks and
-    dots. The step to beginnings joins by every beginning of either side of at least PREFIX letters, not every name with
-    every other. Null names and names not found have a null taxid."""
+    dots. The step to beginnings joins by every beginning of either side, not every name with every other. Null names and
+    names not found have a null taxid."""
     listed = names.select(simplify(F.col("name")).alias("nk"), F.col("taxid").alias("nt"), "pos").where("nk <> ''")
     listed = listed.groupBy("nk").agg(F.min(F.struct("pos", "nt")).alias("f")).select("nk", F.col("f.nt").alias("nt"), F.col("f.pos").alias("pos"))
     exact = listed.select("nk", "nt")
     asked = rows.select(F.col(column).alias("asked")).where("asked is not null").distinct()
     base = F.regexp_replace(simplify(F.col("asked")), r"^\|", "")
     plain = F.regexp_replace(base, r"\([^()]*\)", "")
-    tried = asked.select("asked", F.array(base, plain, F.replace(plain, F.lit("clade"), F.lit("cluster"))).alias("ks"))
+    other = plain
+    for was, now in OTHER_NAMES.items():
+        other = F.when(plain == was.replace(" ", ""), F.lit(now.replace(" ", ""))).otherwise(other)
+    tried = asked.select("asked", F.array(base, plain, other, F.replace(other, F.lit("clade"), F.lit("cluster"))).alias("ks"))
     steps = tried.select("asked", F.posexplode("ks").alias("step", "k")).where("k <> ''")
     found = steps.join(exact, F.col("k") == F.col("nk")).groupBy("asked").agg(F.min_by("nt", "step").alias("t"))
-    rest = tried.join(found, "asked", "left_anti").select("asked", F.element_at("ks", -1).alias("k")).where(F.length("k") >= PREFIX)
-    begins = listed.select("nk", "nt", "pos", F.explode(F.expr(f"sequence({PREFIX}, greatest({PREFIX}, length(nk)))")).alias("n")).where("n <= length(nk)").select(F.substring("nk", F.lit(1), F.col("n")).alias("k"), "nk", "nt", "pos")
-    longer = rest.where("not k like '%sp'").join(begins.where("length(nk) > length(k)"), "k").groupBy("asked").agg(F.min_by("nt", "pos").alias("t"))
-    cuts = rest.select("asked", F.explode(F.expr(f"sequence({PREFIX}, length(k))")).alias("n"), "k").select("asked", F.substring("k", F.lit(1), F.col("n")).alias("k"))
+    rest = tried.join(found, "asked", "left_anti").select("asked", F.element_at("ks", 3).alias("k")).where("k <> ''")
+    beginnings = lambda k: F.explode(F.transform(F.sequence(F.lit(1), F.length(k)), lambda n: F.substring(k, F.lit(1), n)))
+    begins = listed.select(beginnings(F.col("nk")).alias("k"), "nk", "nt", "pos").where("length(nk) > length(k)")
+    longer = rest.where("not k like '%sp'").join(begins, "k").groupBy("asked").agg(F.min_by("nt", "pos").alias("t"))
+    cuts = rest.select("asked", beginnings(F.col("k")).alias("k"))
     shorter = cuts.join(exact, F.col("k") == F.col("nk")).groupBy("asked").agg(F.max_by("nt", F.length("k")).alias("t"))
     both = longer.select("asked", "t", F.lit(0).alias("o")).unionByName(shorter.select("asked", "t", F.lit(1).alias("o"))).groupBy("asked").agg(F.min_by("t", "o").alias("t"))
     known = found.unionByName(both)
     return rows.join(known, rows[column] == known["asked"], "left").drop("asked").withColumnRenamed("t", out)
-
-
-#: Letters that two names must share at their beginnings to be compared.
-PREFIX = 4

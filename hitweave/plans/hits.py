@@ -13,7 +13,8 @@ from hitweave.operators.filters import FilterParams, filter_hits
 from hitweave.operators.packed import split_packed
 from hitweave.plans.problems import _TREE
 from hitweave.plans.problems import SQL as PROBLEM_SQL
-from hitweave.session import load
+from hitweave.schema import FAMILY_TAXIDS, RANKS
+from hitweave.session import cut, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,10 +36,6 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "hits").withColumn("pos", F.col("hit_row"))
 
 
-def _above(hits: DataFrame, least: int | None) -> DataFrame:
-    return hits if least is None else hits.where(F.col("score") >= least)
-
-
 def _rows(df: DataFrame) -> DataFrame:
     return df.select("hit_row")
 
@@ -110,18 +107,18 @@ def f_combo(spark, sf):
 
 
 _GREEDY = """WITH l AS (SELECT label, read, list({{'s': least(qstart, qend), 'e': greatest(qstart, qend), 'p': hit_row}} ORDER BY score DESC NULLS LAST, hit NULLS FIRST, hit_row) AS rows
-  FROM hits WHERE qstart IS NOT NULL AND qend IS NOT NULL AND score >= 100 GROUP BY label, read)
+  FROM hits WHERE qstart IS NOT NULL AND qend IS NOT NULL GROUP BY label, read)
 SELECT unnest(list_reduce(list_transform(rows, lambda x: [x]), lambda a, b: CASE WHEN len(list_filter(a, lambda r: NOT (b[1].s + {b} >= r.e OR b[1].e - {b} <= r.s))) = 0 THEN list_concat(a, b) ELSE a END)).p AS hit_row FROM l"""
 
 
 @query(_GREEDY.format(b=0))
 def f_nonoverlap(spark, sf):
-    return _rows(filter_hits(_hits(spark, sf), FilterParams(nonoverlapping=0, bits=100, sort="score")))
+    return _rows(filter_hits(_hits(spark, sf), FilterParams(nonoverlapping=0, sort="score")))
 
 
 @query(_GREEDY.format(b=50))
 def f_nonoverlap_buffer(spark, sf):
-    return _rows(filter_hits(_hits(spark, sf), FilterParams(nonoverlapping=50, bits=100, sort="score")))
+    return _rows(filter_hits(_hits(spark, sf), FilterParams(nonoverlapping=50, sort="score")))
 
 
 def _sorted(sort: str):
@@ -213,11 +210,13 @@ def c_portion(spark, sf):
     return counts.count_values(_values(spark, sf), "portion").withColumn("n", F.round("n", 6))
 
 
-def _weights(spark, sf, least: int | None = 100) -> DataFrame:
-    return _above(load(spark, sf, "hits"), least).groupBy("read").agg(F.countDistinct("hit").alias("weight")).unionByName(load(spark, sf, "read_assignments").groupBy("read").agg(F.count("*").alias("weight")))
+def _weights(spark, sf) -> DataFrame:
+    """Weights of reads from two tables, of which the later holds."""
+    hits = load(spark, sf, "hits").groupBy("read").agg(F.countDistinct("hit").alias("weight"), F.lit(0).alias("pos"))
+    return hits.unionByName(load(spark, sf, "read_assignments").groupBy("read").agg(F.count("*").alias("weight"), F.lit(1).alias("pos")))
 
 
-_W = "w AS (SELECT read, max(weight) AS weight FROM (SELECT read, count(DISTINCT hit) AS weight FROM hits WHERE score >= 100 GROUP BY read UNION ALL SELECT read, count(*) FROM read_assignments GROUP BY read) GROUP BY read)"
+_W = "w AS (SELECT read, arg_max(weight, pos) AS weight FROM (SELECT read, count(DISTINCT hit) AS weight, 0 AS pos FROM hits GROUP BY read UNION ALL SELECT read, count(*), 1 FROM read_assignments GROUP BY read) GROUP BY read)"
 
 
 @query(f"WITH {_V}, {_W} SELECT label, value, CAST(sum(coalesce(weight, 1)) AS BIGINT) AS n FROM v LEFT JOIN w USING (read) GROUP BY label, value")
@@ -266,11 +265,11 @@ def j_screen_drop(spark, sf):
     return _rows(translate.screen(_hits(spark, sf), "hit", _listed(spark, sf), keep=False))
 
 
-_SPANS = "x AS (SELECT hit_row, label || '/' || read AS k, least(qstart, qend) AS s, greatest(qstart, qend) AS e, hit_desc LIKE 'ribosome%' AND score >= 250 AS rna FROM hits WHERE qstart IS NOT NULL AND qend IS NOT NULL)"
+_SPANS = "x AS (SELECT hit_row, label || '/' || read AS k, least(qstart, qend) AS s, greatest(qstart, qend) AS e, hit_desc LIKE 'ribosome%' AS rna FROM hits WHERE qstart IS NOT NULL AND qend IS NOT NULL)"
 
 
-def _spans(spark, sf, least: int | None = 250) -> tuple[DataFrame, DataFrame]:
-    x = _hits(spark, sf).where("qstart is not null and qend is not null").select("hit_row", F.concat_ws("/", "label", "read").alias("k"), F.least("qstart", "qend").alias("start"), F.greatest("qstart", "qend").alias("stop"), (F.col("hit_desc").startswith("ribosome") & (F.lit(True) if least is None else F.col("score") >= least)).alias("rna"))
+def _spans(spark, sf) -> tuple[DataFrame, DataFrame]:
+    x = _hits(spark, sf).where("qstart is not null and qend is not null").select("hit_row", F.concat_ws("/", "label", "read").alias("k"), F.least("qstart", "qend").alias("start"), F.greatest("qstart", "qend").alias("stop"), F.col("hit_desc").startswith("ribosome").alias("rna"))
     return x, x.where("rna")
 
 
@@ -292,10 +291,10 @@ _SIMPLE = "regexp_replace(lower({}), '[\\s.]', '', 'g')"
 @query(f"""WITH n AS (SELECT nk, arg_min(taxid, name_row) AS nt, min(name_row) AS pos FROM (SELECT {_SIMPLE.format("name")} AS nk, taxid, name_row FROM taxon_names) WHERE nk <> '' GROUP BY nk),
 a AS (SELECT DISTINCT hit AS asked FROM read_assignments WHERE hit IS NOT NULL),
 b AS (SELECT asked, regexp_replace({_SIMPLE.format("asked")}, '^\\|', '') AS k1 FROM a), c AS (SELECT *, regexp_replace(k1, '\\([^()]*\\)', '', 'g') AS k2 FROM b),
-d AS (SELECT *, replace(k2, 'clade', 'cluster') AS k3 FROM c),
-e AS (SELECT d.*, coalesce(n1.nt, n2.nt, n3.nt) AS t FROM d LEFT JOIN n n1 ON d.k1 = n1.nk LEFT JOIN n n2 ON d.k2 = n2.nk LEFT JOIN n n3 ON d.k3 = n3.nk),
-l AS (SELECT asked, arg_min(nt, pos) AS t FROM e JOIN n ON e.t IS NULL AND length(k3) >= 4 AND NOT k3 LIKE '%sp' AND length(nk) > length(k3) AND starts_with(nk, k3) GROUP BY asked),
-s AS (SELECT asked, arg_max(nt, length(nk)) AS t FROM e JOIN n ON e.t IS NULL AND length(nk) >= 4 AND starts_with(k3, nk) GROUP BY asked)
+c3 AS (SELECT *, CASE k2 {" ".join(f"WHEN '{k.replace(' ', '')}' THEN '{v.replace(' ', '')}'" for k, v in translate.OTHER_NAMES.items())} ELSE k2 END AS k3 FROM c), d AS (SELECT *, replace(k3, 'clade', 'cluster') AS k4 FROM c3),
+e AS (SELECT d.*, coalesce(n1.nt, n2.nt, n3.nt, n4.nt) AS t FROM d LEFT JOIN n n1 ON d.k1 = n1.nk LEFT JOIN n n2 ON d.k2 = n2.nk LEFT JOIN n n3 ON d.k3 = n3.nk LEFT JOIN n n4 ON d.k4 = n4.nk),
+l AS (SELECT asked, arg_min(nt, pos) AS t FROM e JOIN n ON e.t IS NULL AND k3 <> '' AND NOT k3 LIKE '%sp' AND length(nk) > length(k3) AND starts_with(nk, k3) GROUP BY asked),
+s AS (SELECT asked, arg_max(nt, length(nk)) AS t FROM e JOIN n ON e.t IS NULL AND starts_with(k3, nk) GROUP BY asked)
 SELECT r.assign_id, coalesce(e.t, l.t, s.t) AS taxid FROM read_assignments r LEFT JOIN e ON r.hit = e.asked LEFT JOIN l ON r.hit = l.asked LEFT JOIN s ON r.hit = s.asked""")
 def j_name_cascade(spark, sf):
     names = load(spark, sf, "taxon_names").select("name", "taxid", F.col("name_row").alias("pos"))
@@ -304,8 +303,8 @@ def j_name_cascade(spark, sf):
 
 # taxonomy ------------------------------------------------------------------------------------------------------------
 
-_RANK = "list_position(['forma','varietas','subspecies','species','species subgroup','species group','subgenus','genus','subtribe','tribe','subfamily','family','superfamily','parvorder','infraorder','suborder','order','superorder','infraclass','subclass','class','superclass','subphylum','phylum','superphylum','subkingdom','kingdom','superkingdom'], lower(trim({r})))"
-_WALK = _TREE + ", rk AS (SELECT taxid, CASE WHEN lower(trim(rank)) = 'domain' THEN 28 ELSE " + _RANK.format(r="rank") + " END AS r FROM last), up AS (SELECT a.taxid, a.anc, a.depth - a.d AS i, rk.r FROM (SELECT taxid, depth, unnest(above) AS anc, unnest(range(1, depth + 1)) AS d FROM walk) a JOIN rk ON rk.taxid = a.anc) "
+_RANK = "list_position([" + ", ".join(f"'{r}'" for r in RANKS if r != "domain") + "], lower(trim({r})))"
+_WALK = _TREE + ", rk AS (SELECT taxid, CASE WHEN lower(trim(rank)) = 'domain' THEN 28 ELSE coalesce(nullif(" + _RANK.format(r="rank") + f", 0), CASE WHEN taxid IN {FAMILY_TAXIDS} THEN 12 END) END AS r FROM last), up AS (SELECT a.taxid, a.anc, a.depth - a.d AS i, rk.r FROM (SELECT taxid, depth, unnest(above) AS anc, unnest(range(1, depth + 1)) AS d FROM walk) a JOIN rk ON rk.taxid = a.anc) "
 
 
 @query(_WALK + "SELECT w.taxid, g.genus FROM walk w LEFT JOIN (SELECT taxid, arg_min(anc, i) AS genus FROM up WHERE r = 8 GROUP BY taxid) g USING (taxid)")
@@ -313,14 +312,23 @@ def t_rank_exact(spark, sf):
     return _lines(spark, sf).select("taxid", taxonomy.ancestor_at_rank(F.col("lineage"), "genus").alias("genus"))
 
 
-@query(_WALK + """, f AS (SELECT taxid, min(i) FILTER (WHERE r >= 12) AS i FROM up GROUP BY taxid), g AS (SELECT f.taxid, f.i, max(u.i) FILTER (WHERE u.r IS NOT NULL AND u.i < f.i) AS j FROM f JOIN up u USING (taxid) GROUP BY ALL),
-h AS (SELECT g.*, a.r AS ri, b.r AS rj, a.anc AS ai FROM g LEFT JOIN up a ON a.taxid = g.taxid AND a.i = g.i LEFT JOIN up b ON b.taxid = g.taxid AND b.i = g.j)
-SELECT h.taxid, CASE WHEN h.i IS NULL THEN h.taxid WHEN ri = 12 THEN ai WHEN j IS NULL THEN h.taxid ELSE m.anc END AS family
-FROM h LEFT JOIN up m ON m.taxid = h.taxid AND m.i = floor(h.i - (ri - 12) / (ri - rj) * (h.i - j))""")
+_CLOSEST = _WALK + """, f AS (SELECT taxid, min(i) FILTER (WHERE r >= 12) AS i FROM up GROUP BY taxid), g AS (SELECT f.taxid, f.i, max(u.i) FILTER (WHERE u.r IS NOT NULL AND u.i < f.i) AS j FROM f JOIN up u USING (taxid) GROUP BY ALL),
+h AS (SELECT g.*, a.r AS ri, b.r AS rj, a.anc AS ai, c.anc AS below FROM g LEFT JOIN up a ON a.taxid = g.taxid AND a.i = g.i LEFT JOIN up b ON b.taxid = g.taxid AND b.i = g.j LEFT JOIN up c ON c.taxid = g.taxid AND c.i = g.i - 1)
+SELECT h.taxid, CASE WHEN h.i IS NULL THEN h.taxid WHEN ri = 12 THEN ai WHEN j IS NULL THEN {alone} ELSE m.anc END AS family
+FROM h LEFT JOIN up m ON m.taxid = h.taxid AND m.i = floor(h.i - (ri - 12) / (ri - rj) * (h.i - j))"""
+
+
+@query(_CLOSEST.replace("{alone}", "coalesce(below, h.taxid)"))
 def t_rank_closest(spark, sf):
     return _lines(spark, sf).select("taxid", taxonomy.ancestor_closest_to_rank(F.col("lineage"), "family").alias("family"))
 
 
+@query(_CLOSEST.replace("{alone}", "h.taxid"))
+def t_rank_closest_node(spark, sf):
+    """A node of no rank below the next ranked ancestor stands for itself."""
+    return _lines(spark, sf).select("taxid", taxonomy.ancestor_closest_to_rank(F.col("lineage"), "family", use_child=False).alias("family"))
+
+
 _NAMED = "sn AS (SELECT taxid, min(name) AS name FROM taxon_names WHERE name_class = 'scientific name' GROUP BY taxid)"
 
 
@@ -385,17 +393,19 @@ def x_level_multi(spark, sf):
 _CAND = """c AS (SELECT label, read, org, min(hit) AS hit, max(hit_row) AS pos FROM h GROUP BY label, read, org), k AS (SELECT *, count(*) OVER (PARTITION BY label, read) AS k FROM c),
 n AS (SELECT org, count(*) AS n FROM k WHERE k = 1 GROUP BY org), """
 _TOP = "s AS (SELECT c.*, coalesce(n, 0.5) AS n FROM c LEFT JOIN n ON c.org IS NOT DISTINCT FROM n.org) SELECT label, read, org, hit FROM s QUALIFY row_number() OVER (PARTITION BY label, read ORDER BY n DESC, org NULLS FIRST) = 1"
-_BY_HIT = "h AS (SELECT label, read, hit AS org, hit, hit_row FROM hits WHERE score >= 100), "
-_BY_ORG = "h AS (SELECT label, read, nullif(lower(regexp_extract(hit_desc, '\\[([^\\[\\]]+)\\]', 1)), '') AS org, hit, hit_row FROM hits WHERE score >= 100), "
+_BY_HIT = "h AS (SELECT label, read, hit AS org, hit, hit_row FROM hits), "
+#: The pattern of translate.PATTERNS without looking ahead, which the SQL engine can't.
+ORG = r"\[([^|\[\]]*(?:\[[^|\[\]]+\])?[^|\[\]]*)\]?\s*(?:[a-z]{2,3}\||$)"
+_BY_ORG = f"h AS (SELECT label, read, nullif(lower(regexp_extract(hit_desc, '{ORG}', 1)), '') AS org, hit, hit_row FROM hits), "
 
 
-def _orgs(spark, sf, least: int | None = 100) -> DataFrame:
-    return _above(_hits(spark, sf), least).withColumn("org", F.nullif(F.lower(F.regexp_extract("hit_desc", translate.PATTERNS["organism"], 1)), F.lit("")))
+def _orgs(spark, sf) -> DataFrame:
+    return _hits(spark, sf).withColumn("org", F.nullif(F.lower(F.regexp_extract("hit_desc", translate.PATTERNS["organism"], 1)), F.lit("")))
 
 
 @query("WITH " + _BY_HIT + _CAND + _TOP)
 def x_tophit(spark, sf):
-    return tophit.top_hit(_hits(spark, sf).where("score >= 100"), "hit")
+    return tophit.top_hit(_hits(spark, sf), "hit")
 
 
 @query("WITH " + _BY_ORG + _CAND + _TOP)
@@ -416,7 +426,7 @@ def x_tophit_prop(spark, sf):
 @query("WITH " + _BY_HIT + "c AS (SELECT label, read, org, min(hit) AS hit, max(hit_row) AS pos FROM h GROUP BY label, read, org), n AS (SELECT hit AS org, count(*) AS n FROM hits GROUP BY hit), " + _TOP)
 def x_given_counts(spark, sf):
     given = load(spark, sf, "hits").groupBy(F.col("hit").alias("org")).agg(F.count("*").alias("n"))
-    return tophit.top_hit(_hits(spark, sf).where("score >= 100"), "hit", counts=given)
+    return tophit.top_hit(_hits(spark, sf), "hit", counts=given)
 
 
 _SIDES = f"{_V}, l AS (SELECT read, value FROM v WHERE regexp_full_match(value, 'k[0-9]{{5}}')), r AS (SELECT read, value FROM v WHERE NOT regexp_full_match(value, 'k[0-9]{{5}}'))"
@@ -444,19 +454,8 @@ def x_crosstab_total(spark, sf):
     return counts.crosstab(*_sides(spark, sf), total_reads=1_000_000).withColumn("weighted", F.col("weighted").cast("long"))
 
 
-_FOUR = [f"cast00x0{i}" for i in range(4)]
-_WIDE = ", ".join(f"coalesce(CAST(sum(n) FILTER (WHERE label = '{x}') AS BIGINT), 0) AS {x}" for x in _FOUR)
-
-
-@query(f"WITH {_V}, c AS (SELECT CASE WHEN regexp_full_match(value, 'k[0-9]{{5}}') THEN 'KO' ELSE 'taxon' END AS value, label, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL) SELECT value, {_WIDE} FROM c GROUP BY value")
-def x_pivot(spark, sf):
-    """Wide table of four samples (the columns are the feature)."""
-    v = _values(spark, sf).where("value is not null").withColumn("value", F.when(F.col("value").rlike("^k[0-9]{5}$"), "KO").otherwise("taxon"))
-    return counts.wide(counts.count_values(v), _FOUR)
-
-
 @query(f"PIVOT (WITH {_V} SELECT CASE WHEN regexp_full_match(value, 'k[0-9]{{5}}') THEN 'KO' ELSE 'taxon' END AS value, label FROM v WHERE value IS NOT NULL) ON label USING CAST(count(*) AS BIGINT) GROUP BY value")
-def x_pivot_whole(spark, sf):
+def x_pivot(spark, sf):
     """Wide table of all samples that occur."""
     v = _values(spark, sf).where("value is not null").withColumn("value", F.when(F.col("value").rlike("^k[0-9]{5}$"), "KO").otherwise("taxon"))
     return counts.wide(counts.count_values(v))
@@ -556,14 +555,8 @@ y AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDE
 g AS (SELECT id, coalesce(before, 0) + 1 AS s, s - 1 AS e FROM y WHERE s > coalesce(before, 0) + 1 UNION ALL SELECT DISTINCT id, n - 99, n FROM y) SELECT id, CAST(s AS INT) AS s, CAST(e AS INT) AS e FROM g WHERE e - s + 1 >= 50""")
 def s_mask(spark, sf):
     """Stretches of the reads, taken as 100 bases longer than their hits reach, that no hit covers."""
-    h = _hits(spark, sf).where("qstart is not null and qend is not null")
-    return uncovered_stretches(h.select(F.concat_ws("/", "label", "read").alias("id"), "qstart", "qend"), 50)
-
-
-def uncovered_stretches(spans: DataFrame, least: int) -> DataFrame:
-    """Distinct spans of each read are gathered, of which there are no more than pairs of its positions."""
-    x = spans.distinct().groupBy("id").agg(F.collect_list(F.struct(F.col("qstart").alias("s"), F.col("qend").alias("e"))).alias("spans"), (F.max(F.greatest("qstart", "qend")) + 100).alias("n"))
-    return x.select("id", F.explode(intervals.uncovered(F.col("spans"), F.col("n"), least)).alias("g")).select("id", "g.s", "g.e")
+    h = _hits(spark, sf).where("qstart is not null and qend is not null").select(F.concat_ws("/", "label", "read").alias("id"), F.col("qstart").alias("s"), F.col("qend").alias("e"))
+    return intervals.uncovered(h, h.groupBy("id").agg((F.max(F.greatest("s", "e")) + 100).alias("n")), 50)
 
 
 @query("SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 100 AS INT) AS fragment FROM documents")
@@ -599,10 +592,10 @@ def p_translate_packed(spark, sf):
     return translate.translate_packed(genes, "row_id", items, _links(spark, sf), "none").withColumn("values", F.array_join("values", ";"))
 
 
-def _identify(every: bool, least: int | None = 100):
+def _identify(every: bool):
     def f(spark, sf):
-        lines = _lines(spark, sf)
-        hits = translate.lookup(_orgs(spark, sf, least), "org", _name_map(spark, sf), "taxid")
+        lines = cut(_lines(spark, sf), "lineages")
+        hits = translate.lookup(_orgs(spark, sf), "org", _name_map(spark, sf), "taxid")
         target = lines.where("rank = 'phylum'").agg(F.min("taxid")).collect()[0][0]
         outer = lines.where(F.col("taxid") == target).select(F.col("lineage")[0]["taxid"]).collect()[0][0]
         return _rows(identify.identify(hits, lines, target, outer, 10, every))
@@ -610,7 +603,7 @@ def _identify(every: bool, least: int | None = 100):
     return f
 
 
-_ID = _TREE.rstrip().replace("WITH RECURSIVE", f"WITH RECURSIVE {_NAMES}, h AS (SELECT label, read, score, hit_row, nullif(lower(regexp_extract(hit_desc, '\\[([^\\[\\]]+)\\]', 1)), '') AS org FROM hits WHERE score >= 100), ", 1) + """, tg AS (SELECT min(w.taxid) AS target FROM walk w JOIN last USING (taxid) WHERE last.rank = 'phylum'), ou AS (SELECT w.above[1] AS outr FROM walk w, tg WHERE w.taxid = target),
+_ID = _TREE.rstrip().replace("WITH RECURSIVE", f"WITH RECURSIVE {_NAMES}, h AS (SELECT label, read, score, hit_row, nullif(lower(regexp_extract(hit_desc, '{ORG}', 1)), '') AS org FROM hits), ", 1) + """, tg AS (SELECT min(w.taxid) AS target FROM walk w JOIN last USING (taxid) WHERE last.rank = 'phylum'), ou AS (SELECT w.above[1] AS outr FROM walk w, tg WHERE w.taxid = target),
 x AS (SELECT h.*, coalesce(list_contains(w.above, target), false) AS t, coalesce(list_contains(w.above, outr), false) AS o FROM h CROSS JOIN tg CROSS JOIN ou LEFT JOIN nm ON nm.key = h.org LEFT JOIN walk w ON w.taxid = nm.value),
 b AS (SELECT *, max(score) OVER (PARTITION BY label, read) AS best, bool_and(o) OVER (PARTITION BY label, read) AS ao FROM x),
 r AS (SELECT label, read FROM b WHERE ao AND score >= best * (1 - 10 / 100) GROUP BY label, read HAVING {f}(t)) SELECT hit_row FROM x SEMI JOIN r USING (label, read) WHERE t"""
@@ -619,12 +612,12 @@ for _n, _e, _f in (("i_identify_all", True, "bool_and"), ("i_identify_any", Fals
     SQL[_n] = _ID.replace("{f}", _f)
 
 
-@query(_TREE + f""", {_NAMED}, u AS (SELECT w.taxid, list(trim(sn.name) ORDER BY i) FILTER (WHERE sn.name IS NOT NULL) AS l, count(*) = count(sn.name) AS ok FROM (SELECT taxid, unnest(above) AS a, unnest(range(1, depth + 1)) AS i FROM walk) w LEFT JOIN sn ON sn.taxid = w.a GROUP BY w.taxid),
-p AS (SELECT DISTINCT array_to_string(l[1:d], ';') AS path, array_to_string(l[1:d - 1], ';') AS up, l[d] AS name FROM (SELECT l, unnest(range(1, len(l) + 1)) AS d FROM u WHERE ok)), n AS (SELECT *, CAST(row_number() OVER (ORDER BY path) AS INT) AS id FROM p)
+@query(_TREE + f""", {_NAMED}, u AS (SELECT w.taxid, list(coalesce(trim(sn.name), CAST(w.a AS VARCHAR)) ORDER BY i) AS l FROM (SELECT taxid, unnest(above) AS a, unnest(range(1, depth + 1)) AS i FROM walk) w LEFT JOIN sn ON sn.taxid = w.a GROUP BY w.taxid),
+p AS (SELECT DISTINCT array_to_string(l[1:d], ';') AS path, array_to_string(l[1:d - 1], ';') AS up, l[d] AS name FROM (SELECT l, unnest(range(1, len(l) + 1)) AS d FROM u)), n AS (SELECT *, CAST(row_number() OVER (ORDER BY path) AS INT) AS id FROM p)
 SELECT n.id AS taxid, q.id AS parent, n.name, n.path FROM n LEFT JOIN n q ON n.up = q.path""")
 def g_build_tree(spark, sf):
-    """A tree from lineages of names, of nodes all of whose ancestors have one."""
-    lines = _lines(spark, sf).select(F.transform("lineage", lambda x: x["name"]).alias("lineage")).where("not exists(lineage, x -> x is null)")
+    """A tree from the lineages of all nodes, by names, or ids where they have none."""
+    lines = _lines(spark, sf).select(F.transform("lineage", lambda x: F.coalesce(x["name"], x["taxid"].cast("string"))).alias("lineage"))
     return taxonomy.build_tree(lines).select("taxid", "parent", "name", "path")
 
 
@@ -648,71 +641,3 @@ def g_merge_tax(spark, sf):
 def z_islands(spark, sf):
     """Runs of a read in the file order of its sample."""
     return sequences.islands(_hits(spark, sf), "read", "hit_row", "label").select("hit_row", "island")
-
-
-# all rows of hits, beside the queries above whose SQL takes only rows of a least score ---------------------------------
-
-def whole(f):
-    """Register a function under its name; its SQL is that of the query without _whole, less the least score."""
-    SQL[f.__name__] = re.sub(r"(?: WHERE| AND) score >= [0-9]+", "", SQL[f.__name__.removesuffix("_whole")])
-    QUERIES[f.__name__] = f
-    return f
-
-
-@whole
-def f_nonoverlap_whole(spark, sf):
-    return _rows(filter_hits(_hits(spark, sf), FilterParams(nonoverlapping=0, sort="score")))
-
-
-@whole
-def f_nonoverlap_buffer_whole(spark, sf):
-    return _rows(filter_hits(_hits(spark, sf), FilterParams(nonoverlapping=50, sort="score")))
-
-
-@whole
-def c_weighted_whole(spark, sf):
-    return counts.count_values(_values(spark, sf), weights=_weights(spark, sf, None))
-
-
-@whole
-def j_overlap_anti_whole(spark, sf):
-    a, b = _spans(spark, sf, None)
-    return _rows(intervals.overlap_join(a, b, "k", "left_anti"))
-
-
-@whole
-def j_overlap_pairs_whole(spark, sf):
-    a, b = _spans(spark, sf, None)
-    return intervals.overlap_join(a, b, "k").select("hit_row", "b_hit_row")
-
-
-@whole
-def x_tophit_whole(spark, sf):
-    return tophit.top_hit(_hits(spark, sf), "hit")
-
-
-@whole
-def x_toporg_whole(spark, sf):
-    return tophit.top_hit(_orgs(spark, sf, None), "org")
-
-
-@whole
-def x_tophit_prop_whole(spark, sf):
-    return tophit.top_hit_proportional(_orgs(spark, sf, None), "org")
-
-
-@whole
-def x_given_counts_whole(spark, sf):
-    given = load(spark, sf, "hits").groupBy(F.col("hit").alias("org")).agg(F.count("*").alias("n"))
-    return tophit.top_hit(_hits(spark, sf), "hit", counts=given)
-
-
-@whole
-def x_crosstab_weighted_whole(spark, sf):
-    return counts.crosstab(*_sides(spark, sf), weights=_weights(spark, sf, None))
-
-
-for _n, _e in (("i_identify_all", True), ("i_identify_any", False)):
-    _f = _identify(_e, None)
-    _f.__name__ = f"{_n}_whole"
-    whole(_f)

@@ -20,6 +20,8 @@ RANKS = (
     "superfamily", "parvorder", "infraorder", "suborder", "order", "superorder", "infraclass", "subclass", "class", "superclass", "subphylum", "phylum",
     "superphylum", "subkingdom", "kingdom", "superkingdom", "domain",
 )
+#: Taxa without a rank that count as families.
+FAMILY_TAXIDS = (54526, 62654, 131190, 62672, 62680, 648176, 655184, 745004, 744996)
 
 
 def rank_index(rank: Column) -> Column:

@@ -79,6 +79,29 @@ def read_genbank(spark: SparkSession, paths) -> DataFrame:
     return records.mapInPandas(run, "record string, organism string, id string, description string, start int, stop int, strand string, seq string, protein string")
 
 
+def _spans(where: str, minus: bool = False) -> list[tuple[int, int, bool]] | None:
+    """(first, last, on the other strand) of the parts of a location in the order in which they are read, or None if a
+    part lies in another record."""
+    import re
+
+    m = re.fullmatch(r"(complement|join|order)\((.*)\)", where)
+    if not m:
+        m = re.fullmatch(r"<?(\d+)(?:[.^]{1,2}>?(\d+))?>?", where)
+        return [(int(m[1]), int(m[2] or m[1]), minus)] if m else None
+    if m[1] == "complement":
+        parts = _spans(m[2], not minus)
+        return parts[::-1] if parts else None
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(m[2] + ","):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            part = _spans(m[2][at:i], minus)
+            if part is None:
+                return None
+            out, at = out + part, i + 1
+    return out
+
+
 def _features(text: str) -> list[tuple]:
     import re
 
@@ -100,15 +123,14 @@ def _features(text: str) -> list[tuple]:
         q: dict[str, list[str]] = {}
         for k, v in re.findall(r"/(\w+)=(\"(?:[^\"]|\"\")*\"|\S+)", m[1][len(place) :]):
             q.setdefault(k, []).append(re.sub(r"\s*\n\s*", "" if k == "translation" else " ", v.strip('"')))
-        spans = [(int(a), int(b or a)) for a, b in re.findall(r"<?(\d+)(?:\.\.>?(\d+))?", where)]
-        if not spans:
+        spans = _spans(where)
+        if not spans:  # a part of it lies in another record
             continue
-        seq = "".join(dna[a - 1 : b] for a, b in spans)
-        minus = "complement" in where
-        seq = seq.translate(flip)[::-1] if minus else seq
+        seq = "".join(dna[a - 1 : b].translate(flip)[::-1] if other else dna[a - 1 : b] for a, b, other in spans)
+        minus = all(other for _, _, other in spans)
         gi = next((x[3:] for x in q.get("db_xref", []) if x.startswith("GI:")), None)
         first = lambda *ks: next((q[k][0] for k in ks if k in q), None)
         ident = first("protein_id") or gi or first("locus_tag", "gene") or f"{name}_GENE_{len(out) + 1}"
         about = first("product", "gene", "note") or ""
-        out.append((name, organism, ident, f"{about} [{organism}]" if organism else about, min(a for a, _ in spans), max(b for _, b in spans), "-" if minus else "+", seq, first("translation")))
+        out.append((name, organism, ident, f"{about} [{organism}]" if organism else about, min(a for a, _, _ in spans), max(b for _, b, _ in spans), "-" if minus else "+", seq, first("translation")))
     return out

@@ -73,7 +73,7 @@ def read_brite(spark: SparkSession, paths, level: str) -> DataFrame:
     letter = {"1": "A", "2": "B", "3": "C", "4": "D", "5": "E", "6": "F"}.get(str(level), str(level).upper())
     if letter != "PATH" and letter not in "ABCDEF":
         raise ValueError(f"no such level: {level}")
-    text = F.trim(F.regexp_replace(F.substring("line", 2, 1 << 20), r"<[^>]*>", ""))
+    text = F.trim(F.regexp_replace(F.expr("substring(line, 2)"), r"<[^>]*>", ""))
     x = read_lines(spark, paths).withColumn("l", F.substring("line", 1, 1)).where(F.col("l").rlike("^[A-F]$")).withColumn("t", text).where("t <> ''")
     x = x.withColumn("ko", F.nullif(F.regexp_extract("t", r"^(?:\S+\s+)?(K\d{5})\b", 1), F.lit("")))
     w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -201,14 +201,15 @@ def read_category_lines(spark: SparkSession, paths) -> DataFrame:
     return x.select(F.regexp_extract("line", form, 2).alias("gene"), F.split(F.regexp_extract("line", form, 1), "").alias("groups"), F.trim(F.regexp_extract("line", form, 3)).alias("description"))
 
 
-def read_ranked_list(spark: SparkSession, paths, most: int = 12) -> DataFrame:
+def read_ranked_list(spark: SparkSession, paths) -> DataFrame:
     """(id, name, lineage) of a list whose headers tell their depth by the number of # signs; other lines are leaves of
     an id and a name under the headers above them."""
     x = read_lines(spark, paths).where("trim(line) <> ''").withColumn("d", F.length(F.regexp_extract("line", r"^(#*)", 1))).withColumn("t", F.trim(F.regexp_replace("line", r"^#+", "")))
+    most = x.agg(F.max("d")).collect()[0][0] or 0  # the depth of the deepest header
     w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for k in range(1, most + 1):  # a header ends those of its depth and below
         x = x.withColumn(f"h{k}", F.last(F.when((F.col("d") > 0) & (F.col("d") <= k), F.struct(F.when(F.col("d") == k, F.col("t")).alias("n"))), True).over(w)["n"])
-    above = F.filter(F.array(*[F.col(f"h{k}") for k in range(1, most + 1)]), lambda y: y.isNotNull())
+    above = F.filter(F.array(*[F.col(f"h{k}") for k in range(1, most + 1)]).cast("array<string>"), lambda y: y.isNotNull())
     c = F.split("line", "\t")
     return x.where("d = 0").select(F.trim(c[0]).alias("id"), F.trim(F.element_at(c, -1)).alias("name"), above.alias("lineage"))
 

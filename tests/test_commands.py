@@ -22,7 +22,7 @@ def hits(spark):
 
 @pytest.fixture(scope="module")
 def mapping(spark):
-    return spark.createDataFrame([("AB_1001.1", 4), ("AB_1002.1", 5), ("AB_1003.1", 6)], "key string, value int")
+    return spark.createDataFrame([("AB_1001", 4), ("AB_1002", 5), ("AB_1003", 6)], "key string, value int")
 
 
 def rows(df):

@@ -28,7 +28,7 @@ def apart(a, b, buffer=0):
     return a[5] + buffer >= b[6] or a[6] - buffer <= b[5]
 
 
-@pytest.mark.parametrize("name,buffer", [("f_nonoverlap_whole", 0), ("f_nonoverlap_buffer_whole", 50)])
+@pytest.mark.parametrize("name,buffer", [("f_nonoverlap", 0), ("f_nonoverlap_buffer", 50)])
 def test_greedy(spark, rows, folder, name, buffer):
     kept = []
     for r in sorted(rows, key=lambda r: (r[4] is None, -(r[4] or 0), r[3], r[0])):
@@ -39,12 +39,12 @@ def test_greedy(spark, rows, folder, name, buffer):
 
 def test_overlaps(spark, rows, folder):
     pairs = {(a[0], b[0]) for a in rows for b in rows if b[7] == "ribosome x" and a[2] == b[2] and not apart(a, b)}
-    got = [tuple(r) for r in QUERIES["j_overlap_pairs_whole"](spark, folder).collect()]
+    got = [tuple(r) for r in QUERIES["j_overlap_pairs"](spark, folder).collect()]
     assert len(got) == len(pairs) and set(got) == pairs
-    assert {r.hit_row for r in QUERIES["j_overlap_anti_whole"](spark, folder).collect()} == {r[0] for r in rows} - {a for a, _ in pairs}
+    assert {r.hit_row for r in QUERIES["j_overlap_anti"](spark, folder).collect()} == {r[0] for r in rows} - {a for a, _ in pairs}
 
 
-@pytest.mark.parametrize("name", ["x_tophit_whole", "x_toporg_whole", "x_tophit_prop_whole", "x_given_counts_whole"])
+@pytest.mark.parametrize("name", ["x_tophit", "x_toporg", "x_tophit_prop", "x_given_counts"])
 def test_every_read_has_a_top_hit(spark, rows, folder, name):
     assert sorted(r.read for r in QUERIES[name](spark, folder).collect()) == sorted({r[2] for r in rows})
 
@@ -52,7 +52,7 @@ def test_every_read_has_a_top_hit(spark, rows, folder, name):
 def test_pivot_of_all_labels(spark, tmp_path):
     rows = [(i, f"cast00x{i % 12:02}", f"r{i}", "K00001" if i % 5 else "Bos") for i in range(60)]
     spark.createDataFrame(rows, "assign_id long, label string, read string, hit string").write.parquet(f"{tmp_path}/read_assignments.parquet")
-    got = {r.value: r.asDict() for r in QUERIES["x_pivot_whole"](spark, str(tmp_path)).collect()}
+    got = {r.value: r.asDict() for r in QUERIES["x_pivot"](spark, str(tmp_path)).collect()}
     labels = {r[1] for r in rows}
     assert set(got["KO"]) == labels | {"value"}
     for x in labels:
