@@ -28,13 +28,12 @@ _CLOSING = re.compile(
     re.I,
 )
 #: Words of disclaimers, in four languages.
-_DISCLAIMER = re.compile(
-    r"confidential|unauthori[sz]ed use|investment advice|before printing|viruses|virus-free|registered office|not medical advice|no contract is formed|unsubscribe"
-    r"|vertraulich|gerichtsstand|haftung für|anlageberatung|vor dem ausdrucken|vor dem drucken|handelsregister"
-    r"|confidentiel|seul compétent|avant d'imprimer|responsabilité est exclue|conseil en investissement"
-    r"|confidencial|antes de imprimir|asesoramiento|responsabilidad|domicilio social",
-    re.I,
-)
+_DISCLAIMER = (
+    "confidential", "unauthorised use", "unauthorized use", "investment advice", "before printing", "viruses", "virus-free", "registered office", "not medical advice", "no contract is formed", "unsubscribe",
+    "vertraulich", "gerichtsstand", "haftung für", "anlageberatung", "vor dem ausdrucken", "vor dem drucken", "handelsregister",
+    "confidentiel", "seul compétent", "avant d'imprimer", "responsabilité est exclue", "conseil en investissement",
+    "confidencial", "antes de imprimir", "asesoramiento", "responsabilidad", "domicilio social",
+)
 _POSTSCRIPT = re.compile(r"^\s*(?:p\.?\s?s\.?|n\.?b\.?|btw|übrigens|au fait|por cierto)\s*[:,.]", re.I)
 _BRACKETED = re.compile(r"^\s*\([^()]*\)\s*$", re.S)
 _BROKEN = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]{1,3}")
@@ -165,7 +164,7 @@ def _own_lines(lines: list[str]) -> list[str]:
             if not any(x.strip() for x in out):
                 out = _own_lines(_below(lines[i + 1 :], ""))
             break
-        if _WROTE.search(line):
+        if line.rstrip().endswith(":") and _WROTE.search(line):
             after = next((x for x in lines[i + 1 :] if x.strip()), "")
             if out and out[-1].strip() and re.search(r"(?i)\b(?:on|am|le|el)\b.*[<,]\s*$|<[^>]*>\s*$", out[-1]):
                 out.pop()  # an attribution over two lines
@@ -178,6 +177,11 @@ def _own_lines(lines: list[str]) -> list[str]:
     return out
 
 
+def _disclaims(paragraph: str) -> bool:
+    low = paragraph.lower()
+    return any(w in low for w in _DISCLAIMER)
+
+
 def own_words(text: str | None) -> str:
     """The sender's own running text; empty for null and empty messages."""
     if not text:
@@ -192,5 +196,5 @@ def own_words(text: str | None) -> str:
             lines = lines[:i]
             break
     paragraphs = re.split(r"\n\s*\n", "\n".join(lines))
-    kept = [p for p in paragraphs if not _DISCLAIMER.search(p) and not _POSTSCRIPT.match(p) and not _BRACKETED.match(p)]
+    kept = [p for p in paragraphs if not _disclaims(p) and not _POSTSCRIPT.match(p) and not _BRACKETED.match(p)]
     return "\n\n".join(kept).strip()
