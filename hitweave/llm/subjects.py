@@ -7,7 +7,7 @@
   2. Subspace iteration finds the leading singular directions of the document-term matrix: each pass multiplies the
      matrix by a small dense one, task by task, and sums blocks of rows in a shuffle. Documents are embedded in these.
   3. Documents with one known subject are the seeds. Those of a subject are gathered into a few centroids, as it may be
-     written about in several languages; the centroids are refined by the documents near them, over several passes.
+     written about in several languages; one amid labelled documents of other subjects is left out; the centroids are refined by the documents near them, over several passes.
   4. A document gets the subjects whose nearest centroid it projects on by more than a threshold, fitted to the known
      subjects, and with a least weight of subject words. It can get several subjects, or none.
 
@@ -38,6 +38,8 @@ LEAST_SHARE, LEAST_DOCS = 5e-4, 3
 MOST_TERMS = 2_000_000
 #: Rows of the dense matrix that are summed in one group, and what a task holds of it.
 ROWS, TASK_MB = 2048, 128
+#: Documents that are multiplied at once: their rows stay in a processor's cache.
+PIECE = 64
 
 
 @dataclass(frozen=True)
@@ -160,8 +162,8 @@ def _vectors(words: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFrame
 
 def _pieces(batch: pa.RecordBatch, idx_at: int = 1, w_at: int = 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, rows, term indices, weights, row of each weight) of small stretches of a batch."""
-    for start in range(0, batch.num_rows, 256):
-        b = batch.slice(start, 256)
+    for start in range(0, batch.num_rows, PIECE):
+        b = batch.slice(start, PIECE)
         i = np.asarray(pc.list_flatten(b.column(idx_at)))
         w = np.asarray(pc.list_flatten(b.column(w_at)))
         n = pc.list_value_length(b.column(idx_at)).to_numpy(zero_copy_only=False)
@@ -178,41 +180,41 @@ def _times(i: np.ndarray, w: np.ndarray, owner: np.ndarray, n: int, q: np.ndarra
 
 
 class _Sums:
-    """Rows of a large matrix that are added to, kept in blocks of rows of which only those in use exist."""
+    """Rows of a matrix of n rows that are added to; only those in use take room."""
 
-    def __init__(self, width: int):
-        self.width, self.blocks = width, {}
+    def __init__(self, n: int, width: int):
+        self.slot, self.used = np.full(n, -1, np.int32), 0
+        self.rows = np.zeros((min(n, ROWS), width), np.float32)
 
     def add(self, at: np.ndarray, rows: np.ndarray) -> None:
-        """Add rows at the distinct, rising places at."""
-        block = at // ROWS
-        edge = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(at))
-        for a, b in zip(edge[:-1], edge[1:]):
-            k = int(block[a])
-            if k not in self.blocks:
-                self.blocks[k] = np.zeros((ROWS, self.width), np.float32)
-            self.blocks[k][at[a:b] - k * ROWS] += rows[a:b]
+        """Add rows at distinct places."""
+        new = at[self.slot[at] < 0]
+        if len(new):
+            self.slot[new] = np.arange(self.used, self.used + len(new))
+            self.used += len(new)
+            if self.used > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(self.used, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]), np.float32)])
+        self.rows[self.slot[at]] += rows
 
     def flush(self) -> pa.RecordBatch:
-        """(block, places in the block, data) of the rows that aren't all 0."""
-        out = []
-        for k, m in self.blocks.items():
-            at = np.flatnonzero(m.any(1)).astype(np.int32)
-            out.append((k, at.tobytes(), m[at].tobytes()))
-        self.blocks = {}
+        """(block, places in the block, data) of the rows in use, and an empty matrix again."""
+        at = np.flatnonzero(self.slot >= 0)
+        edge = np.append(np.flatnonzero(np.diff(at // ROWS, prepend=-1)), len(at))
+        out = [(int(at[a] // ROWS), (at[a:b] % ROWS).astype(np.int32).tobytes(), self.rows[self.slot[at[a:b]]].tobytes()) for a, b in zip(edge[:-1], edge[1:])]
+        self.slot[at], self.used, self.rows[:] = -1, 0, 0
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["block", "at", "data"])
 
 
 def _sum_rows(df: DataFrame, shape: tuple[int, int], partial) -> np.ndarray:
     """Sum over tasks of the rows that partial(batch, sums) adds for each batch, added up by blocks in a shuffle. Only rows
     that a task has touched leave it, and it holds TASK_MB of them at most."""
-    most = max(1, TASK_MB * 2**20 // (ROWS * shape[1] * 4))
+    most = TASK_MB * 2**20 // (shape[1] * 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(shape[1])
+        sums = _Sums(*shape)
         for batch in batches:
             partial(batch, sums)
-            if len(sums.blocks) > most:
+            if sums.used > most:
                 yield sums.flush()
         yield sums.flush()
 
@@ -300,6 +302,15 @@ def _gather(z: np.ndarray, same: float) -> tuple[np.ndarray, np.ndarray]:
     return sums, n
 
 
+def _trusted(c: np.ndarray, of: np.ndarray, z: np.ndarray, truth: np.ndarray, same: float) -> np.ndarray:
+    """Which centroids to keep: those of whose labelled neighbours, of at least that cosine, no fewer than half have the
+    centroid's subject. A single odd seed amid those of another subject would draw that subject's documents to its own;
+    one that is far from all others stays."""
+    near = _unit(z) @ c.T >= same
+    right = np.stack([truth[near[:, j], k].sum() for j, k in enumerate(of)])
+    return 2 * right >= near.sum(0)
+
+
 def _scores(z: np.ndarray, c: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
     """Largest projection on a centroid of each subject."""
     p = z @ c.T
@@ -359,6 +370,9 @@ def assign(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str
     if not sums:
         return nothing
     base, of = np.vstack(sums), np.array(of)
+    if len(seeds):
+        keep = _trusted(_unit(base), of, seeds, truth, s.same_seed)
+        base, of = base[keep], of[keep]
     c = _unit(base).astype(np.float32)
     for _ in range(s.refinements):
 
