@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitweave.operators.places import running
@@ -69,6 +69,17 @@ def coverage_by_length(seqs: DataFrame, spans: DataFrame, edges: list[float]) ->
     return _with_all_bins(x.groupBy("bin").agg(F.sum("length").alias("bases"), F.coalesce(F.sum("span"), F.lit(0)).alias("covered")), edges, ["bases", "covered"]).withColumn("coverage", F.coalesce(F.try_divide("covered", "bases"), F.lit(0.0)))
 
 
+def reference_coverage(spans: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(id, length, covered, coverage): bases of each sequence (id, length) that any span (id, s, e, in either direction)
+    covers, counted once. Spans are reduced to the furthest end of each start before the shuffle."""
+    ends = spans.where("s is not null and e is not null").groupBy("id", F.least("s", "e").alias("lo")).agg(F.max(F.greatest("s", "e")).alias("hi"))
+    w = Window.partitionBy("id").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.col("hi") - F.greatest(F.coalesce(F.max("hi").over(w), F.lit(0)), F.col("lo") - 1), F.lit(0))
+    got = ends.withColumn("new", new).groupBy("id").agg(F.sum("new").alias("covered"))
+    x = lengths.join(got, "id", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    return x.withColumn("coverage", F.coalesce(F.try_divide("covered", "length"), F.lit(0.0)))
+
+
 def length_bin(value: Column, edges: list[float]) -> Column:
     """Number of the half-open range of edges that holds value, from 1; 0 below the first, len(edges) above the last."""
     return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= value))

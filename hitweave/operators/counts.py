@@ -89,6 +89,22 @@ def crosstab(left: DataFrame, right: DataFrame, weights: DataFrame | None = None
     return cells.where(~((F.col("value1") == unknown) & (F.col("value2") == unknown))).unionByName(rest)
 
 
+def crosstab_inner(left: DataFrame, right: DataFrame, of: str | None = None) -> DataFrame:
+    """(value1, value2, n): in how many reads two tables (read, value) have a pair, of reads that both know. of: a column of
+    right that names the value of left it was derived from, so that only such pairs count. Values are reduced to one row
+    for each read first."""
+    a = left.select("read", F.col("value").alias("value1")).distinct()
+    b = right.select("read", F.col("value").alias("value2"), *([F.col(of).alias("value1")] if of else [])).distinct()
+    return a.join(b, ["read", "value1"] if of else ["read"]).groupBy("value1", "value2").agg(F.countDistinct("read").alias("n"))
+
+
+def bin_hits(rows: DataFrame, column: str, edges: list[float], by: tuple[str, ...] = ("label",)) -> DataFrame:
+    """(by, bin, n): rows by the half-open range of edges that holds a column, from 0 below the first edge to len(edges)
+    above the last. Nulls are left out; ranges without rows have none here."""
+    at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(column))).alias("bin")
+    return rows.where(F.col(column).isNotNull()).groupBy(*by, at).agg(F.count("*").alias("n"))
+
+
 def n_statistics(lengths: DataFrame, column: str, shares=(50, 75, 90)) -> DataFrame:
     """For each share the length such that sequences at least as long hold that share of all bases: (share, length).
     Equal lengths are summed first, so that the running sum is over distinct lengths."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitweave.functions.names import free_name
 from hitweave.operators.hierarchy import hierarchy
 from hitweave.operators.places import running
 from hitweave.schema import FAMILY_TAXIDS, RANKS, rank_index
@@ -101,6 +102,65 @@ def prune(nodes: DataFrame, lines: DataFrame, keep: DataFrame) -> DataFrame:
     return nodes.join(kept, "taxid", "left_semi")
 
 
+def mend_taxids(taxa: DataFrame, lines: DataFrame, root: int) -> DataFrame:
+    """taxa (taxid, ...) with ``mended``: the taxid if the tree has it, else root. A null taxid is mended too."""
+    known = lines.select(F.col("taxid").alias("known_taxid")).distinct()
+    x = taxa.join(known, F.col("taxid") == F.col("known_taxid"), "left")
+    return x.withColumn("mended", F.coalesce("known_taxid", F.lit(root))).drop("known_taxid")
+
+
+def repaired_links(links: DataFrame, lines: DataFrame, moved: DataFrame) -> DataFrame:
+    """links (key, taxid) with taxids that the tree has: an old one is replaced by its successor in moved (old, new), as
+    often as it takes until one is known; links of which none is known are dropped."""
+    known = lines.select(F.col("taxid").alias("known_taxid")).distinct()
+    # successors form chains: those of a chain are the nodes below its end
+    ends = hierarchy(moved.select(F.col("old").alias("taxid"), F.col("new").alias("parent")), "taxid", "parent").where("path is not null")
+    last = ends.select(F.col("id").cast("int").alias("old"), F.col("root").cast("int").alias("top")).join(moved.select(F.col("old").alias("top"), "new"), "top").select("old", "new")
+    x = links.join(last, F.col("taxid") == F.col("old"), "left").withColumn("taxid", F.coalesce("new", "taxid")).select(*links.columns)
+    return x.join(known, F.col("taxid") == F.col("known_taxid"), "left_semi")
+
+
+def remap_ids(rows: DataFrame, column: str, mapped: DataFrame) -> DataFrame:
+    """rows with the new ids of mapped (old, new) in a column; ids that it doesn't name stay."""
+    old, new = free_name("old_id", rows.columns), free_name("new_id", rows.columns)
+    m = mapped.select(F.col("old").alias(old), F.col("new").alias(new))
+    return rows.join(m, F.col(column) == F.col(old), "left").withColumn(column, F.coalesce(new, column)).select(*rows.columns)
+
+
+def taxids_of(lines: DataFrame) -> DataFrame:
+    return lines.select("taxid").distinct()
+
+
+def compared(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(taxid, side) of the taxids of two trees: first, second or both."""
+    a, b = taxids_of(first).withColumn("in_first", F.lit(True)), taxids_of(second).withColumn("in_second", F.lit(True))
+    side = F.when(F.col("in_first").isNull(), "second").when(F.col("in_second").isNull(), "first").otherwise("both")
+    return a.join(b, "taxid", "full_outer").select("taxid", side.alias("side"))
+
+
+def add_lineages(nodes: DataFrame, lineage_rows: DataFrame, column: str = "lineage") -> DataFrame:
+    """nodes (taxid, parent, rank, name) with the nodes that lineages (arrays of names from the root down) need and the
+    tree lacks; a lineage hangs from the deepest of its names that the tree has, by name, and new ids go on from the
+    highest one. Names compare in small letters; of several nodes of a name the lowest id holds."""
+    named = nodes.where("name is not null").groupBy(F.lower("name").alias("key")).agg(F.min("taxid").alias("at"))
+    x = lineage_rows.select(F.filter(F.col(column), lambda y: F.trim(y) != "").alias("l")).where("size(l) > 0").distinct()
+    x = x.withColumn("row", F.xxhash64("l"))
+    steps = x.select("row", "l", F.posexplode("l").alias("i", "name")).join(named, F.lower("name") == F.col("key"), "left")
+    anchor = steps.where("at is not null").groupBy("row", "l").agg(F.max(F.struct("i", "at")).alias("a"))
+    need = x.join(anchor, ["row", "l"], "left").select("l", F.coalesce(F.col("a.i") + 1, F.lit(0)).alias("from"), F.col("a.at").alias("at"))
+    # a new node is told apart by where it hangs and the names between
+    made = need.where("from < size(l)").select("at", F.explode(F.expr("transform(sequence(1, size(l) - from), n -> slice(l, from + 1, n))")).alias("path")).distinct()
+    made = made.withColumn("key", F.concat_ws(";", F.coalesce(F.col("at").cast("string"), F.lit("")), F.lower(F.array_join("path", ";"))))
+    made = made.groupBy("key").agg(F.min("at").alias("at"), F.min("path").alias("path"))
+    top = nodes.agg(F.coalesce(F.max("taxid"), F.lit(0)).alias("top"))  # one row
+    ids = numbered(made, "key").crossJoin(F.broadcast(top)).withColumn("taxid", (F.col("top") + F.col("n")).cast("int"))
+    up = ids.select(F.col("key").alias("up_key"), F.col("taxid").alias("up"))
+    above = F.concat_ws(";", F.coalesce(F.col("at").cast("string"), F.lit("")), F.lower(F.array_join(F.slice("path", F.lit(1), F.size("path") - 1), ";")))
+    new = ids.withColumn("above", F.when(F.size("path") > 1, above)).join(up, F.col("above") == F.col("up_key"), "left")
+    new = new.select("taxid", F.coalesce("up", "at").cast("int").alias("parent"), F.lit("no rank").alias("rank"), F.element_at("path", -1).alias("name"))
+    return nodes.select("taxid", "parent", "rank", "name").unionByName(new)
+
+
 def merge_trees(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (taxid, parent, rank, name) of two trees as one: those of second get new ids above the highest of first, in
     the order of their old ones; its roots hang from nothing. Also the map (old, new)."""

@@ -26,6 +26,12 @@ def clear_counts(cand: DataFrame, group=GROUP, weights: DataFrame | None = None)
     return one.groupBy("org").agg(F.sum(w).alias("n"))
 
 
+def clear_rows(hits: DataFrame, org: str = "hit", group=GROUP, order: str = "pos") -> DataFrame:
+    """The last row of each read that has but one organism; a null organism is one."""
+    one = candidates(hits, org, group, order).groupBy(*group).agg(F.count("*").alias("k"), F.max("pos").alias("last_pos")).where("k = 1")
+    return hits.join(one.select(F.col("last_pos").alias(order)), order, "left_semi")
+
+
 def _counted(cand: DataFrame, counts: DataFrame) -> DataFrame:
     c = counts.select(F.col("org").alias("c_org"), F.col("n").cast("double").alias("n"))
     return cand.join(c, F.col("org").eqNullSafe(F.col("c_org")), "left").withColumn("n", F.coalesce("n", F.lit(0.5))).drop("c_org")

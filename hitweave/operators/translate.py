@@ -51,7 +51,7 @@ def simplify(column: Column) -> Column:
 
 def parse_exponent(column: Column) -> Column:
     """A number; of one that begins with its exponent (e-10) the factor is 1."""
-    return F.coalesce(column.try_cast("double"), F.concat(F.lit("1"), column).try_cast("double"))
+    return F.coalesce(column.try_cast("double"), F.when(column.rlike("^[eE]"), F.concat(F.lit("1"), column)).try_cast("double"))
 
 
 def last_wins(mapping: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -463,11 +463,6 @@ def x_pivot(spark, sf):
 
 # merging, assembly ---------------------------------------------------------------------------------------------------
 
-@query()
-def m_merge_hsps(spark, sf):
-    return intervals.merge_hsps(_hits(spark, sf))
-
-
 @query("SELECT label || '/' || read AS contig, round(avg(mlen), 6) AS mean, min(mlen) AS min, max(mlen) AS max, CAST(median(mlen) AS DOUBLE) AS median FROM hits GROUP BY ALL")
 def a_depth(spark, sf):
     x = _hits(spark, sf).select(F.concat_ws("/", "label", "read").alias("contig"), F.col("mlen").alias("depth"))
@@ -564,12 +559,6 @@ def s_fragment(spark, sf):
     return sequences.fragments_by_count(load(spark, sf, "documents"), 100, "doc_id").select("doc_id", "fragment")
 
 
-@query()
-def s_fragment_by_size(spark, sf):
-    docs = load(spark, sf, "documents")
-    return sequences.fragments_by_size(docs, 100_000, "source", "doc_id", F.col("n_chars"))
-
-
 @query()
 def s_sample_n(spark, sf):
     """A sample of 200 records (its size is the feature)."""
