@@ -111,10 +111,10 @@ def screen(rows: DataFrame, column: str, listed: DataFrame, keep: bool = True, o
 OTHER_NAMES = {"asaia lannensis": "asaia lannaensis", "uncultured haptophyte": "haptophyta", "acidisoma sibiricum": "acidisoma sibirica"}
 
 
-def name_cascade(rows: DataFrame, column: str, names: DataFrame, out: str = "taxid") -> DataFrame:
+def name_cascade(rows: DataFrame, column: str, names: DataFrame, out: str = "taxid", beginnings: bool = True) -> DataFrame:
     """rows with the taxid of a name, tried in steps: as it is, without brackets and what is in them, by OTHER_NAMES, with
     "clade" read as "cluster", as the beginning of a listed name (the first listed), with a listed name as its beginning
-    (the longest).
+    (the longest); the last two only with beginnings.
 
     names: (name, taxid, pos), pos being the order in the list. Names are compared in small letters without blanks and
     dots. The step to beginnings joins by every beginning of either side, not every name with every other. Null names and
@@ -131,11 +131,13 @@ def name_cascade(rows: DataFrame, column: str, names: DataFrame, out: str = "tax
     tried = asked.select("asked", F.array(base, plain, other, F.replace(other, F.lit("clade"), F.lit("cluster"))).alias("ks"))
     steps = tried.select("asked", F.posexplode("ks").alias("step", "k")).where("k <> ''")
     found = steps.join(exact, F.col("k") == F.col("nk")).groupBy("asked").agg(F.min_by("nt", "step").alias("t"))
+    if not beginnings:
+        return rows.join(found, rows[column] == found["asked"], "left").drop("asked").withColumnRenamed("t", out)
     rest = tried.join(found, "asked", "left_anti").select("asked", F.element_at("ks", 3).alias("k")).where("k <> ''")
-    beginnings = lambda k: F.explode(F.transform(F.sequence(F.lit(1), F.length(k)), lambda n: F.substring(k, F.lit(1), n)))
-    begins = listed.select(beginnings(F.col("nk")).alias("k"), "nk", "nt", "pos").where("length(nk) > length(k)")
+    starts = lambda k: F.explode(F.transform(F.sequence(F.lit(1), F.length(k)), lambda n: F.substring(k, F.lit(1), n)))
+    begins = listed.select(starts(F.col("nk")).alias("k"), "nk", "nt", "pos").where("length(nk) > length(k)")
     longer = rest.where("not k like '%sp'").join(begins, "k").groupBy("asked").agg(F.min_by("nt", "pos").alias("t"))
-    cuts = rest.select("asked", beginnings(F.col("k")).alias("k"))
+    cuts = rest.select("asked", starts(F.col("k")).alias("k"))
     shorter = cuts.join(exact, F.col("k") == F.col("nk")).groupBy("asked").agg(F.max_by("nt", F.length("k")).alias("t"))
     both = longer.select("asked", "t", F.lit(0).alias("o")).unionByName(shorter.select("asked", "t", F.lit(1).alias("o"))).groupBy("asked").agg(F.min_by("t", "o").alias("t"))
     known = found.unionByName(both)

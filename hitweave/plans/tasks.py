@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitweave import commands
-from hitweave.operators import assembly, counts, sequences, taxonomy, translate
+from hitweave.operators import assembly, counts, dimensions, sequences, taxonomy, translate
 from hitweave.operators.filters import FilterParams
 from hitweave.plans.hits import _BEST, _LINKS, _NAMES, _SPANS, _TREE, _V, _hits, _lines, _links, _spans, _taxa, _values, ORG
 from hitweave.plans.hits import _LINES as _LINES_SQL
@@ -200,3 +200,50 @@ def p_split_tag(spark, sf):
     """Ids in two parts around their last underscore."""
     name, tag = translate.read_and_sample(F.concat_ws("_", "label", "read"))
     return _hits(spark, sf).select("hit_row", name.alias("name"), tag.alias("tag"))
+
+
+_NAMED_UP = """, sn AS (SELECT taxid, min(name) AS name FROM taxon_names WHERE name_class = 'scientific name' GROUP BY taxid), u AS (SELECT w.taxid, list(coalesce(sn.name, CAST(w.a AS VARCHAR)) ORDER BY i) AS l FROM (SELECT taxid, unnest(above) AS a, unnest(range(1, depth + 1)) AS i FROM walk) w LEFT JOIN sn ON sn.taxid = w.a GROUP BY w.taxid)"""
+
+
+@query(_TREE + _NAMED_UP + """, p AS (SELECT DISTINCT 'root;' || array_to_string(l[1:d], ';') AS path, CASE WHEN d > 1 THEN 'root;' || array_to_string(l[1:d - 1], ';') ELSE 'root' END AS up FROM (SELECT l, unnest(range(1, len(l) + 1)) AS d FROM u) UNION ALL SELECT 'root', NULL),
+n AS (SELECT *, CAST(row_number() OVER (ORDER BY path) AS INT) AS id FROM p) SELECT n.id AS taxid, q.id AS parent, n.path FROM n LEFT JOIN n q ON n.up = q.path""")
+def g_tree_of_lineages(spark, sf):
+    """The tree that the lineages of all nodes span under a root."""
+    step = lambda x: F.struct(F.coalesce(x["name"], x["taxid"].cast("string")).alias("name"), x["rank"].alias("rank"))
+    lines = cut(_lines(spark, sf), "lineages").select(F.col("taxid").alias("acc"), F.transform("lineage", step).alias("l"))
+    return dimensions.tree_of_lineages(lines, "acc", "l")[0].select("taxid", "parent", "path")
+
+
+@query(_TREE + """, k AS (SELECT DISTINCT regexp_replace(lower(n), '[\\s.]', '', 'g') AS key, taxid FROM (SELECT name AS n, taxid FROM taxon_names UNION ALL SELECT unique_name, taxid FROM taxon_names) WHERE n IS NOT NULL),
+d AS (SELECT key, k.taxid, w.above FROM k JOIN walk w USING (taxid) WHERE key <> ''), u AS (SELECT key, unnest(above) AS anc, unnest(range(1, len(above) + 1)) AS depth FROM d), s AS (SELECT key, anc, depth, count(*) AS n FROM u GROUP BY ALL), t AS (SELECT key, count(*) AS total FROM d GROUP BY key)
+SELECT key, arg_max(anc, depth) AS taxid FROM s JOIN t USING (key) WHERE n = total GROUP BY key""")
+def g_name_map(spark, sf):
+    """Names with their taxids, those of several with the lowest common ancestor."""
+    return dimensions.name_map(load(spark, sf, "taxon_names"), cut(_lines(spark, sf), "lineages"))
+
+
+@query("SELECT label || '/' || read AS read, CASE WHEN hstart > hend THEN qend ELSE qstart END AS start, CASE WHEN hstart > hend THEN qstart ELSE qend END AS stop FROM hits WHERE abs(qstart - qend) + 1 >= 100")
+def s_hit_regions(spark, sf):
+    """Regions of hits of 100 bases or more, turned where the hit lies backwards."""
+    return dimensions.hit_regions(_hits(spark, sf).withColumn("read", F.concat_ws("/", "label", "read")), 100).select("read", "start", "stop")
+
+
+@query("WITH l AS (SELECT taxid, arg_max(db, node_row) AS db FROM taxnodes WHERE taxid IS NOT NULL GROUP BY taxid), a AS (SELECT taxid FROM l WHERE db = 'namedtree'), b AS (SELECT DISTINCT taxid FROM taxon_names WHERE taxid IS NOT NULL) SELECT taxid, CASE WHEN a.taxid IS NULL THEN 'second' WHEN b.taxid IS NULL THEN 'first' ELSE 'both' END AS side FROM a FULL JOIN b USING (taxid)")
+def g_compared(spark, sf):
+    """Taxids of the named tree and of the names: which side has them."""
+    last = load(spark, sf, "taxnodes").where("taxid is not null").groupBy("taxid").agg(F.max_by("db", "node_row").alias("db"))
+    return taxonomy.compared(last.where("db = 'namedtree'"), load(spark, sf, "taxon_names").where("taxid is not null"))
+
+
+_GIVEN = f"""{_V}, {_NAMES}, t AS (SELECT nm.value AS taxid, CAST(count(*) AS DOUBLE) AS n FROM v JOIN nm ON v.value = nm.key GROUP BY 1)"""
+
+
+@query(_TREE.rstrip().replace("WITH RECURSIVE", f"WITH RECURSIVE {_GIVEN}, ", 1) + """, o AS (SELECT t.taxid, t.n, w.above FROM t JOIN walk w USING (taxid)), s AS (SELECT a AS taxid, sum(n) AS s FROM (SELECT unnest(above) AS a, n FROM o) GROUP BY a),
+b AS (SELECT s.taxid, s.s, w.above[-2] AS up, w.above, coalesce(o.n, 0) AS own FROM s JOIN walk w USING (taxid) LEFT JOIN o USING (taxid)), k AS (SELECT up, sum(s) AS below FROM b WHERE up IS NOT NULL GROUP BY up),
+r AS (SELECT b.taxid, b.own, coalesce(b.s / k.below, 1.0) AS rate FROM b LEFT JOIN k ON b.up = k.up), e AS (SELECT b.taxid, b.above FROM b WHERE b.taxid NOT IN (SELECT up FROM k)),
+p AS (SELECT e.taxid, list({'own': r.own, 'rate': r.rate} ORDER BY i) AS l FROM (SELECT taxid, unnest(above) AS a, unnest(range(1, len(above) + 1)) AS i FROM e) e JOIN r ON r.taxid = e.a GROUP BY e.taxid)
+SELECT taxid, round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(l, lambda x: x.own)), lambda a, b, i: a * l[i - 1].rate + b), 6) AS n FROM p""")
+def x_redistribute(spark, sf):
+    """Counts of inner nodes handed down the tree."""
+    got = taxonomy.redistribute(counts.count_values(_taxa(spark, sf).where("value is not null").withColumn("all_", F.lit(1)), by=("all_",)).select(F.col("value").alias("taxid"), "n"), cut(_lines(spark, sf), "lineages"))
+    return got.select("taxid", F.round("n", 6).alias("n"))

@@ -68,3 +68,33 @@ def bars(histogram: list[tuple[float, float, int]], width: int = 60, log: bool =
 def escaped(column: Column, delimiter: str) -> Column:
     """Text in which a delimiter is replaced by _."""
     return F.replace(column, F.lit(delimiter), F.lit("_"))
+
+
+def sorted_lines(lines: DataFrame, column: str = "line") -> DataFrame:
+    """Lines in the order of their bytes."""
+    return lines.orderBy(column)
+
+
+def in_order(counts: DataFrame, text: Column | None = None) -> DataFrame:
+    """Counts in the order of the value, or of a text for it; null first."""
+    return counts.orderBy(F.coalesce(text if text is not None else F.col("value").cast("string"), F.lit("")))
+
+
+def head(rows: DataFrame, order: str, n: int = 10) -> DataFrame:
+    """The first n rows (the number is the feature)."""
+    return rows.orderBy(order).limit(n)
+
+
+def matching_lines(lines: DataFrame, pattern: str, column: str = "line") -> DataFrame:
+    return lines.where(F.col(column).rlike(pattern))
+
+
+def byte_stream(lines: DataFrame, column: str = "line"):
+    """Lines one after the other as bytes, for what reads a stream; one partition at a time is fetched."""
+    for r in lines.select(column).toLocalIterator():
+        yield (r[0] or "").encode() + b"\n"
+
+
+def none_option(text: str | None) -> str | None:
+    """An option that may be the word None."""
+    return None if text is None or text.strip().lower() == "none" else text

@@ -222,3 +222,71 @@ def lengths_from_caf(spark: SparkSession, paths) -> DataFrame:
     contigs = x.where("block.kind = 'Sequence' and trim(line) = 'Is_contig'").select("file", F.col("block.name").alias("contig")).distinct()
     size = x.where("block.kind = 'DNA' and name is null").groupBy("file", F.col("block.name").alias("contig")).agg(F.sum(F.length(F.regexp_replace("line", r"[\s-]", ""))).alias("length"))
     return size.join(contigs, ["file", "contig"]).select("contig", "length")
+
+
+def read_table(spark: SparkSession, paths, names: dict[str, str] | None = None, sep: str = "\t", header: bool = True) -> DataFrame:
+    """A table with a header (or numbered columns c0, c1, ...), columns renamed as names tells, all of text."""
+    df = spark.read.option("sep", sep).option("header", header).csv(paths)
+    if not header:
+        df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return df.withColumnsRenamed(names or {})
+
+
+def read_bar_headers(spark: SparkSession, paths) -> DataFrame:
+    """(acc, names, pos) of sequence headers like >acc|Aa|Bb|...: names from the root down."""
+    c = F.split(F.regexp_replace(F.expr("substring(line, 2)"), r"[\r\n]+$", ""), r"\|")
+    x = read_lines(spark, paths).where(F.col("line").startswith(">"))
+    return x.select(c[0].alias("acc"), F.slice(c, F.lit(2), F.size(c)).alias("names"), "pos")
+
+
+def read_second_lineage(spark: SparkSession, paths, sep: str = r"\s+") -> DataFrame:
+    """(acc, lineage) of sequence headers whose second part, between sep, is the lineage as text."""
+    c = F.split(F.expr("substring(line, 2)"), sep)
+    return read_lines(spark, paths).where(F.col("line").startswith(">") & (F.size(c) > 1)).select(c[0].alias("acc"), c[1].alias("lineage"))
+
+
+#: Other names of the levels of a flat file of orthologs.
+LEVELS = {"PATH": "PATHWAY", "PATHS": "PATHWAY", "PATHWAYS": "PATHWAY", "DESCRIPTION": "DEFINITION", "FUNCTION": "DEFINITION", "EC": "ko01000:4"}
+
+
+def read_ko_levels(spark: SparkSession, paths, level: str) -> DataFrame:
+    """(ko, value) of a flat file of orthologs at a level: NAME, DEFINITION, PATHWAY, EC, a number (a level of the
+    hierarchy ko00001) or hierarchy:number. Values of a hierarchy are the lines of that depth in its block, in full."""
+    import re
+
+    level = LEVELS.get(str(level).upper(), str(level))
+    if level.upper() in ("NAME", "DEFINITION", "PATHWAY"):
+        return read_ko_flat(spark, paths).where(F.col("field") == level.upper()).select("ko", "value")
+    m = re.fullmatch(r"(?:(ko\d{5}):)?(\d+)", level)
+    if not m:
+        raise ValueError(f"no such level: {level}")
+    hierarchy, depth = m[1] or "ko00001", int(m[2])
+    records = spark.read.option("lineSep", "\n///").text(paths).select("value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for record in b["value"]:
+                entry = re.search(r"^ENTRY\s+(K\d+)", record, re.M)
+                block = re.search(r"^BRITE.*(?:\n[ \t].*)*", record, re.M)
+                indent = None
+                for line in (block[0] if block and entry else "").split("\n"):
+                    text = line[5:].lstrip() if line.startswith("BRITE") else line.lstrip()
+                    at = len(line) - len(text)
+                    if head := re.search(r"\[BR:(ko\d+)\]\s*$", text):
+                        indent = at if head[1] == hierarchy else None
+                    elif indent is not None and at - indent == depth:
+                        out.append((entry[1], text.rstrip()))
+            yield pd.DataFrame(out, columns=["ko", "value"])
+
+    return records.mapInPandas(run, "ko string, value string").distinct()
+
+
+def read_kegg(spark: SparkSession, path: str, level: str) -> DataFrame:
+    """(ko, value) at a level of either kind of file: a flat file called ko, or a hierarchy (.keg)."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if name == "ko":
+        return read_ko_levels(spark, path, level)
+    if name.endswith(".keg"):
+        return read_brite(spark, path, level).withColumnRenamed("name", "value")
+    raise ValueError(f"neither a flat file of orthologs nor a hierarchy: {path}")
