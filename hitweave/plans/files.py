@@ -49,90 +49,86 @@ def _row(*cells: Column | str, sep: str = "\t") -> Column:
 
 # hit tables ----------------------------------------------------------------------------------------------------------
 
-_ID = F.col("hit_row")
-_HIT, _DESC = F.regexp_replace("hit", r"\s", "_"), F.regexp_replace("hit_desc", r"[\t\r\n;=]", " ")
 _SQL_ID, _SQL_HIT = "CAST(hit_row AS VARCHAR) AS read", r"coalesce(regexp_replace(hit, '\s', '_', 'g'), 'NA') AS hit"
 _SQL_DESC = r"coalesce(regexp_replace(hit_desc, '[\t\r\n;=]', ' ', 'g'), 'NA') AS hit_desc"
-_LO, _HI = F.least("qstart", "qend"), F.greatest("qstart", "qend")
-_HLO, _HHI = F.least("hstart", "hend"), F.greatest("hstart", "hend")
-_BACK, _HBACK = F.col("qstart") > F.col("qend"), F.col("hstart") > F.col("hend")
-_SPAN = F.abs(F.col("hend") - F.col("hstart")) + 1
-_SIGN, _HSIGN = F.when(_BACK, "-").otherwise("+"), F.when(_HBACK, "-").otherwise("+")
 _PLACES = "qstart, qend, hstart, hend"
-_ZERO = F.lit(0)
-#: A sequence of 100,000 bases is longer than any position.
-_LONG = F.lit(100_000)
-
-
-def _side(lo: Column, hi: Column, back: Column) -> Column:
-    """Start from 0, from the end on the other strand."""
-    return F.when(back, _LONG - hi).otherwise(lo - 1)
-
-
-#: name: (the line of a row, columns that are compared, their SQL)
-_FORMS: dict[str, tuple[Column, str, str]] = {
-    "gene": (_row(_ID, "read_desc", _HIT, _DESC, "pctid", "mlen", "qstart", "qend", "hstart", "hend", "score", "evalue", "aln"), f"read, hit, hit_desc, pctid, mlen, {_PLACES}, score, evalue, aln", f"{_SQL_ID}, {_SQL_HIT}, {_SQL_DESC}, pctid, mlen, {_PLACES}, score, evalue, aln"),
-    "liz": (_row(_ID, _HIT, _DESC, "pctid", "mlen", "qstart", "qend", "hstart", "hend", "score", "evalue", "aln"), f"read, hit, hit_desc, pctid, mlen, {_PLACES}, score, evalue, aln", f"{_SQL_ID}, {_SQL_HIT}, {_SQL_DESC}, pctid, mlen, {_PLACES}, score, evalue, aln"),
-    "blast": (_row(_ID, _HIT, "pctid", "mlen", _ZERO, _ZERO, "qstart", "qend", "hstart", "hend", "evalue", "score"), f"read, hit, pctid, mlen, mismatch, gaps, {_PLACES}, evalue, score", f"{_SQL_ID}, {_SQL_HIT}, pctid, mlen, 0 AS mismatch, 0 AS gaps, {_PLACES}, evalue, score"),
-    "yanmei": (_row(_ID, _HIT, "pctid", "mlen", _ZERO, _ZERO, "qstart", "qend", "hstart", "hend", "evalue", "score", _DESC), f"read, hit, hit_desc, pctid, mlen, {_PLACES}, evalue, score", f"{_SQL_ID}, {_SQL_HIT}, {_SQL_DESC}, pctid, mlen, {_PLACES}, evalue, score"),
-    "last": (
-        _row("score", _HIT, _side(_HLO, _HHI, _HBACK), _SPAN, _HSIGN, _LONG, _ID, _side(_LO, _HI, _BACK), _HI - _LO + 1, _SIGN, _LONG, F.abs("mlen"), F.concat(F.lit("E="), F.coalesce(F.col("evalue").cast("string"), F.lit("NA")))),
-        f"read, hit, score, {_PLACES}, strand, mlen, evalue, qlen",
-        f"{_SQL_ID}, {_SQL_HIT}, score, CASE WHEN qend IS NOT NULL THEN qstart END AS qstart, CASE WHEN qstart IS NOT NULL THEN qend END AS qend, hstart, hend, CASE WHEN coalesce(qstart > qend, false) = coalesce(hstart > hend, false) THEN '+' ELSE '-' END AS strand, coalesce(abs(mlen), 0) AS mlen, evalue, 100000 AS qlen",
-    ),
-    "frhit": (_row(_ID, F.lit("80nt"), "evalue", "mlen", "qstart", "qend", F.lit("+"), F.concat("pctid", F.lit("%")), _HIT, "hstart", "hend"), f"read, hit, qlen, pctid, mlen, {_PLACES}, evalue, strand", f"{_SQL_ID}, {_SQL_HIT}, 80 AS qlen, pctid, mlen, {_PLACES}, evalue, '+' AS strand"),
-    "sam": (
-        _row(_ID, F.when(_BACK, 16).otherwise(0), _HIT, _HLO, F.lit(9), F.concat(_LO - 1, F.lit("S"), _SPAN, F.lit("M")), F.lit("*"), _ZERO, _ZERO, F.lit("A"), F.lit("*"), F.concat(F.lit("AS:i:"), F.coalesce(F.col("score").cast("string"), F.lit("NA"))), F.concat(F.lit("MD:Z:"), _SPAN)),
-        f"read, hit, {_PLACES}, strand, mlen, score, pctid",
-        f"""{_SQL_ID}, {_SQL_HIT}, CASE WHEN qstart > qend THEN least(qstart, qend) + n - 1 ELSE least(qstart, qend) END AS qstart, CASE WHEN qstart > qend THEN least(qstart, qend) ELSE least(qstart, qend) + n - 1 END AS qend,
-        least(hstart, hend) AS hstart, least(hstart, hend) + n - 1 AS hend, CASE WHEN qstart > qend THEN '-' ELSE '+' END AS strand, n AS mlen, score, 100.0 AS pctid FROM (SELECT *, abs(hend - hstart) + 1 AS n FROM hits)""",
-    ),
-    "paf": (
-        _row(_ID, _LONG, _LO - 1, _HI, _SIGN, _HIT, _LONG, _HLO - 1, _HHI, F.floor(F.abs("mlen") / 2), F.abs("mlen"), F.lit(60), F.concat(F.lit("AS:i:"), F.coalesce(F.col("score").cast("string"), F.lit("NA")))),
-        f"read, hit, {_PLACES}, strand, matches, mlen, pctid, aln, score",
-        f"{_SQL_ID}, {_SQL_HIT}, qstart, qend, least(hstart, hend) AS hstart, greatest(hstart, hend) AS hend, CASE WHEN qstart > qend THEN '-' ELSE '+' END AS strand, abs(mlen) // 2 AS matches, abs(mlen) AS mlen, CASE WHEN mlen <> 0 THEN 100.0::DOUBLE * (abs(mlen) // 2) / abs(mlen) END AS pctid, abs(mlen) / 100000.0::DOUBLE AS aln, score",
-    ),
-    "gff": (
-        _row(_ID, F.lit("src"), F.lit("CDS"), _LO, _HI, "score", _SIGN, _ZERO, F.concat(F.lit("ID="), F.coalesce(_HIT, F.lit("NA")), F.lit(";product="), F.coalesce(_DESC, F.lit("NA")))),
-        "read, hit, hit_desc, hit_type, qstart, qend, mlen, score, strand",
-        f"{_SQL_ID}, {_SQL_HIT}, {_SQL_DESC}, 'CDS' AS hit_type, qstart, qend, abs(qend - qstart) + 1 AS mlen, score, CASE WHEN qstart > qend THEN '-' ELSE '+' END AS strand",
-    ),
-    "hmmsearchdom": (
-        _row(_ID, F.lit("-"), _LONG, _HIT, F.lit("acc"), F.lit(50), "evalue", "score", *[_ZERO] * 7, "hstart", "hend", "qstart", "qend", _ZERO, _ZERO, _ZERO, F.lit("a text"), sep=" "),
-        f"read, hit, qlen, hlen, {_PLACES}, mlen, aln, score, evalue, read_desc",
-        f"{_SQL_ID}, {_SQL_HIT}, 100000 AS qlen, 50 AS hlen, {_PLACES}, abs(qend - qstart) + 1 AS mlen, (abs(qend - qstart) + 1) / 100000.0::DOUBLE AS aln, score, evalue, 'a text' AS read_desc",
-    ),
-    "hmmscandom": (
-        _row(_HIT, F.lit("acc"), F.lit(50), _ID, F.lit("-"), _LONG, "evalue", "score", *[_ZERO] * 7, "hstart", "hend", "qstart", "qend", _ZERO, _ZERO, _ZERO, F.lit("a text"), sep=" "),
-        f"read, hit, qlen, hlen, {_PLACES}, mlen, aln, score, evalue, hit_desc",
-        f"{_SQL_ID}, {_SQL_HIT}, 100000 AS qlen, 50 AS hlen, {_PLACES}, abs(qend - qstart) + 1 AS mlen, (abs(qend - qstart) + 1) / 100000.0::DOUBLE AS aln, score, evalue, 'a text' AS hit_desc",
-    ),
-    "hmmsearch": (_row(_ID, F.lit("-"), _HIT, F.lit("acc"), "evalue", "score", *[_ZERO] * 12, F.lit("a text"), sep=" "), "read, hit, evalue, score, read_desc", f"{_SQL_ID}, {_SQL_HIT}, evalue, score, 'a text' AS read_desc"),
-    "hmmscan": (_row(_HIT, F.lit("acc"), _ID, F.lit("-"), "evalue", "score", *[_ZERO] * 12, F.lit("a text"), sep=" "), "read, hit, evalue, score, hit_desc", f"{_SQL_ID}, {_SQL_HIT}, evalue, score, 'a text' AS hit_desc"),
-    "cmsearch": (_row(_ID, F.lit("-"), _HIT, F.lit("acc"), F.lit("cm"), "hstart", "hend", "qstart", "qend", _SIGN, F.lit("no"), *[_ZERO] * 3, "score", "evalue", F.lit("!"), sep=" "), f"read, hit, hit_desc, {_PLACES}, strand, score, evalue, mlen", f"{_SQL_ID}, {_SQL_HIT}, 'acc' AS hit_desc, {_PLACES}, CASE WHEN qstart > qend THEN '-' ELSE '+' END AS strand, score, evalue, abs(hend - hstart) + 1 AS mlen"),
-    "cmscan": (_row(_HIT, F.lit("acc"), _ID, F.lit("-"), F.lit("cm"), "hstart", "hend", "qstart", "qend", _SIGN, F.lit("no"), *[_ZERO] * 3, "score", "evalue", F.lit("!"), sep=" "), f"read, hit, {_PLACES}, strand, score, evalue, mlen", f"{_SQL_ID}, {_SQL_HIT}, {_PLACES}, CASE WHEN qstart > qend THEN '-' ELSE '+' END AS strand, score, evalue, abs(hend - hstart) + 1 AS mlen"),
+#: name: (columns that are compared, their SQL)
+_FORMS: dict[str, tuple[str, str]] = {
+    "gene": (f"read, hit, hit_desc, pctid, mlen, {_PLACES}, score, evalue, aln", f"{_SQL_ID}, {_SQL_HIT}, {_SQL_DESC}, pctid, mlen, {_PLACES}, score, evalue, aln"),
+    "liz": (f"read, hit, hit_desc, pctid, mlen, {_PLACES}, score, evalue, aln", f"{_SQL_ID}, {_SQL_HIT}, {_SQL_DESC}, pctid, mlen, {_PLACES}, score, evalue, aln"),
+    "blast": (f"read, hit, pctid, mlen, mismatch, gaps, {_PLACES}, evalue, score", f"{_SQL_ID}, {_SQL_HIT}, pctid, mlen, 0 AS mismatch, 0 AS gaps, {_PLACES}, evalue, score"),
+    "yanmei": (f"read, hit, hit_desc, pctid, mlen, {_PLACES}, evalue, score", f"{_SQL_ID}, {_SQL_HIT}, {_SQL_DESC}, pctid, mlen, {_PLACES}, evalue, score"),
+    "last": (f"read, hit, score, {_PLACES}, strand, mlen, evalue, qlen", f"{_SQL_ID}, {_SQL_HIT}, score, CASE WHEN qend IS NOT NULL THEN qstart END AS qstart, CASE WHEN qstart IS NOT NULL THEN qend END AS qend, hstart, hend, CASE WHEN coalesce(qstart > qend, false) = coalesce(hstart > hend, false) THEN '+' ELSE '-' END AS strand, coalesce(abs(mlen), 0) AS mlen, evalue, 100000 AS qlen"),
+    "frhit": (f"read, hit, qlen, pctid, mlen, {_PLACES}, evalue, strand", f"{_SQL_ID}, {_SQL_HIT}, 80 AS qlen, pctid, mlen, {_PLACES}, evalue, '+' AS strand"),
+    "sam": (f"read, hit, {_PLACES}, strand, mlen, score, pctid", f"""{_SQL_ID}, {_SQL_HIT}, CASE WHEN qstart > qend THEN least(qstart, qend) + n - 1 ELSE least(qstart, qend) END AS qstart, CASE WHEN qstart > qend THEN least(qstart, qend) ELSE least(qstart, qend) + n - 1 END AS qend,
+        least(hstart, hend) AS hstart, least(hstart, hend) + n - 1 AS hend, CASE WHEN qstart > qend THEN '-' ELSE '+' END AS strand, n AS mlen, score, 100.0 AS pctid FROM (SELECT *, abs(hend - hstart) + 1 AS n FROM hits)"""),
+    "paf": (f"read, hit, {_PLACES}, strand, matches, mlen, pctid, aln, score", f"{_SQL_ID}, {_SQL_HIT}, qstart, qend, least(hstart, hend) AS hstart, greatest(hstart, hend) AS hend, CASE WHEN qstart > qend THEN '-' ELSE '+' END AS strand, abs(mlen) // 2 AS matches, abs(mlen) AS mlen, CASE WHEN mlen <> 0 THEN 100.0::DOUBLE * (abs(mlen) // 2) / abs(mlen) END AS pctid, abs(mlen) / 100000.0::DOUBLE AS aln, score"),
+    "gff": ("read, hit, hit_desc, hit_type, qstart, qend, mlen, score, strand", f"{_SQL_ID}, {_SQL_HIT}, {_SQL_DESC}, 'CDS' AS hit_type, qstart, qend, abs(qend - qstart) + 1 AS mlen, score, CASE WHEN qstart > qend THEN '-' ELSE '+' END AS strand"),
+    "hmmsearchdom": (f"read, hit, qlen, hlen, {_PLACES}, mlen, aln, score, evalue, read_desc", f"{_SQL_ID}, {_SQL_HIT}, 100000 AS qlen, 50 AS hlen, {_PLACES}, abs(qend - qstart) + 1 AS mlen, (abs(qend - qstart) + 1) / 100000.0::DOUBLE AS aln, score, evalue, 'a text' AS read_desc"),
+    "hmmscandom": (f"read, hit, qlen, hlen, {_PLACES}, mlen, aln, score, evalue, hit_desc", f"{_SQL_ID}, {_SQL_HIT}, 100000 AS qlen, 50 AS hlen, {_PLACES}, abs(qend - qstart) + 1 AS mlen, (abs(qend - qstart) + 1) / 100000.0::DOUBLE AS aln, score, evalue, 'a text' AS hit_desc"),
+    "hmmsearch": ("read, hit, evalue, score, read_desc", f"{_SQL_ID}, {_SQL_HIT}, evalue, score, 'a text' AS read_desc"),
+    "hmmscan": ("read, hit, evalue, score, hit_desc", f"{_SQL_ID}, {_SQL_HIT}, evalue, score, 'a text' AS hit_desc"),
+    "cmsearch": (f"read, hit, hit_desc, {_PLACES}, strand, score, evalue, mlen", f"{_SQL_ID}, {_SQL_HIT}, 'acc' AS hit_desc, {_PLACES}, CASE WHEN qstart > qend THEN '-' ELSE '+' END AS strand, score, evalue, abs(hend - hstart) + 1 AS mlen"),
+    "cmscan": (f"read, hit, {_PLACES}, strand, score, evalue, mlen", f"{_SQL_ID}, {_SQL_HIT}, {_PLACES}, CASE WHEN qstart > qend THEN '-' ELSE '+' END AS strand, score, evalue, abs(hend - hstart) + 1 AS mlen"),
 }
 
 
+def _line(fmt: str) -> Column:
+    """A row of hits as a line of a format."""
+    row_id = F.col("hit_row")
+    hit, desc = F.regexp_replace("hit", r"\s", "_"), F.regexp_replace("hit_desc", r"[\t\r\n;=]", " ")
+    lo, hi = F.least("qstart", "qend"), F.greatest("qstart", "qend")
+    h_lo, h_hi = F.least("hstart", "hend"), F.greatest("hstart", "hend")
+    back, h_back = F.col("qstart") > F.col("qend"), F.col("hstart") > F.col("hend")
+    span = F.abs(F.col("hend") - F.col("hstart")) + 1
+    sign, h_sign = F.when(back, "-").otherwise("+"), F.when(h_back, "-").otherwise("+")
+    zero = F.lit(0)
+    #: A sequence of 100,000 bases is longer than any position.
+    long = F.lit(100_000)
+
+    def side(lo: Column, hi: Column, back: Column) -> Column:
+        """Start from 0, from the end on the other strand."""
+        return F.when(back, long - hi).otherwise(lo - 1)
+
+    lines = {
+        "gene": _row(row_id, "read_desc", hit, desc, "pctid", "mlen", "qstart", "qend", "hstart", "hend", "score", "evalue", "aln"),
+        "liz": _row(row_id, hit, desc, "pctid", "mlen", "qstart", "qend", "hstart", "hend", "score", "evalue", "aln"),
+        "blast": _row(row_id, hit, "pctid", "mlen", zero, zero, "qstart", "qend", "hstart", "hend", "evalue", "score"),
+        "yanmei": _row(row_id, hit, "pctid", "mlen", zero, zero, "qstart", "qend", "hstart", "hend", "evalue", "score", desc),
+        "last": _row("score", hit, side(h_lo, h_hi, h_back), span, h_sign, long, row_id, side(lo, hi, back), hi - lo + 1, sign, long, F.abs("mlen"), F.concat(F.lit("E="), F.coalesce(F.col("evalue").cast("string"), F.lit("NA")))),
+        "frhit": _row(row_id, F.lit("80nt"), "evalue", "mlen", "qstart", "qend", F.lit("+"), F.concat("pctid", F.lit("%")), hit, "hstart", "hend"),
+        "sam": _row(row_id, F.when(back, 16).otherwise(0), hit, h_lo, F.lit(9), F.concat(lo - 1, F.lit("S"), span, F.lit("M")), F.lit("*"), zero, zero, F.lit("A"), F.lit("*"), F.concat(F.lit("AS:i:"), F.coalesce(F.col("score").cast("string"), F.lit("NA"))), F.concat(F.lit("MD:Z:"), span)),
+        "paf": _row(row_id, long, lo - 1, hi, sign, hit, long, h_lo - 1, h_hi, F.floor(F.abs("mlen") / 2), F.abs("mlen"), F.lit(60), F.concat(F.lit("AS:i:"), F.coalesce(F.col("score").cast("string"), F.lit("NA")))),
+        "gff": _row(row_id, F.lit("src"), F.lit("CDS"), lo, hi, "score", sign, zero, F.concat(F.lit("ID="), F.coalesce(hit, F.lit("NA")), F.lit(";product="), F.coalesce(desc, F.lit("NA")))),
+        "hmmsearchdom": _row(row_id, F.lit("-"), long, hit, F.lit("acc"), F.lit(50), "evalue", "score", *[zero] * 7, "hstart", "hend", "qstart", "qend", zero, zero, zero, F.lit("a text"), sep=" "),
+        "hmmscandom": _row(hit, F.lit("acc"), F.lit(50), row_id, F.lit("-"), long, "evalue", "score", *[zero] * 7, "hstart", "hend", "qstart", "qend", zero, zero, zero, F.lit("a text"), sep=" "),
+        "hmmsearch": _row(row_id, F.lit("-"), hit, F.lit("acc"), "evalue", "score", *[zero] * 12, F.lit("a text"), sep=" "),
+        "hmmscan": _row(hit, F.lit("acc"), row_id, F.lit("-"), "evalue", "score", *[zero] * 12, F.lit("a text"), sep=" "),
+        "cmsearch": _row(row_id, F.lit("-"), hit, F.lit("acc"), F.lit("cm"), "hstart", "hend", "qstart", "qend", sign, F.lit("no"), *[zero] * 3, "score", "evalue", F.lit("!"), sep=" "),
+        "cmscan": _row(hit, F.lit("acc"), row_id, F.lit("-"), F.lit("cm"), "hstart", "hend", "qstart", "qend", sign, F.lit("no"), *[zero] * 3, "score", "evalue", F.lit("!"), sep=" "),
+    }
+    return lines[fmt]
+
+
 def _read_form(fmt: str):
-    line, columns, _ = _FORMS[fmt]
+    columns = _FORMS[fmt][0]
 
     def f(spark: SparkSession, sf: str) -> DataFrame:
-        return readers.read_hits(spark, _written(load(spark, sf, "hits"), line), fmt).select(*columns.split(", "))
+        return readers.read_hits(spark, _written(load(spark, sf, "hits"), _line(fmt)), fmt).select(*columns.split(", "))
 
     return f
 
 
-for _fmt, (_, _, _sql) in _FORMS.items():
+for _fmt, (_, _sql) in _FORMS.items():
     QUERIES[f"k_read_{_fmt}"] = _read_form(_fmt)
     SQL[f"k_read_{_fmt}"] = f"SELECT {_sql}" + ("" if " FROM " in _sql else " FROM hits")
 
 
-@query("SELECT label AS label, CAST(hit_row AS VARCHAR) AS read, coalesce(hit, 'NA') AS hit FROM hits WHERE score >= 60")
+@query(f"SELECT label, {_SQL_ID}, {_SQL_HIT} FROM hits WHERE score >= 60")
 def k_lines_by_label(spark, sf):
     """Lines that pass a filter, written by sample and read with the sample as label."""
-    lines = load(spark, sf, "hits").withColumn("o", _ID)
-    got = readers.read_hits(spark, _written(lines, _row(_ID, "hit", "pctid", "mlen", _ZERO, _ZERO, "qstart", "qend", "hstart", "hend", "evalue", "score"), "label"), "blast", r"by_=([^/]*)/")
+    lines = load(spark, sf, "hits").withColumn("o", F.col("hit_row"))
+    got = readers.read_hits(spark, _written(lines, _line("blast"), "label"), "blast", r"by_=([^/]*)/")
     kept = got.where("score >= 60")
     path = new_path(spark, "kept")
     sinks.write_by_label(kept.select("label", "line"), path)
@@ -143,7 +139,7 @@ def k_lines_by_label(spark, sf):
 def k_write_gff(spark, sf):
     """Hits as annotation lines, read again."""
     x = load(spark, sf, "hits").where("qstart is not null and qend is not null")
-    x = x.select(_ID.cast("string").alias("read"), F.coalesce(_HIT, F.lit("NA")).alias("hit"), "qstart", "qend", "hstart", "hend", F.col("score"), F.lit("+").alias("strand"))
+    x = x.select(F.col("hit_row").cast("string").alias("read"), F.coalesce(F.regexp_replace("hit", r"\s", "_"), F.lit("NA")).alias("hit"), "qstart", "qend", "hstart", "hend", F.col("score"), F.lit("+").alias("strand"))
     got = readers.read_hits(spark, _written(x, sinks.gff_line(x.columns)), "gff")
     return got.select("read", "qstart", "qend", "score", F.col("hit"))
 

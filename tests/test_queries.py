@@ -43,3 +43,11 @@ def test_equals_sql(spark, db, name):
 
 def test_every_query_has_sql_or_a_reason():
     assert set(QUERIES) - set(SQL) == {"s_sample_n", "p4_reasons"}
+
+
+def test_entry_loads_without_a_session():
+    import subprocess
+    import sys
+
+    root = Path(__file__).parent.parent
+    assert subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root).returncode == 0
