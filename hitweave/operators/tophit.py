@@ -56,16 +56,18 @@ def top_hit_proportional(hits: DataFrame, org: str = "hit", group=GROUP, order:
     counts = clear_counts(cand, group, weights)
     reads = cand.groupBy(*group).agg(F.array_sort(F.collect_set("org")).alias("orgs"), F.max("pos").alias("pos"))
     clear = reads.where("size(orgs) <= 1").select(*group, F.try_element_at("orgs", F.lit(1)).alias("org"))
-    doubt = running(reads.where("size(orgs) > 1"), ["orgs"], [F.desc("pos")], F.lit(1), "rn")
-    sets = doubt.groupBy("orgs").agg(F.count("*").alias("reads")).select("orgs", "reads", F.posexplode("orgs").alias("i", "org"))
+    # a set of organisms goes by a digest of its text, which is shorter than most sets
+    doubt = reads.where("size(orgs) > 1").withColumn("set", F.sha2(F.to_json("orgs"), 256))
+    sets = doubt.groupBy("set").agg(F.count("*").alias("reads"), F.first("orgs").alias("orgs")).select("set", "reads", F.posexplode("orgs").alias("i", "org"))
     q = _counted(sets, counts)
-    by_set = Window.partitionBy("orgs")
+    by_set = Window.partitionBy("set")
     quota = F.col("n") * F.col("reads") / F.sum("n").over(by_set)
     q = q.withColumn("x", quota).withColumn("whole", F.floor(F.col("x") + 1e-12)).withColumn("rest", F.col("x") - F.col("whole"))
     upto = F.sum("whole").over(by_set.orderBy(F.desc("x"), "i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     q = q.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("whole"))
     q = q.withColumn("dealt", F.sum("whole").over(by_set)).withColumn("k", F.row_number().over(by_set.orderBy(F.desc(F.round("rest", 9)), F.desc("i"))))
-    q = q.select(F.col("orgs").alias("q_orgs"), "org", "lo", "hi", (F.col("dealt") + F.col("k")).alias("extra"))
+    q = q.select(F.col("set").alias("q_set"), "org", "lo", "hi", (F.col("dealt") + F.col("k")).alias("extra"))
+    numbered = running(doubt.select(*group, "set", "pos"), ["set"], [F.desc("pos")], F.lit(1), "rn")
     mine = (F.col("rn") > F.col("lo")) & (F.col("rn") <= F.col("hi")) | (F.col("rn") == F.col("extra"))
-    dealt = doubt.join(q, (F.col("orgs") == F.col("q_orgs")) & mine).select(*group, "org")
+    dealt = numbered.join(q, (F.col("set") == F.col("q_set")) & mine).select(*group, "org")
     return clear.unionByName(dealt)
