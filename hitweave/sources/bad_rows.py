@@ -23,18 +23,21 @@ def assemble_records(lines: DataFrame, file_col: str, order_col: str, line_col:
     """Join the lines of records whose quotes span lines: (file, first, n_lines, record).
 
     A line starts a record if an even number of quotes precedes it in its file. The parity is a prefix sum in two steps,
-    within blocks of order_col and over the blocks of a file, so that a file of any length is no single task. Null lines
-    count as empty. order_col must order the lines of a file.
+    within blocks of order_col and over the blocks of a file, so that a file of any length is no single task. A record that
+    the file ends within has a quote too many: its lines stand for themselves, so that the one at fault is found by the
+    parser and the valid ones behind it are loaded, and no task gets the rest of the file. Null lines count as empty.
+    order_col must order the lines of a file.
     """
     x = lines.select(F.col(file_col).alias("file"), F.col(order_col).cast("long").alias("pos"), F.coalesce(F.col(line_col), F.lit("")).alias("line"))
     x = x.withColumn("b", F.floor(F.col("pos") / block)).withColumn("q", F.length("line") - F.length(F.replace("line", F.lit(quote), F.lit(""))))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("file").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = x.groupBy("file", "b").agg(F.sum("q").alias("s")).select("file", "b", (before % 2).alias("odd"))
+    starts = x.groupBy("file", "b").agg(F.sum("q").alias("s")).select("file", "b", (before % 2).alias("odd"), (F.sum("s").over(Window.partitionBy("file")) % 2).alias("torn"))
     w = Window.partitionBy("file", "b").orderBy("pos")
     x = x.join(starts, ["file", "b"]).withColumn("open", (F.col("odd") + F.coalesce(F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2)
     x = x.withColumn("start", F.when(F.col("open") == 0, F.col("pos")))
-    last = x.groupBy("file", "b").agg(F.max("start").alias("m")).select("file", "b", F.max("m").over(Window.partitionBy("file").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    last = x.groupBy("file", "b").agg(F.max("start").alias("m")).select("file", "b", F.max("m").over(Window.partitionBy("file").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"), F.max("m").over(Window.partitionBy("file")).alias("final"))
     x = x.join(last, ["file", "b"]).withColumn("first", F.coalesce(F.last("start", True).over(w), "carry"))
+    x = x.withColumn("first", F.when((F.col("torn") == 1) & (F.col("first") == F.col("final")), F.col("pos")).otherwise(F.col("first")))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n")
     return x.groupBy("file", "first").agg(F.count("*").alias("n_lines"), joined.alias("record"))
 
