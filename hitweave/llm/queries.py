@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitweave.llm import linking, mixing, subjects, terms, tokens, topn
-from hitweave.session import load
+from hitweave.session import cut, load
 
 
 #: From how many records on a term is no rare one; above which share of the records of its field it is a common one.
@@ -85,6 +85,21 @@ def p8_usage(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.usage(p8_mixture(spark, sf))
 
 
+def p8_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """For each source: documents used more often than they may be, blocks that aren't of the fixed length (the last one of
+    a source may be), and whether it has less than its share although it could give more; none, if all is well."""
+    docs, targets = load(spark, sf, "documents", "mix_targets")
+    drawn = cut(mixing.mixture(docs, targets), "drawn")
+    shares = mixing.shares(drawn, targets)
+    over = mixing.usage(drawn).join(targets.select("source", "max_repeats"), "source").where("uses > max_repeats").groupBy("source").agg(F.count("*").alias("over"))
+    last = drawn.groupBy("source").agg(F.max("no").alias("last"))
+    odd = drawn.join(last, "source").where((F.col("n_tokens") != mixing.BLOCK_TOKENS) & (F.col("no") < F.col("last"))).groupBy("source").agg(F.count("*").alias("odd"))
+    total = shares.agg(F.sum("n_tokens").alias("total"))  # one row
+    lacks = (F.col("n_tokens") > 0) & (F.col("n_tokens") + 2 * mixing.BLOCK_TOKENS < F.col("weight") * F.col("total")) & (F.col("repeats") < F.col("max_repeats"))
+    out = shares.crossJoin(F.broadcast(total)).join(over, "source", "left").join(odd, "source", "left")
+    return out.select("source", F.coalesce("over", F.lit(0)).alias("over"), F.coalesce("odd", F.lit(0)).alias("odd"), lacks.alias("lacks"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels, listed = load(spark, sf, "documents", "subject_labels", "subjects")
     found = subjects.assign(docs.withColumn("lang", F.substring("lang", 1, 2)), labels, listed)  # de, de-DE and DE are one
@@ -97,7 +112,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.composition(p9_found(spark, sf).unionByName(labels.select("doc_id", "subject")), docs, listed)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_after_changes, p2_found, p2_unlinked, p6_found, p7_ids, p8_mixture, p8_shares, p8_usage, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_after_changes, p2_found, p2_unlinked, p6_found, p7_ids, p8_mixture, p8_shares, p8_usage, p8_limits, p9_found, p9_composition)}
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _TERMS = f"""WITH x AS (
   SELECT 'hit' AS field, read AS record, nullif(lower(regexp_replace(hit, '^{_WHITE}+|{_WHITE}+$', '', 'g')), '') AS term FROM read_assignments
@@ -110,6 +125,7 @@ SQL: dict[str, str] = {
     "p1_found": _TERMS + "SELECT field, term FROM m WHERE rare OR common",
     "p1_terms": _MARKED,
     "p1_after_changes": _MARKED,
+    "p8_limits": "SELECT source, 0::BIGINT AS over, 0::BIGINT AS odd, false AS lacks FROM mix_targets",
     "p6_found": """WITH r AS (SELECT hit_row, label, read, hit, score, max(score) OVER (PARTITION BY label, read, hit) AS top,
   row_number() OVER (PARTITION BY label, read, hit ORDER BY score DESC, hit_row) AS nth_row, greatest(max(score) OVER (PARTITION BY label, read), 0) AS best
   FROM hits WHERE score IS NOT NULL),
