@@ -287,6 +287,8 @@ def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
 def usage(drawn: DataFrame) -> DataFrame:
     """How often each drawn document is used: (doc_id, source, uses, n_tokens), uses being the most draws that any block
     with a part of it has."""
-    x = drawn.select("source", "no", F.explode("docs").alias("d"))
+    # rows of one id count once for each draw of a block
+    mine = F.expr("transform(array_distinct(docs.doc_id), i -> named_struct('doc_id', i, 'n', aggregate(filter(docs, d -> d.doc_id <=> i), 0L, (t, d) -> t + d.n)))")
+    x = drawn.select("source", "no", F.explode(mine).alias("d"))
     per_block = x.groupBy("d.doc_id", "source", "no").agg(F.count("*").alias("uses"), F.sum("d.n").alias("n"))
     return per_block.groupBy("doc_id", "source").agg(F.max("uses").alias("uses"), F.sum("n").alias("n_tokens"))

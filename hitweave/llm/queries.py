@@ -54,6 +54,14 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return linking.link(hits, "hit_row", "hit_desc", names).select("hit_row", "taxid")
 
 
+def p2_literal(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the entries found, those of descriptions that end in a name of one entry, in brackets and as it is listed."""
+    hits, names = load(spark, sf, "hits", "taxon_names")
+    one = names.groupBy("name").agg(F.countDistinct("taxid").alias("n"), F.min("taxid").alias("of")).where("n = 1 and name <> ''")
+    said = hits.select("hit_row", F.regexp_extract("hit_desc", r"(?:^|\s)\[([^\[\]]+)\]$", 1).alias("name"))
+    return p2_found(spark, sf).join(said.join(one, "name").select("hit_row"), "hit_row")
+
+
 def p2_unlinked(spark: SparkSession, sf: str) -> DataFrame:
     """The rows whose description names no listed organism, with the description."""
     hits = load(spark, sf, "hits")
@@ -69,6 +77,11 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(load(spark, sf, "documents"), "doc_id", "text")
 
 
+def p7_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts that the ids stand for: those of the documents again."""
+    return tokens.decode(p7_ids(spark, sf))
+
+
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """Every block drawn, with its tokens and documents."""
     docs, targets = load(spark, sf, "documents", "mix_targets")
@@ -112,7 +125,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.composition(p9_found(spark, sf).unionByName(labels.select("doc_id", "subject")), docs, listed)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_after_changes, p2_found, p2_unlinked, p6_found, p7_ids, p8_mixture, p8_shares, p8_usage, p8_limits, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_after_changes, p2_found, p2_literal, p2_unlinked, p6_found, p7_ids, p7_decoded, p8_mixture, p8_shares, p8_usage, p8_limits, p9_found, p9_composition)}
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _TERMS = f"""WITH x AS (
   SELECT 'hit' AS field, read AS record, nullif(lower(regexp_replace(hit, '^{_WHITE}+|{_WHITE}+$', '', 'g')), '') AS term FROM read_assignments
@@ -125,6 +138,9 @@ SQL: dict[str, str] = {
     "p1_found": _TERMS + "SELECT field, term FROM m WHERE rare OR common",
     "p1_terms": _MARKED,
     "p1_after_changes": _MARKED,
+    "p2_literal": r"""WITH o AS (SELECT name, min(taxid) AS taxid FROM taxon_names WHERE name <> '' GROUP BY name HAVING count(DISTINCT taxid) = 1)
+SELECT hit_row, o.taxid FROM hits JOIN o ON o.name = regexp_extract(hit_desc, '(?:^|\s)\[([^\[\]]+)\]$', 1)""",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_limits": "SELECT source, 0::BIGINT AS over, 0::BIGINT AS odd, false AS lacks FROM mix_targets",
     "p6_found": """WITH r AS (SELECT hit_row, label, read, hit, score, max(score) OVER (PARTITION BY label, read, hit) AS top,
   row_number() OVER (PARTITION BY label, read, hit ORDER BY score DESC, hit_row) AS nth_row, greatest(max(score) OVER (PARTITION BY label, read), 0) AS best

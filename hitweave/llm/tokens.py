@@ -255,3 +255,22 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str | None = None,
     long_docs = encoded.repartition("row").sortWithinPartitions("row", "seg").mapInArrow(stitch, f"{kinds}, ids array<int>")
     out = short.unionByName(long_docs)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(fields)], "ids")
+
+
+def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """encoded with the text that its ids stand for, in place of the ids. Ids are decoded to bytes before these are read as
+    text, so that a character may lie across ids; bytes that are no text come out as replacement characters. A null list
+    has a null text."""
+    path = path or tokenizer_path()
+    others = [c for c in encoded.columns if c != ids_col]
+    picked = encoded.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(others)], F.col(ids_col).alias("ids"))
+    kinds = "".join(f"k{i} {picked.schema[i].dataType.simpleString()}, " for i in range(len(others)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path).enc
+        for batch in batches:
+            texts = [None if x is None else enc.decode_bytes(x).decode("utf-8", "replace") for x in batch.column(len(others)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "t"])
+
+    out = picked.mapInArrow(run, f"{kinds}t string")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(others)], F.col("t").alias(text_col))

@@ -27,7 +27,7 @@ _GROUP, _ITEM = ["g0", "g1"], ["g0", "g1", "item"]
 
 def score_bin(score: Column, per_octave: int = 64) -> Column:
     """A whole number that never falls as the score rises: 64 bins for each doubling, some thousands in all."""
-    return (F.signum(score) * F.floor(F.log2(1 + F.abs(score)) * per_octave)).cast("int")
+    return (F.signum(score) * F.least(F.floor(F.log2(1 + F.abs(score)) * per_octave), F.lit(1 << 20))).cast("int")
 
 
 def histogram_floor(rows: DataFrame, keys: list[str], score: str, n: int) -> DataFrame:
@@ -67,7 +67,7 @@ def top_rows(rows: DataFrame, params: DataFrame, group_cols: tuple[str, str], it
     group and at least 0; else rows below bits. Of the rest a row is kept if its item is among the first hits_per_read
     items of the group and it is among the first hsps_per_hit rows of its item (0: no limit).
 
-    A null or NaN score is never kept. Null group columns make groups of their own. Repeated rows count each; rows that
+    A null or NaN score is never kept; of a group whose best score is infinite nothing is kept under top_pct >= 0. Null group columns make groups of their own. Repeated rows count each; rows that
     are equal in all of these columns are interchangeable. Columns beside the named ones are ignored. Empty tables give
     an empty result.
     """

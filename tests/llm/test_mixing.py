@@ -41,7 +41,7 @@ def test_deal_gives_every_slot_once():
 @pytest.fixture(scope="module")
 def drawn(spark):
     docs = [(i, "a" if i % 3 else "b", f"words of document {i} " * (5 + i % 7)) for i in range(200)]
-    docs += [(900, "a", None), (901, None, "no source"), (902, "b", ""), (903, "other", "not wanted"), (5, "a", "words of document 5 again")]
+    docs += [(900, "a", None), (901, None, "no source"), (902, "b", ""), (903, "other", "not wanted"), (5, "a", "words of document 5 again"), (5, "a", "words of document 5 again"), (None, "a", "no id at all " * 9), (904, "b", "a very long text without an end " * 700)]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("shard", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash"))
     targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.7, 3), ("empty", 0.1, 2)], "source string, weight double, max_repeats int")
     out = mixing.mixture(df, targets, block_tokens=16, exact=True).cache()

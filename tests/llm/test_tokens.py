@@ -41,5 +41,7 @@ def test_rows(spark, enc):
     want = [(k, x, tuple(enc.ids(t) if t else [])) for k, t, x in rows]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert tokens.encode(df.limit(0), "k", "t").collect() == []
+    back = [(r.k, r.t) for r in tokens.decode(tokens.encode(df, "k", "t", chunk=500), text_col="t").collect()]
+    assert sorted(back, key=str) == sorted([(k, t or "") for k, t, _ in rows], key=str)
     with pytest.raises(ValueError):
         tokens.encode(df.withColumnRenamed("row", "ids"), "k", "t", keep=("ids",))

@@ -18,6 +18,8 @@ def brute(rows, params=PARAMS):
         for g in groups.values():
             best = max(0.0, *(r[3] for r in g))
             cut = max(best - pct * best / 100, bits) if pct >= 0 else bits
+            if cut != cut:  # an infinite best score has no band below it
+                continue
             items = {}
             for r in sorted(g, key=lambda r: (-r[3], r[2] is not None, r[2] or "", r[4])):
                 if r[3] < cut or (n_items and r[2] not in items and len(items) >= n_items):
@@ -33,7 +35,7 @@ def rows(seed):
     out = []
     for i in range(700):
         big = rng.random() < 0.4
-        out.append((rng.choice("ab") if not big else "hot", None if rng.random() < 0.02 else f"r{0 if big else rng.randrange(40)}", rng.choice([None, "A", "B", "a", *map(str, range(12))]) if not big or rng.random() < 0.5 else "same", rng.choice([None, float("nan"), -5.0, 0.0, 20.0, 50.0, 50.0, 300.0, 299.9, rng.uniform(0, 400)]), i))
+        out.append((rng.choice("ab") if not big else "hot", None if rng.random() < 0.02 else f"r{0 if big else rng.randrange(40)}", rng.choice([None, "A", "B", "a", *map(str, range(12))]) if not big or rng.random() < 0.5 else "same", rng.choice([None, float("nan"), -5.0, 0.0, 20.0, 50.0, 50.0, 300.0, 299.9, rng.uniform(0, 400), float("inf") if rng.random() < 0.05 else 1.0]), i))
     return out
 
 
