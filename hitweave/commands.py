@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hitweave.functions.names import free_name
@@ -10,6 +10,7 @@ from hitweave.operators import assembly, counts, intervals, reduce, taxonomy, to
 from hitweave.operators.filters import GROUP, FilterParams, filter_hits
 from hitweave.operators.sequences import region
 from hitweave.schema import RANKS
+from hitweave.sources.hits import read_hits
 
 
 def values_of(hits: DataFrame, style: str | None = None, mapping: DataFrame | None = None, from_description: bool | None = None, missing: str = "none", group=GROUP) -> DataFrame:
@@ -79,6 +80,17 @@ def clean_ranks(ranks: list[str]) -> list[str]:
     return sorted(names, key=RANKS.index, reverse=True)
 
 
+def clean_levels(levels: list[str]) -> list[str]:
+    """Each level once, as text, in the order given; None and the empty text stand for the genes themselves."""
+    return list(dict.fromkeys("gene" if x is None or str(x).strip().lower() in ("", "none") else str(x).strip() for x in levels))
+
+
+def count_hit_files(spark: SparkSession, paths, fmt: str = "gene", mapping: DataFrame | None = None, style: str | None = None, params: FilterParams = FilterParams(top_pct=0), how: str = "first") -> DataFrame:
+    """(label, value, n) of files of hits in one call: parsed, filtered to the best hits, translated and counted."""
+    hits = filter_hits(read_hits(spark, paths, fmt), params)
+    return counts.count_values(values_of(hits, style, mapping), how)
+
+
 def count_paths(hits: DataFrame, params: FilterParams, links: DataFrame, levels: dict[str, DataFrame | None], method: str = "tophit", style: str | None = None, how: str = "all", cutoff: float = 0, weights: DataFrame | None = None) -> dict[str, DataFrame]:
     """Counts (label, value, n) of genes at each level; levels: name -> (value, level_value), None for the genes. links:
     (key, value), ids to genes; a top hit is translated to the first of its genes."""

@@ -35,10 +35,12 @@ def histogram(rows: DataFrame, column: str, bins: int = 10) -> DataFrame:
     return every.join(n, "bin", "left").select("bin", (F.col("lo") + F.col("w") * F.col("bin")).alias("low"), (F.col("lo") + F.col("w") * (F.col("bin") + 1)).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def closed_bin(value: Column, low: Column, width: Column, bins: int) -> Column:
-    """Bin from 1 of ranges closed at both ends, the lower one for a value on an edge; null outside."""
+def closed_bin(value: Column, low: Column, width: Column, bins: int, strict: bool = False) -> Column:
+    """Bin from 1 of ranges closed at both ends, the lower one for a value on an edge; null outside, or with strict an
+    error there."""
     b = F.greatest(F.ceil((value - low) / width), F.lit(1))
-    return F.when((value >= low) & (b <= bins), b).cast("int")
+    outside = F.raise_error(F.concat(F.lit("outside of all bins: "), value.cast("string"))).cast("int") if strict else F.lit(None).cast("int")
+    return F.when((value >= low) & (b <= bins), b.cast("int")).when(value.isNotNull(), outside)
 
 
 def contig_table(contigs: DataFrame, read_counts: DataFrame | None = None, depths: DataFrame | None = None, least: int = 0) -> DataFrame:

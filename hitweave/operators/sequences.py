@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.operators.folds import fold
+from hitweave.operators.places import previous, running
 from hitweave.operators.taxonomy import numbered
 
 _BASES = "TCAG"
@@ -26,13 +27,13 @@ def gc_percent(seq: Column) -> Column:
     return F.coalesce(F.try_divide(100.0 * F.length(F.regexp_replace(seq, "[^GCSgcs]", "")), F.length(seq)), F.lit(0.0))
 
 
-def translated(seq: Column) -> Column:
-    """Amino acids of the codons from the first base on; X for codons that aren't of plain bases, * for stops. Bases
+def translated(seq: Column, code: str = _AMINO) -> Column:
+    """Amino acids of the codons from the first base on, by a code of 64 letters (codons in the order TTT, TTC ... GGG); X for codons that aren't of plain bases, * for stops. Bases
     after the last whole codon are left out."""
     # bases as digits to the base of 4, so that a codon is the place of its amino acid; a dot stands for any other letter
     s = F.regexp_replace(F.translate(F.upper(seq), "UTCAG", "00123"), "[^0-3]", ".")
     codons = F.regexp_extract_all(s, F.lit("..."), 0)
-    acid = lambda c: F.when(F.instr(c, ".") > 0, "X").otherwise(F.substring(F.lit(_AMINO), F.conv(c, 4, 10).cast("int") + 1, F.lit(1)))
+    acid = lambda c: F.when(F.instr(c, ".") > 0, "X").otherwise(F.substring(F.lit(code), F.conv(c, 4, 10).cast("int") + 1, F.lit(1)))
     return F.array_join(F.transform(codons, acid), "")
 
 
@@ -91,7 +92,8 @@ def record_totals(records: DataFrame, size: Column) -> DataFrame:
 
 def islands(rows: DataFrame, column: str, order: str, file: str | None = None) -> DataFrame:
     """rows with the number of their run of equal values in file order: a value that comes again later begins a new run.
-    Without a file the whole table is one sequence, which one task numbers; name a file where you can."""
-    w = Window.partitionBy(file).orderBy(order) if file else Window.orderBy(order)
-    new = (~F.col(column).eqNullSafe(F.lag(column).over(w))) | (F.row_number().over(w) == 1)
-    return rows.withColumn("new_", new.cast("int")).withColumn("island", F.sum("new_").over(w)).drop("new_")
+    Without a file the whole table is one sequence. Ranges of the order are worked on apart."""
+    keys = [file] if file else []
+    x = previous(rows, keys, [order], column, "before_row")
+    new = (F.col("before_row").isNull() | ~F.col("before_row.value").eqNullSafe(F.col(column))).cast("long")
+    return running(x, keys, [order], new, "island").drop("before_row")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitweave import commands
-from hitweave.operators import assembly, counts, dimensions, sequences, taxonomy, translate
+from hitweave.operators import assembly, counts, dimensions, sequences, taxonomy, tophit, translate
 from hitweave.operators.filters import FilterParams
 from hitweave.plans.hits import _BEST, _LINKS, _NAMES, _SPANS, _TREE, _V, _hits, _lines, _links, _spans, _taxa, _values, ORG
 from hitweave.plans.hits import _LINES as _LINES_SQL
@@ -190,8 +190,6 @@ def a_reference_coverage(spark, sf):
 @query("""WITH b AS (SELECT label, read, hit, hit_row, score FROM hits), k AS (SELECT label, read FROM b GROUP BY ALL HAVING count(DISTINCT coalesce(hit, chr(0))) = 1) SELECT max(hit_row) AS hit_row FROM b SEMI JOIN k USING (label, read) GROUP BY b.label, b.read""")
 def x_clear_last(spark, sf):
     """The last hit line of the reads that have but one hit."""
-    from hitweave.operators import tophit
-
     return tophit.clear_rows(_hits(spark, sf), "hit").select("hit_row")
 
 
@@ -247,3 +245,29 @@ def x_redistribute(spark, sf):
     """Counts of inner nodes handed down the tree."""
     got = taxonomy.redistribute(counts.count_values(_taxa(spark, sf).where("value is not null").withColumn("all_", F.lit(1)), by=("all_",)).select(F.col("value").alias("taxid"), "n"), cut(_lines(spark, sf), "lineages"))
     return got.select("taxid", F.round("n", 6).alias("n"))
+
+
+_BY_FILE = """WITH c AS (SELECT label, read, hit AS org, max(hit_row) AS pos FROM hits GROUP BY ALL), k AS (SELECT *, count(*) OVER (PARTITION BY label, read) AS k FROM c), n AS (SELECT label, org, count(*) AS n FROM k WHERE k = 1 GROUP BY ALL) """
+
+
+@query(_BY_FILE + "SELECT c.label, c.read, c.org FROM c LEFT JOIN n ON c.label = n.label AND c.org IS NOT DISTINCT FROM n.org QUALIFY row_number() OVER (PARTITION BY c.label, c.read ORDER BY coalesce(n, 0.5) DESC, c.org NULLS FIRST) = 1")
+def x_tophit_by_file(spark, sf):
+    """Top hits by the abundance in their own sample."""
+    return tophit.top_hit(_hits(spark, sf), "hit", by=("label",)).select("label", "read", "org")
+
+
+@query(_BY_FILE + """, g AS (SELECT label, read, list(org ORDER BY org) FILTER (WHERE org IS NOT NULL) AS orgs, max(pos) AS pos FROM c GROUP BY label, read),
+dbt AS (SELECT *, row_number() OVER (PARTITION BY label, orgs ORDER BY pos DESC) AS rn FROM g WHERE len(orgs) > 1), st AS (SELECT label, orgs, count(*) AS reads FROM dbt GROUP BY ALL),
+e AS (SELECT label, orgs, reads, unnest(orgs) AS org, unnest(range(0, len(orgs))) AS i FROM st), q AS (SELECT e.*, coalesce(n, 0.5) AS n FROM e LEFT JOIN n USING (label, org)),
+x AS (SELECT *, n * reads / sum(n) OVER (PARTITION BY label, orgs) AS x FROM q), y AS (SELECT *, floor(x + 1e-12) AS whole FROM x),
+z AS (SELECT *, sum(whole) OVER (PARTITION BY label, orgs ORDER BY x DESC, i ROWS UNBOUNDED PRECEDING) AS hi, sum(whole) OVER (PARTITION BY label, orgs) AS dealt, row_number() OVER (PARTITION BY label, orgs ORDER BY round(x - whole, 9) DESC, i DESC) AS k FROM y)
+SELECT dbt.label, read, z.org FROM dbt JOIN z ON dbt.label = z.label AND dbt.orgs = z.orgs AND (rn > hi - whole AND rn <= hi OR rn = dealt + k) UNION ALL SELECT label, read, orgs[1] FROM g WHERE coalesce(len(orgs), 0) <= 1""")
+def x_tophit_prop_by_file(spark, sf):
+    """Proportional top hits, each sample by itself."""
+    return tophit.top_hit_proportional(_hits(spark, sf), "hit", by=("label",))
+
+
+@query("SELECT label, hit AS value, count(*) AS n FROM (SELECT *, greatest(max(score) OVER (PARTITION BY label, read), 0) AS best FROM hits) WHERE score >= best GROUP BY ALL")
+def w_count_best(spark, sf):
+    """Best hits of each read counted by sample, in one call."""
+    return counts.count_values(commands.values_of(commands.filter_hits(_hits(spark, sf), FilterParams(top_pct=0))), "all")

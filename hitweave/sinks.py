@@ -16,7 +16,8 @@ def write_lines(hits: DataFrame, path: str, column: str = "line") -> None:
 def gff_line(columns: list[str]) -> Column:
     """A hit as a line of nine columns of annotation."""
     has = lambda c, d: F.coalesce(F.col(c).cast("string"), F.lit(d)) if c in columns else F.lit(d)
-    target = F.when(F.col("hstart").isNotNull(), F.concat(F.lit("Target="), F.col("hit"), F.lit(" "), F.col("hstart"), F.lit(" "), F.col("hend"))).otherwise(F.concat(F.lit("Target="), F.col("hit")))
+    no_places = F.concat(F.lit("Target="), F.col("hit"))
+    target = no_places if "hstart" not in columns else F.when(F.col("hstart").isNotNull(), F.concat(F.lit("Target="), F.col("hit"), F.lit(" "), F.col("hstart"), F.lit(" "), F.col("hend"))).otherwise(F.concat(F.lit("Target="), F.col("hit")))
     cigar = F.when(F.col("cigar").isNotNull(), F.concat(F.lit(";Cigar="), F.col("cigar"))).otherwise("") if "cigar" in columns else F.lit("")
     return F.concat_ws("\t", F.col("read"), has("source", "hitweave"), has("hit_type", "match"), F.least("qstart", "qend").cast("string"), F.greatest("qstart", "qend").cast("string"), has("score", "."), has("strand", "."), F.lit("."), F.concat(target, cigar))
 
@@ -32,14 +33,31 @@ def write_by_label(lines: DataFrame, path: str) -> None:
     lines.select("label", F.col("line").alias("value")).write.partitionBy("label").text(path)
 
 
-def write_counts(counts: DataFrame, path: str, wide: bool = True, labels: list[str] | None = None) -> None:
-    """A table of counts, values in order, by label as columns or long."""
+def write_counts(counts: DataFrame, path: str, wide: bool = True, labels: list[str] | None = None, text: Column | None = None, about: DataFrame | None = None) -> None:
+    """A table of counts by label as columns, or long, in the order of the value, or of text (a formatted name, say), which
+    then stands in its place. about: (value, ...), further columns of each value, put behind it."""
     from hitweave.operators.counts import wide as spread
 
     table = spread(counts, labels) if wide else counts
+    if about is not None:
+        more = [c for c in about.columns if c != "value"]
+        table = table.join(about.withColumnRenamed("value", "of_"), F.col("value") == F.col("of_"), "left").select("value", *more, *[c for c in table.columns if c != "value"])
+    table = table.withColumn("value", text if text is not None else F.col("value"))
     table.orderBy(F.coalesce(F.col("value").cast("string"), F.lit(""))).write.option("sep", "\t").option("header", True).csv(path)
 
 
+def write_annotations(regions: DataFrame, folder: str) -> None:
+    """Regions (read, hit, qstart, qend, number, bases, line) as three files of text: annotations, bases and proteins."""
+    from hitweave.operators.sequences import translated
+
+    name = F.concat_ws("_", "read", "number")
+    place = F.concat_ws(" # ", F.lit(""), F.col("qstart").cast("string"), F.col("qend").cast("string"))
+    line = F.coalesce("line", gff_line(regions.columns)) if "line" in regions.columns else gff_line(regions.columns)
+    regions.select(line.alias("value")).write.text(f"{folder}/gff")
+    regions.select(fasta_text(name, F.trim(place), F.col("bases")).alias("value")).write.text(f"{folder}/fna")
+    regions.select(fasta_text(name, F.trim(place), translated(F.col("bases"))).alias("value")).write.text(f"{folder}/faa")
+
+
 def fasta_text(seq_id: Column, description: Column, seq: Column) -> Column:
     return F.concat(F.lit(">"), F.concat_ws(" ", seq_id, F.nullif(description, F.lit(""))), F.lit("\n"), seq)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,12 +33,19 @@ def _skip(lines: DataFrame, n: int) -> DataFrame:
         return lines
     head = lines.where(F.col("pos.block") == 0)
     drop = head.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).where(F.col("r") <= n).select(F.col("pos").alias("p"))
-    return lines.join(F.broadcast(drop), F.col("pos") == F.col("p"), "left_anti")
+    return lines.join(drop, F.col("pos") == F.col("p"), "left_anti")
 
 
-def read_list(spark: SparkSession, paths, column: int | None = None, delimiter: str = "\t", accessions: bool = False) -> DataFrame:
-    """Distinct ids of a column (from 0), or of whole lines; accessions lose their version."""
+def short_rows(spark: SparkSession, paths, columns: int, delimiter: str | None = "\t") -> DataFrame:
+    """(file, line) of the rows of a table that have fewer columns; read_map() passes over them."""
     lines = read_lines(spark, paths)
+    return lines.where((F.trim("line") != "") & (F.size(_cells(lines, delimiter)) < columns)).select("file", "line")
+
+
+def read_list(spark: SparkSession, paths, column: int | None = None, delimiter: str = "\t", accessions: bool = False, first: int = 0) -> DataFrame:
+    """Distinct ids of a column (counted from ``first``), or of whole lines; accessions lose their version."""
+    lines = read_lines(spark, paths)
+    column = None if column is None else column - first
     x = F.trim("line") if column is None else F.trim(F.try_element_at(F.split("line", delimiter), F.lit(column + 1)))
     return lines.select((strip_version(x) if accessions else x).alias("id")).where("id <> ''").distinct()
 
@@ -144,12 +152,17 @@ def read_lineage_headers(spark: SparkSession, paths, sep: str = ";") -> DataFram
     return x.select(F.regexp_extract("line", r"^>(\S+)", 1).alias("acc"), F.filter(F.transform(F.split(m, sep), lambda y: F.trim(F.regexp_replace(y, r"^[a-z]__", ""))), lambda y: y != "").alias("lineage"))
 
 
-def read_assignments(spark: SparkSession, paths, read: int = 0, hit: int = 1, skip: int = 0) -> DataFrame:
-    """(label, read, value, pos) of assignment tables: a hit column, or with hit < 0 every other column, a row each."""
+def read_assignments(spark: SparkSession, paths, read: int = 0, hit: int = 1, skip: int = 0, split: str | None = None) -> DataFrame:
+    """(label, read, value, pos) of assignment tables: a hit column, or with hit < 0 every other column, a row each. split:
+    a delimiter of several values in the hit column, a row each."""
     lines = _skip(read_lines(spark, paths), skip)
     c = F.split("line", "\t")
     if hit >= 0:
-        return lines.where(F.size(c) > max(read, hit)).select("label", c[read].alias("read"), c[hit].alias("value"), "pos")
+        x = lines.where(F.size(c) > max(read, hit)).select("label", c[read].alias("read"), c[hit].alias("value"), "pos")
+        if split is None:
+            return x
+        parts = x.select("label", "read", "pos", F.posexplode(F.split("value", F.lit(re.escape(split)))).alias("i", "value")).withColumn("value", F.trim("value"))
+        return parts.where("value <> ''").select("label", "read", "value", F.struct("pos", "i").alias("pos"))
     x = lines.select("label", c[read].alias("read"), F.posexplode(c).alias("i", "value"), "pos").where((F.col("i") != read) & (F.col("value") != ""))
     return x.select("label", "read", "value", F.struct("pos", "i").alias("pos"))
 
@@ -171,8 +184,6 @@ def genbank_taxa(spark: SparkSession, paths) -> DataFrame:
 def match_files(spark: SparkSession, pattern: str, constraints: dict[str, str] | None = None) -> DataFrame:
     """(file, name...) of the files that a path with named wildcards, like "in/{sample}.{ext}", matches. A wildcard doesn't
     cross a slash; one that comes again must have the same value; constraints: regular expressions for values."""
-    import re
-
     constraints = constraints or {}
     names: list[str] = []
     form = ""
@@ -252,8 +263,6 @@ LEVELS = {"PATH": "PATHWAY", "PATHS": "PATHWAY", "PATHWAYS": "PATHWAY", "DESCRIP
 def read_ko_levels(spark: SparkSession, paths, level: str) -> DataFrame:
     """(ko, value) of a flat file of orthologs at a level: NAME, DEFINITION, PATHWAY, EC, a number (a level of the
     hierarchy ko00001) or hierarchy:number. Values of a hierarchy are the lines of that depth in its block, in full."""
-    import re
-
     level = LEVELS.get(str(level).upper(), str(level))
     if level.upper() in ("NAME", "DEFINITION", "PATHWAY"):
         return read_ko_flat(spark, paths).where(F.col("field") == level.upper()).select("ko", "value")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hitweave.operators.filters import FilterParams, row_predicate
+from hitweave.operators.sampling import sample_n
 from hitweave.sources.hits import parse_hits
 
 
@@ -50,3 +51,20 @@ def each_batch(hits: DataFrame, work: Callable[[DataFrame], DataFrame], path: st
         work(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return hits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sample_stream(rows: DataFrame, n: int, order: str, path: str, checkpoint: str, seed: int = 0) -> StreamingQuery:
+    """A sample of n rows of all that the stream has brought so far, under path/sample=number of the batch; the last one
+    holds. It is the n rows of the least hashes of ``order`` and seed, so it is the sample that sample_n() draws of all
+    rows at once. A batch that is run again after a loss starts from the sample before it and replaces its own folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [int(s.getPath().getName().removeprefix("sample=")) for s in fs.listStatus(root)] if fs.exists(root) else []
+        earlier = max((k for k in done if k < number), default=None)
+        both = batch if earlier is None else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/sample={earlier}"))
+        sample_n(both, n, order, seed).write.mode("overwrite").parquet(f"{path}/sample={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -161,3 +161,56 @@ def test_limits_of_a_hot_read(spark):
             first = list(dict.fromkeys(r[2] for r in mine))[:3]
             want |= {r[4] for r in mine if r[2] in first}
         assert {r.pos for r in filters.limit_hits(df, 3, sort=sort).collect()} == want
+
+
+def test_islands_over_ranges(spark):
+    from hitweave.operators.sequences import islands
+
+    rng = random.Random(3)
+    data = [(rng.choice(["f", "g", None]), i, rng.choice([None, "a", "b"])) for i in rng.sample(range(500), 300)]
+    df = spark.createDataFrame(data, "file string, o int, v string")
+    for file in ("file", None):
+        want, state = {}, {}
+        for f, o, v in sorted(data, key=lambda r: r[1]):
+            k = f if file else 0
+            last, n = state.get(k, ("none yet", 0))
+            state[k] = (v, n + (v != last))
+            want[o] = state[k][1]
+        assert {r.o: r.island for r in islands(df, "v", "o", file).collect()} == want
+    assert islands(df.limit(0), "v", "o").collect() == []
+
+
+def test_sample_of_a_stream(spark, tmp_path):
+    from hitweave.operators.sampling import sample_n
+    from hitweave.streaming.hits import sample_stream
+
+    for part in range(3):
+        spark.range(part * 100, part * 100 + 100).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        sample_stream(stream, 12, "id", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    last = max((p for p in (tmp_path / "out").glob("sample=*")), key=lambda p: int(p.name[7:]))
+    assert rows(spark.read.parquet(str(last)), "id") == rows(sample_n(spark.range(300).toDF("id"), 12, "id"), "id")
+
+
+def test_counts_of_files(spark, tmp_path):
+    from hitweave import commands
+
+    (tmp_path / "s").write_text("r1\th1\t90\t30\t2\t1\t1\t30\t5\t34\t1e-9\t60\nr1\th2\t90\t30\t2\t1\t1\t30\t5\t34\t1e-9\t50\nr2\th2\t90\t30\t2\t1\t1\t30\t5\t34\t1e-9\t50\n")
+    got = commands.count_hit_files(spark, str(tmp_path / "s"), "blast")
+    assert rows(got, "value", "n") == {("h1", 1), ("h2", 1)}
+    assert commands.clean_levels(["3", None, "PATH", "3", "none"]) == ["3", "gene", "PATH"]
+
+
+def test_tables_and_writers(spark, tmp_path):
+    (tmp_path / "a").write_text("r1\tx; y\nr2\nr3\tz\n")
+    assert rows(tables.read_assignments(spark, str(tmp_path / "a"), split=";"), "read", "value") == {("r1", "x"), ("r1", "y"), ("r3", "z")}
+    assert rows(tables.short_rows(spark, str(tmp_path / "a"), 2), "line") == {("r2",)}
+    assert rows(tables.read_list(spark, str(tmp_path / "a"), 1, first=1)) == {("r1",), ("r2",), ("r3",)}
+    counts = spark.createDataFrame([("s", "b", 2), ("t", "a", 3)], "label string, value string, n long")
+    sinks.write_counts(counts, str(tmp_path / "w"), about=spark.createDataFrame([("a", "first")], "value string, note string"))
+    got = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "w")).collect()
+    assert [(r.value, r.note, r.s, r.t) for r in got] == [("a", "first", "0", "3"), ("b", None, "2", "0")]
+    region = spark.createDataFrame([("c", "g", 1, 6, 1, "ATGTAA")], "read string, hit string, qstart int, qend int, number int, bases string")
+    sinks.write_annotations(region, str(tmp_path / "t"))
+    text = lambda k: [r.value for r in spark.read.text(str(tmp_path / "t" / k)).collect()]
+    assert text("gff")[0].startswith("c\thitweave\tmatch\t1\t6") and "ATGTAA" in text("fna") and "M*" in text("faa")
