@@ -215,9 +215,6 @@ def k_read_clusters(spark, sf):
     return tables.read_clusters(spark, _written(lines, F.col("line"), "label"))
 
 
-_SAFE = r"regexp_replace(trim(name), '[\t\r\n<>\[\]]', ' ', 'g')"
-
-
 @query(f"""SELECT DISTINCT 'K' || lpad(CAST(name_row AS VARCHAR), 5, '0') AS ko, 'T' || taxid AS name FROM taxon_names WHERE name_row < 100000""")
 def k_read_brite(spark, sf):
     """Names under their taxids, as a hierarchy of three levels."""

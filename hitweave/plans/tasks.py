@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hitweave import commands
 from hitweave.operators import assembly, counts, dimensions, sequences, taxonomy, tophit, translate
 from hitweave.operators.filters import FilterParams
-from hitweave.plans.hits import _BEST, _LINKS, _NAMES, _SPANS, _TREE, _V, _hits, _lines, _links, _spans, _taxa, _values, ORG
+from hitweave.plans.hits import _BEST, _LINKS, _NAMES, _TREE, _V, _hits, _lines, _links, _taxa, _values, ORG
 from hitweave.plans.hits import _LINES as _LINES_SQL
 from hitweave.schema import FAMILY_TAXIDS, RANKS
 from hitweave.session import cut, load
