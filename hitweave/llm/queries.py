@@ -14,14 +14,13 @@ MIN_RECORDS, MAX_SHARE = 3, {"hit": 0.05, "c0": 0.5}
 
 
 def _terms(spark: SparkSession, sf: str) -> terms.TermCounts:
-    """The counts by two batches: all rows with their values as delivered, then, of the rows that cleaning changes, the old
-    value removed and the clean one added."""
+    """The counts by two batches: all rows with their values in small letters, then a correction of the rows with white space
+    around them, the old value removed and the clean one added."""
     reads, counts = load(spark, sf, "read_assignments", "taxcounts")
-    raw, clean = F.nullif(F.col("hit"), F.lit("")), terms.clean_term(F.col("hit"))
-    dirty = reads.where(~raw.eqNullSafe(clean))
+    raw = F.nullif(F.lower("hit"), F.lit(""))
     store = terms.TermCounts(spark)
     store.apply(terms.changes(reads, "hit", "read", raw).unionByName(terms.changes(counts, "c0", "sample", F.col("c0"))))
-    store.apply(terms.changes(dirty, "hit", "read", raw, -1).unionByName(terms.changes(dirty, "hit", "read", clean)))
+    store.apply(terms.corrections(reads, "hit", "read", raw, terms.clean_term(F.col("hit"))))
     return store
 
 

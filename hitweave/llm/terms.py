@@ -40,6 +40,14 @@ def changes(rows: DataFrame, field: str, record: str, term: Column, delta: int =
     return rows.select(F.lit(field).alias("field"), F.col(record).cast("string").alias("record"), term.cast("string").alias("term"), F.lit(delta).cast("long").alias("delta")).where("term is not null")
 
 
+def corrections(rows: DataFrame, field: str, record: str, old: Column, new: Column) -> DataFrame:
+    """Rows whose term has changed as changes: the old one removed, the new one added, both from one pass over the rows.
+    Rows whose terms are equal are none."""
+    two = F.array(F.struct(old.cast("string").alias("term"), F.lit(-1).cast("long").alias("delta")), F.struct(new.cast("string").alias("term"), F.lit(1).cast("long").alias("delta")))
+    x = rows.select(F.lit(field).alias("field"), F.col(record).cast("string").alias("record"), two.alias("two")).where("not two[0].term <=> two[1].term")
+    return x.select("field", "record", F.inline("two")).where("term is not null")
+
+
 class TermCounts:
     """Persistent counts in a folder that all executors share. One writer at a time. buckets: of a new store; by default
     as many as its first batch asks for."""
@@ -130,7 +138,8 @@ class TermCounts:
             state = self._read("pairs", _PAIRS)
             state = state if len(touched) == self.buckets else state.where(F.col("bucket").isin(touched))
             both = both.unionByName(state.select(*PAIR, F.col("d").alias("old"), F.lit(0).cast("long").alias("d")))
-        pairs = both.groupBy(*PAIR).agg(F.sum("old").alias("old"), F.sum("d").alias("d"))
+            both = both.groupBy(*PAIR).agg(F.sum("old").alias("old"), F.sum("d").alias("d"))
+        pairs = both  # one row for each pair, as delta has
         records = pairs.groupBy(*RECORD).agg(F.sum("old").alias("old"), F.sum("d").alias("d")).withColumn("term", F.lit(None).cast("string"))
         new = F.col("old") + F.col("d")
         checked = F.when(new < 0, F.raise_error(F.lit("rows are removed that were never added")).cast("long")).otherwise(F.signum(new).cast("long"))

@@ -87,3 +87,10 @@ def test_cleaning_and_empty(spark):
     store = terms.TermCounts(spark)
     store.apply(frame(spark, []))
     assert store.counts().collect() == [] and store.marked(3, {"f": 0.5}).collect() == []
+
+
+def test_corrections(spark):
+    df = spark.createDataFrame([("r1", "a ", "a"), ("r2", "b", "b"), (None, None, "c"), ("r3", "d", None), ("r3", "d", None)], "record string, old string, new string")
+    got = sorted((r.record, r.term, r.delta) for r in terms.corrections(df, "f", "record", F.col("old"), F.col("new")).collect() if r.record)
+    assert got == [("r1", "a", 1), ("r1", "a ", -1), ("r3", "d", -1), ("r3", "d", -1)]
+    assert [(r.term, r.delta) for r in terms.corrections(df, "f", "record", F.col("old"), F.col("new")).collect() if r.record is None] == [("c", 1)]
