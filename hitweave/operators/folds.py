@@ -17,7 +17,7 @@ from pyspark.sql.types import _parse_datatype_string
 OUT_ROWS = 8192
 
 
-def fold(rows: DataFrame, n_keys: int, order: list[str], fn: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+def fold(rows: DataFrame, n_keys: int, order: list, fn: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """fn(key, rows of the group in order) -> result rows, for each distinct value of the first n_keys columns of rows."""
     keys = rows.columns[:n_keys]
     arrow = to_arrow_schema(_parse_datatype_string(schema))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.functions.names import free_name
+from hitweave.operators.folds import fold
 from hitweave.operators.hierarchy import hierarchy
 from hitweave.operators.places import running
 from hitweave.schema import FAMILY_TAXIDS, RANKS, rank_index
-from hitweave.session import cut
 
 
 def lineages(nodes: DataFrame, names: DataFrame | None = None, order: str | None = None) -> DataFrame:
@@ -195,23 +195,29 @@ def build_tree(lineage_rows: DataFrame, column: str = "lineage", ranks: tuple[st
 
 
 def collapse(counts: DataFrame, lines: DataFrame, cutoff: float) -> DataFrame:
-    """Counts (taxid, n) gathered towards the root until a node of a telling name holds cutoff or more: (taxid, n, into).
+    """Counts (taxid, n) gathered towards the root until a node of a telling name holds cutoff or more: (taxid, n).
 
     From the deepest nodes up, a sum below the cutoff, or one at a generic name, moves on to the parent; a node that
-    reaches the cutoff keeps all that is pending below it. A root keeps what arrives. One pass for each depth of the
-    counted nodes, of rows (node, pending sum), and the counted taxa follow by their lineages."""
-    about = lines.select("taxid", "depth", is_generic(F.col("name")).alias("generic"), F.try_element_at(F.col("lineage.taxid"), F.lit(-2)).alias("up"))
-    pending = counts.groupBy("taxid").agg(F.sum("n").alias("n")).join(about, "taxid")
-    deepest = pending.agg(F.max("depth").alias("d")).collect()[0].d  # a number
-    settled = None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        here = pending.where(F.col("depth") == depth)
-        stays = (F.col("up").isNull()) | ((F.col("n") >= cutoff) & ~F.col("generic"))
-        done = here.where(stays).select("taxid", "n")
-        settled = done if settled is None else settled.unionByName(done)
-        moved = here.where(~stays).select(F.col("up").alias("taxid"), "n").join(about, "taxid")
-        pending = cut(pending.where(F.col("depth") < depth).unionByName(moved.select(*pending.columns)).groupBy("taxid", "depth", "generic", "up").agg(F.sum("n").alias("n")).select(*pending.columns), "pending")
-    return settled if settled is not None else counts.select("taxid", "n").limit(0)
+    reaches the cutoff keeps all that is pending below it. A root keeps what arrives. Counted nodes and their ancestors
+    are read in the falling order of their paths, in which every node follows all below it; a tree is one task's work, as
+    sums pass through all of it, but of no more rows than it has nodes. Taxa without a lineage are left out."""
+    own = counts.groupBy("taxid").agg(F.sum("n").cast("double").alias("n"))
+    known = lines.select("taxid", F.col("lineage.taxid").alias("line"), is_generic(F.col("name")).alias("generic"))
+    up = own.join(known, "taxid").select(F.explode("line").alias("taxid")).distinct()
+    path = F.concat(F.array_join(F.transform("line", lambda x: x.cast("string")), "/"), F.lit("/"))
+    x = up.join(known, "taxid").join(own, "taxid", "left").select(F.get("line", F.lit(0)).alias("root"), path.alias("path"), "taxid", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("generic", F.lit(False)).alias("generic"))
+
+    def gather(key: tuple, rows):
+        pending: list[tuple[str, float]] = []
+        for root, at, taxid, n, generic in rows:
+            while pending and pending[-1][0].startswith(at):
+                n += pending.pop()[1]
+            if taxid == root or (n >= cutoff and not generic):
+                yield (taxid, n)
+            else:
+                pending.append((at, n))
+
+    return fold(x, 1, [F.desc("path")], gather, "taxid int, n double").where("n <> 0")
 
 
 def rank_pairs(lines: DataFrame) -> DataFrame:

@@ -271,3 +271,10 @@ def x_tophit_prop_by_file(spark, sf):
 def w_count_best(spark, sf):
     """Best hits of each read counted by sample, in one call."""
     return counts.count_values(commands.values_of(commands.filter_hits(_hits(spark, sf), FilterParams(top_pct=0))), "all")
+
+
+@query()
+def x_collapse(spark, sf):
+    """Counts gathered towards the root until a node holds 20."""
+    n = counts.count_values(_taxa(spark, sf).where("value is not null").withColumn("all_", F.lit(1)), by=("all_",)).select(F.col("value").alias("taxid"), "n")
+    return taxonomy.collapse(n, cut(_lines(spark, sf), "lineages"), 20)

@@ -214,3 +214,23 @@ def test_tables_and_writers(spark, tmp_path):
     sinks.write_annotations(region, str(tmp_path / "t"))
     text = lambda k: [r.value for r in spark.read.text(str(tmp_path / "t" / k)).collect()]
     assert text("gff")[0].startswith("c\thitweave\tmatch\t1\t6") and "ATGTAA" in text("fna") and "M*" in text("faa")
+
+
+def test_collapse_equals_walk(spark):
+    rng = random.Random(5)
+    parent = {i: (None if i < 3 else rng.randrange(i)) for i in range(120)}
+    name = {i: rng.choice(["Aa", "Bb", "uncultured x"]) for i in parent}
+    nodes = spark.createDataFrame([(i, p, "") for i, p in parent.items()], "taxid int, parent int, rank string")
+    lines = taxonomy.lineages(nodes, spark.createDataFrame(list(name.items()), "taxid int, name string"))
+    n = {i: float(rng.randrange(1, 9)) for i in rng.sample(sorted(parent), 50)}
+    pending, want = dict(n), {}
+    for i in sorted(parent, reverse=True):  # children have higher numbers
+        v = pending.get(i, 0.0)
+        if not v:
+            continue
+        if parent[i] is None or (v >= 12 and not name[i].startswith("unc")):
+            want[i] = v
+        else:
+            pending[parent[i]] = pending.get(parent[i], 0.0) + v
+    got = taxonomy.collapse(spark.createDataFrame([*n.items(), (999, 5.0)], "taxid int, n double"), lines, 12)
+    assert {r.taxid: r.n for r in got.collect()} == want

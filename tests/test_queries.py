@@ -42,7 +42,7 @@ def test_equals_sql(spark, db, name):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(QUERIES) - set(SQL) == {"s_sample_n", "p4_reasons"}
+    assert set(QUERIES) - set(SQL) == {"s_sample_n", "p4_reasons", "x_collapse"}
 
 
 def test_entry_loads_without_a_session():
